@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import fresh_path, join_counts, saved, text_key, total
+from weftwork.llm.common import fresh_path, join_counts, saved, text_key
 from weftwork.llm.text import SPACES, encoded
 
 KEY = ["__k1", "__k2"]
@@ -93,12 +93,15 @@ class LineRuns:
             level += 1
 
     def frequent(self) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents of all batches."""
+        """Keys found in at least ``min_docs`` documents of all batches.
+
+        ``n_docs`` of a settled key is what it was when the key settled.
+        """
         rest = [run for level in self.levels for run in level]
         out = self._merged(rest).where(F.col("n_docs") >= self.min_docs) if rest else None
         for run in self.settled:
             out = run if out is None else out.unionByName(run)
-        return out.select(*KEY)
+        return out.select(*KEY, "n_docs")
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +139,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fan
     runs = LineRuns(spark, min_docs, fanout)
     for i in range(batches):
         runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    # how many rows a key has decides by which way the rows meet it
-    counted = keys.join(runs.frequent(), KEY, "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
-    counted = saved(counted, "common-lines")
-    found = join_counts(keys, counted, KEY, "__n", total(counted, "__n"), "left_semi")
+    found = join_counts(keys, saved(runs.frequent(), "common-lines"), KEY, "n_docs", keys.count(), "left_semi")
     drops = found.groupBy(F.col("doc_id").alias("__d"), F.col("__h").alias("__g")).agg(F.collect_set("__k1").alias("__drops"))
     met = keyed.join(drops.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(drops["__d"]) & (keyed["__h"] == drops["__g"]), "left")
     rest = [F.col(x) for x in docs.columns if x != "text"]
