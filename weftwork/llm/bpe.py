@@ -205,7 +205,7 @@ class Encoder(dict):
         return out + self._packed(found)
 
     def _packed(self, found: list[list[str]]) -> list[bytes]:
-        new = list(set().union(*found).difference(self))
+        new = [x for x in set().union(*found) if x not in self]
         for token, ids in zip(new, self.merge([x.encode() for x in new])):
             self[token] = array("I", ids).tobytes()
         out = [b"".join(map(self.__getitem__, tokens)) for tokens in found]
