@@ -273,3 +273,12 @@ def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     codec = BytePairCodec(docs.sparkSession, path, pattern)
     out = codec.encode(docs.select("doc_id", "text")).withColumn("decoded", codec.decode(F.col("ids")))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def public_bpe_report(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``bpe_report`` with the public 50k vocabulary, unless another is named."""
+    if path is None or pattern is None:
+        import public_tokenizers
+
+        path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return bpe_report(docs, path, pattern)

@@ -332,13 +332,27 @@ class JaccardJoin:
         inter = F.size(F.array_intersect("s1", "s2"))
         return both.where(self.den * inter >= self.num * (F.col("n1") + F.col("n2") - inter)).select("a", "b")
 
+    def _labelled(self) -> DataFrame:
+        if self.labels is None:
+            return self.rows.withColumn("comp", F.col("c"))
+        return self.rows.join(near(self.labels), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+    def representatives(self) -> DataFrame:
+        """(doc_id, h, copies) of the document that stays for each component.
+
+        It has the smallest doc_id; ``copies`` counts rows equal in doc_id and text.
+        Documents with an empty set all stay.
+        """
+        rows = self._labelled()
+        alone = rows.where("n = 0").groupBy("doc_id", "h").agg(F.lit(1).cast("long").alias("copies"))
+        own = rows.where("n > 0").groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+        first = own.groupBy("comp").agg(F.min_by(F.struct("doc_id", "h", "copies"), order).alias("x"))
+        return first.select("x.doc_id", "x.h", "x.copies").unionByName(alone)
+
     def result(self) -> DataFrame:
         """Every row's doc_id, text key, set size and component (the smallest doc_id in it)."""
-        rows = self.rows
-        if self.labels is not None:
-            rows = rows.join(near(self.labels), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        else:
-            rows = rows.withColumn("comp", F.col("c"))
+        rows = self._labelled()
         alone = rows.where("n = 0").select("doc_id", "h", "n", F.col("doc_id").alias("component_id"))
         rows = rows.where("n > 0")
         groups = saved(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")), "groups")
@@ -352,3 +366,15 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
     return JaccardJoin(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each component, all columns kept."""
+    kept = saved(JaccardJoin(docs, k, num, den).representatives(), "kept")
+    kept = kept.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
+    met = docs.withColumn("__g", text_key(F.col("text")))
+    met = met.join(kept.hint("shuffle_hash"), met["doc_id"].eqNullSafe(kept["__d"]) & (met["__g"] == kept["__h"]))
+    if kept.where("__copies > 1").isEmpty():
+        return met.select(*docs.columns)
+    once = met.where("__copies = 1").unionByName(met.where("__copies > 1").dropDuplicates(["doc_id", "__g"]))
+    return once.select(*docs.columns)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.llm.bpe import bpe_report
+from weftwork.llm.bpe import public_bpe_report
+from weftwork.llm.decontaminate import contamination_report
 from weftwork.llm.jaccard_join import jaccard_report
 from weftwork.llm.line_dedup import line_dedup_report
 from weftwork.llm.quality import quality_report
@@ -24,13 +25,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir))
 
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``path`` and ``pattern``: the rank file and the pre-token pattern; by default the public 50k vocabulary."""
-    if path is None or pattern is None:
-        import public_tokenizers
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-        path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return bpe_report(_documents(spark, sf_dir), path, pattern)
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return public_bpe_report(_documents(spark, sf_dir))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +38,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op6_byte_bpe, op10_jaccard_join)
+    f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_decontamination, op6_byte_bpe, op10_jaccard_join)
 }

@@ -47,12 +47,24 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("t
 g AS (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0),
 s AS (SELECT DISTINCT r, list_slice(ws, i, i + 3) AS four FROM g),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-p AS (SELECT a.r AS x, b.r AS y, count(*) AS both FROM s a JOIN s b ON a.four = b.four AND a.r < b.r GROUP BY a.r, b.r),
-l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * both >= 85 * (nx.n + ny.n - both)),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM s a JOIN s b ON a.four = b.four AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * common >= 85 * (nx.n + ny.n - common)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 c(r, z) AS (SELECT r, r FROM d UNION SELECT c.r, e.y FROM c JOIN e ON c.z = e.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(o.doc_id) AS component_id FROM c JOIN d o ON o.r = c.z GROUP BY c.r) m USING (r)
 """
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op10_jaccard_join": OP10}
+OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(coalesce(text, ''), " + _LOWER + ")")} AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS.format("translate(coalesce(text, ''), " + _LOWER + ")")} AS ws FROM benchmark),
+x AS (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT r, list_slice(ws, i, i + 4) AS five FROM x),
+y AS (SELECT q, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM b WHERE len(ws) > 0),
+t AS (SELECT DISTINCT q, list_slice(ws, i, i + 4) AS five FROM y),
+n AS (SELECT q, count(*) AS n FROM t GROUP BY q),
+p AS (SELECT r, q, count(*) AS common FROM s JOIN t USING (five) GROUP BY r, q)
+SELECT doc_id, item_id, common AS n_shared, n AS n_item FROM p JOIN n USING (q) JOIN d USING (r) JOIN b USING (q) WHERE 100 * common >= 80 * n
+"""
+
+SQL: dict[str, str] = {"op1_line_dedup": OP1, "op3_quality_rules": OP3, "op5_decontamination": OP5, "op10_jaccard_join": OP10}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.llm.bpe import public_bpe_report
+from weftwork.llm.decontaminate import without_contaminated
+from weftwork.llm.jaccard_join import one_of_each
 from weftwork.llm.line_dedup import drop_common_lines
 from weftwork.llm.quality import keep_good
 
@@ -20,4 +23,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: 5-word shingles, similarity 0.8."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digests of each remaining text's ids."""
+    return public_bpe_report(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("jaccard join", jaccard_join),
+    ("decontamination", decontamination),
+    ("byte bpe", byte_bpe),
+]
