@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import join_counts, saved, text_key
+from weftwork.llm.common import HOT_SHARE, join_counts, saved, text_key
 from weftwork.llm.text import chunks, encoded, mix, shingles, word_hashes
 
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
@@ -39,7 +39,7 @@ LOCAL, BLOCK = 8, 2_000_000
 #: Rows of long keys that are broadcast at most.
 SMALL = 500_000
 #: Pivot rounds before the remaining pairs are compared one by one.
-ROUNDS = 2
+ROUNDS = 1
 #: Lists of at most so many members are then compared pair by pair; in longer ones,
 #: blocks of about MEMBERS members by products of incidence matrices, COLUMNS shingles at a time.
 SHORT, MEMBERS, COLUMNS = 16, 256, 4096
@@ -148,17 +148,28 @@ def _postings(orders, k: int):
     return run
 
 
-def _details(orders, k: int):
-    """Rows of a class: its size, its set, its prefixes under the second and third order."""
+def _filters(orders, k: int):
+    """Rows of a class: its size and, as 16-bit hashes, its prefixes under the second and third order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for _, tokens in _each_set(batch, k):
-                second, third = orders.value.prefixes(tokens, range(1, 3))
-                rows.append((_class(tokens), len(tokens), tokens.view(np.int64), second.view(np.int64), third.view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["c", "n", "s", "p2", "p3"])
+                prefixes = orders.value.prefixes(tokens, range(1, 3))
+                rows.append((_class(tokens), len(tokens), *(np.unique(x >> np.uint64(48)).astype(np.uint16).view(np.int16) for x in prefixes)))
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int16())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["c", "n", "p2", "p3"])
+
+    return run
+
+
+def _whole(k: int):
+    """Rows of a class: its whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_class(tokens), tokens.view(np.int64)) for _, tokens in _each_set(batch, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], ["c", "s"])
 
     return run
 
@@ -243,24 +254,29 @@ class JaccardJoin:
         survey = saved(self.docs.mapInArrow(_survey(k), schema), "survey")
         self.rows = survey.where("kind = 0").drop("kind")
         top = survey.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(FREQUENT)
-        top = top.toArrow()  # FREQUENT rows at most
+        self.frequent = saved(top, "frequent")
+        top = self.frequent.toArrow()  # FREQUENT rows at most
         orders = Orders(top["c"].to_numpy().view(np.uint64), top["n"].to_numpy(), num, den)
         self.orders = self.spark.sparkContext.broadcast(orders)
         self.links = self._linked()
 
     def _linked(self) -> DataFrame:
         postings = saved(self.docs.mapInArrow(_postings(self.orders, self.k), "t long, c long"), "postings")
-        lists = postings.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        lists = saved(lists, "lists")
-        # the posting lists of two classes or more, and one document of each class in them
-        self.shared = saved(join_counts(postings, lists.select("t", "m"), ["t"], "m", postings.count()).select("t", "c").distinct(), "shared")
+        # lists with more than 1/HOT_SHARE of all rows: of frequent shingles, so the table of those has them
+        limit = max(1, postings.count() // HOT_SHARE)
+        hot = F.broadcast(self.frequent.where(F.col("n") > limit).select(F.col("c").alias("t")))
+        by_list = Window.partitionBy("t")
+        cold = postings.join(hot, "t", "left_anti").select("t", "c", F.min("c").over(by_list).alias("lo"), F.max("c").over(by_list).alias("hi"))
+        lists = postings.join(hot, "t", "left_semi").groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        rows = cold.unionByName(postings.join(F.broadcast(lists), "t"))
+        # the posting lists of two classes or more
+        self.shared = saved(rows.where("lo < hi").select("t", "c"), "shared")
         wanted = saved(self.shared.select("c").distinct(), "wanted")
         chosen = self.rows.join(near(wanted), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("x"))
-        chosen = saved(chosen.select("x.doc_id", "x.h"), "chosen")
-        picked = near(chosen).alias("k")
-        texts = self.docs.alias("d").join(picked, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")), "left_semi")
-        details = texts.mapInArrow(_details(self.orders, self.k), "c long, n long, s array<long>, p2 array<long>, p3 array<long>")
-        self.details = saved(details.dropDuplicates(["c"]), "details")
+        #: One document of each class in a posting list of two or more.
+        self.chosen = saved(chosen.select("c", "x.doc_id", "x.h"), "chosen")
+        schema = "c long, n long, p2 array<smallint>, p3 array<smallint>"
+        self.filters = saved(self._texts(self.chosen).mapInArrow(_filters(self.orders, self.k), schema), "filters")
         tested = links = labels = None
         size = self.shared.count()
         for step in range(ROUNDS + 1):
@@ -312,7 +328,7 @@ class JaccardJoin:
         def compared(table: pa.Table) -> pa.Table:
             return _spanning(table, num, den)
 
-        sets = dealt.join(self.details.select("c", "n", "s"), "c")
+        sets = dealt.join(self._sets(groups.select("c").distinct()).withColumn("n", F.size("s").cast("long")), "c")
         return saved(sets.groupBy("comp", "i", "j").applyInArrow(compared, "a long, b long"), "block-links")
 
     @staticmethod
@@ -321,14 +337,28 @@ class JaccardJoin:
         one = F.struct(by.alias("o"), "c", "comp")
         return [F.min(one).alias("p"), F.max(one).alias("q")]
 
+    def _texts(self, chosen: DataFrame) -> DataFrame:
+        """The documents that stand for classes."""
+        picked = near(chosen).alias("k")
+        return self.docs.alias("d").join(picked, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")), "left_semi")
+
+    def _sets(self, classes: DataFrame) -> DataFrame:
+        """The whole sets of classes, from the documents that stand for them."""
+        chosen = self.chosen.join(near(saved(classes, "classes")), "c", "left_semi")
+        return saved(self._texts(saved(chosen, "chosen")).mapInArrow(_whole(self.k), "c long, s array<long>"), "sets")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that pass the size filter, the other orders' filters and the comparison."""
-        x = self.details.select(F.col("c").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("p2").alias("p21"), F.col("p3").alias("p31"))
-        y = self.details.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("p2").alias("p22"), F.col("p3").alias("p32"))
-        small = self.details.select("c", "n")
-        fit = pairs.join(small.select(F.col("c").alias("a"), F.col("n").alias("m1")), "a").join(small.select(F.col("c").alias("b"), F.col("n").alias("m2")), "b")
+        f = self.filters
+        x = f.select(F.col("c").alias("a"), F.col("n").alias("n1"), F.col("p2").alias("p21"), F.col("p3").alias("p31"))
+        y = f.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("p2").alias("p22"), F.col("p3").alias("p32"))
+        sizes = f.select("c", "n")
+        fit = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("m1")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("m2")), "b")
         fit = fit.where(self.den * F.least("m1", "m2") >= self.num * F.greatest("m1", "m2")).select("a", "b")
-        both = fit.join(x, "a").join(y, "b").where(F.arrays_overlap("p21", "p22") & F.arrays_overlap("p31", "p32"))
+        passed = fit.join(x, "a").join(y, "b").where(F.arrays_overlap("p21", "p22") & F.arrays_overlap("p31", "p32"))
+        passed = saved(passed.select("a", "b", "n1", "n2"), "passed")
+        sets = self._sets(passed.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+        both = passed.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("s2")), "b")
         inter = F.size(F.array_intersect("s1", "s2"))
         return both.where(self.den * inter >= self.num * (F.col("n1") + F.col("n2") - inter)).select("a", "b")
 

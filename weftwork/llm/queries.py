@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm.bpe import public_bpe_report
 from weftwork.llm.decontaminate import contamination_report
+from weftwork.llm.html_main import extract_main_text
 from weftwork.llm.jaccard_join import jaccard_report
 from weftwork.llm.line_dedup import line_dedup_report
 from weftwork.llm.quality import quality_report
@@ -25,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -38,5 +43,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_decontamination, op6_byte_bpe, op10_jaccard_join)
+    f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_html_extraction, op5_decontamination, op6_byte_bpe, op10_jaccard_join)
 }
