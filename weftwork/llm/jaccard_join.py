@@ -33,16 +33,16 @@ from weftwork.llm.common import HOT_SHARE, join_counts, saved, text_key
 from weftwork.llm.text import chunks, encoded, mix, shingles, word_hashes
 
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
-FREQUENT = 200_000
+FREQUENT = 500_000
 #: A shingle counts as frequent from so many documents of a block of BLOCK shingles.
-LOCAL, BLOCK = 8, 2_000_000
+LOCAL, BLOCK = 3, 4_000_000
 #: Rows of long keys that are broadcast at most.
 SMALL = 500_000
 #: Pivot rounds before the remaining pairs are compared one by one.
 ROUNDS = 1
 #: Lists of at most so many members are then compared pair by pair; in longer ones,
 #: blocks of about MEMBERS members by products of incidence matrices, COLUMNS shingles at a time.
-SHORT, MEMBERS, COLUMNS = 16, 256, 4096
+SHORT, MEMBERS, COLUMNS = 32, 256, 4096
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -107,7 +107,7 @@ class Orders:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int):
         by = np.argsort(tokens)
         self.tokens = tokens[by]
-        self.levels = (np.log2(counts[by]).astype(np.uint64) - np.uint64(2)) if len(tokens) else np.zeros(0, np.uint64)
+        self.levels = (np.log2(counts[by]).astype(np.uint64)) if len(tokens) else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.num, self.den = num, den
