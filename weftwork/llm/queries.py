@@ -10,8 +10,11 @@ from weftwork.llm.bpe import public_bpe_report
 from weftwork.llm.decontaminate import contamination_report
 from weftwork.llm.html_main import extract_main_text
 from weftwork.llm.jaccard_join import jaccard_report
+from weftwork.llm.langid import language_report
 from weftwork.llm.line_dedup import line_dedup_report
 from weftwork.llm.quality import quality_report
+from weftwork.llm.span_dedup import span_report
+from weftwork.llm.toxicity import toxicity_report
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +41,33 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return public_bpe_report(_documents(spark, sf_dir))
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(_documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_report(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_html_extraction, op5_decontamination, op6_byte_bpe, op10_jaccard_join)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_span_dedup,
+        op3_quality_rules,
+        op4_html_extraction,
+        op5_decontamination,
+        op6_byte_bpe,
+        op7_language_id,
+        op8_toxicity,
+        op10_jaccard_join,
+    )
 }
