@@ -35,14 +35,14 @@ from weftwork.llm.text import chunks, encoded, mix, shingles, word_hashes
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
 FREQUENT = 500_000
 #: A shingle counts as frequent from so many documents of a block of BLOCK shingles.
-LOCAL, BLOCK = 3, 4_000_000
+LOCAL, BLOCK = 2, 2_000_000
 #: Rows of long keys that are broadcast at most.
 SMALL = 500_000
 #: Pivot rounds before the remaining pairs are compared one by one.
 ROUNDS = 1
 #: Lists of at most so many members are then compared pair by pair; in longer ones,
 #: blocks of about MEMBERS members by products of incidence matrices, COLUMNS shingles at a time.
-SHORT, MEMBERS, COLUMNS = 32, 256, 4096
+SHORT, MEMBERS, COLUMNS = 32, 1024, 4096
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -61,9 +61,10 @@ def _class(tokens: np.ndarray) -> int:
 
 
 def _each_set(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    texts = [x.lower() for x in encoded(batch.column("text"))]
-    for start, end in chunks(texts):
-        yield from enumerate(_sets(texts[start:end], k), start)
+    for low in range(0, batch.num_rows, 512):
+        texts = [x.lower() for x in encoded(batch.column("text").slice(low, 512))]
+        for start, end in chunks(texts):
+            yield from enumerate(_sets(texts[start:end], k), low + start)
 
 
 def _frequent(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

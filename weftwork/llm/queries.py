@@ -12,6 +12,7 @@ from weftwork.llm.html_main import extract_main_text
 from weftwork.llm.jaccard_join import jaccard_report
 from weftwork.llm.langid import language_report
 from weftwork.llm.line_dedup import line_dedup_report
+from weftwork.llm.maxent_lm import lm_report
 from weftwork.llm.quality import quality_report
 from weftwork.llm.span_dedup import span_report
 from weftwork.llm.toxicity import toxicity_report
@@ -53,6 +54,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_report(_documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_report(_documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_byte_bpe,
         op7_language_id,
         op8_toxicity,
+        op9_lm_scoring,
         op10_jaccard_join,
     )
 }
