@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens a worker remembers in a generation, and the longest it keeps for long, in characters.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 60
+REMEMBERED, REMEMBERED_CHARS = 150_000, 60
+#: Texts that are held as Python strings at once.
+ROWS = 500
 #: Characters of text that are encoded at once, and of new pre-tokens that are merged in one run of the queue.
-AT_ONCE, MERGED = 1_000_000, 300_000
+AT_ONCE, MERGED = 500_000, 200_000
 
 
 class RankQueue:
@@ -102,13 +104,24 @@ class Encoder:
     """
 
     def __init__(self, rank_file: bytes, pattern: str):
-        lines = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.bytes_of: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
-        self.pattern = pattern
+        self.rank_file, self.pattern = rank_file, pattern
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _lines(self) -> Iterator[tuple[bytes, int]]:
+        for line in self.rank_file.splitlines():
+            if line.strip():
+                token, rank = line.split()
+                yield base64.b64decode(token), int(rank)
+
+    @cached_property
+    def ranks(self) -> dict[bytes, int]:
+        return dict(self._lines())
+
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self._lines()}
+
     @cached_property
     def finders(self) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
         return regex.compile(self.pattern).findall, ascii_pattern(self.pattern)
@@ -267,7 +280,8 @@ class BytePairCodec:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = encoder_of(file.value, pattern)
-            for batch in batches:
+            for whole, low in ((x, i) for x in batches for i in range(0, x.num_rows, ROWS)):
+                batch = whole.slice(low, ROWS)
                 packed = encoder.encode([x or "" for x in batch.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(packed, pa.binary())], [*names, ids])
 
@@ -281,7 +295,8 @@ class BytePairCodec:
         @F.arrow_udf("binary")
         def run(packed: pa.Array) -> pa.Array:
             encoder = encoder_of(file.value, pattern)
-            return pa.array([encoder.decode(x or b"") for x in packed.to_pylist()], pa.binary())
+            parts = [pa.array([encoder.decode(x or b"") for x in packed.slice(i, ROWS).to_pylist()], pa.binary()) for i in range(0, len(packed), ROWS)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
         return run(ids)
 
