@@ -12,6 +12,7 @@ from urllib.parse import urldefrag, urljoin
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::([^/?#]*))?(?:[/?#]|$)"
 
@@ -62,7 +63,7 @@ def absolute(base: Column, href: Column) -> Column:
     return F.when(ref.rlike("^//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), ref)).when(ref.rlike("^/"), F.concat(root, ref)).when(ref.rlike(r"^[hH][tT][tT][pP][sS]?://"), ref)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def join_url(base: pa.Array, href: pa.Array) -> pa.Array:
     """Any reference, resolved and without its fragment; null where it cannot be resolved."""
     out = []
