@@ -10,7 +10,7 @@ jointly in numpy by Adam on a bounded sample: about TOXIC and CLEAN labelled
 documents, drawn by hash.
 
 An empty or null text scores as one window without words.  Without labels of
-both kinds every score is the model's initial low chance.
+both kinds every score is close to 0.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ class Scorer(dict):
     def __init__(self, model: SubwordModel):
         super().__init__()
         self.model = model
-        self.offset = float(model.bias[1] - model.bias[0])
+        self.offset = float(model.bias[1] - model.bias[0]) if model.trained else -20.0
 
     def scores(self, texts: list[bytes]) -> list[float]:
         out = []
@@ -179,9 +179,6 @@ class Scorer(dict):
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> SubwordModel:
     """A model from documents and their labels (doc_id, toxic); null labels are left out."""
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic")
@@ -205,7 +202,8 @@ def predict(docs: DataFrame, model: SubwordModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = _scorers.setdefault(id(model), Scorer(model))
+        scorer = model.__dict__.get("scorer") or Scorer(model)
+        model.scorer = scorer  # lasts as long as the broadcast does in this worker
         for batch in batches:
             scores = [min(1.0, max(0.0, x)) for x in scorer.scores(encoded(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())], [*names, "score", "predicted"])
