@@ -5,8 +5,8 @@ Two sets with Jaccard similarity of t or more share a token among the first
 sorted by.  Here three orders are used.  All put frequent shingles last (by a
 table of frequent shingles that only guides the order and never the result) and
 shuffle the rest by different hashes.  The first order gives posting lists; a
-candidate pair must also share a prefix token under the other two before its
-whole sets are compared.
+candidate pair must also share a prefix token under the other two, and enough of
+them, before its whole sets are compared.
 
 Documents with equal sets form a class and are joined as one.  Posting lists are
 not expanded into pairs.  In rounds, each member of a list meets two pivots of
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import HOT_SHARE, join_counts, saved, text_key
@@ -348,6 +348,17 @@ class JaccardJoin:
         chosen = self.chosen.join(near(saved(classes, "classes")), "c", "left_semi")
         return saved(self._texts(saved(chosen, "chosen")).mapInArrow(_whole(self.k), "c long, s array<long>"), "sets")
 
+    def _may_link(self, one: str, two: str) -> Column:
+        """Whether two prefixes of one order share enough.
+
+        Of the two sets, the one whose prefix ends first has no unshared prefix
+        token in the other, so the sets share at most its size less those tokens.
+        Equal hashes of different tokens only raise what is shared.
+        """
+        shared = F.size(F.array_intersect(one, two))
+        most = F.greatest(F.col("n1") - F.size(one), F.col("n2") - F.size(two)) + shared
+        return (shared > 0) & ((self.num + self.den) * most >= self.num * (F.col("n1") + F.col("n2")))
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that pass the size filter, the other orders' filters and the comparison."""
         f = self.filters
@@ -356,7 +367,7 @@ class JaccardJoin:
         sizes = f.select("c", "n")
         fit = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("m1")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("m2")), "b")
         fit = fit.where(self.den * F.least("m1", "m2") >= self.num * F.greatest("m1", "m2")).select("a", "b")
-        passed = fit.join(x, "a").join(y, "b").where(F.arrays_overlap("p21", "p22") & F.arrays_overlap("p31", "p32"))
+        passed = fit.join(x, "a").join(y, "b").where(self._may_link("p21", "p22") & self._may_link("p31", "p32"))
         passed = saved(passed.select("a", "b", "n1", "n2"), "passed")
         sets = self._sets(passed.select(F.explode(F.array("a", "b")).alias("c")).distinct())
         both = passed.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("s2")), "b")
