@@ -26,7 +26,7 @@ from weftwork.llm.langid import held
 from weftwork.llm.text import encoded
 
 #: Labelled documents of each kind in the training sample, about.
-TOXIC, CLEAN = 1_200, 2_000
+TOXIC, CLEAN = 1_000, 1_600
 WINDOW, DIMENSIONS, BUCKETS = 6, 8, 1 << 18
 STEPS, RATE, DECAY = 30, 0.08, 0.1
 #: An n-gram must be in so many words of training documents; rarer ones have the zero vector.
@@ -41,7 +41,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"".join(marked) + b"\0" * 6, np.uint8).astype(np.uint32)
     lengths = np.array([len(x) for x in marked], np.int64)
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(words)), lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     left = np.repeat(ends, lengths) - np.arange(int(lengths.sum()))  # bytes to the word's end
     code = joined[: len(owner)] * np.uint32(0x01000193)
     grams, owners = [], []
@@ -52,10 +52,10 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             value = code[whole] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
             grams.append((value ^ value >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(14))
             owners.append(owner[whole])
-    owners_all = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    owners_all = np.concatenate(owners)
     by = np.argsort(owners_all, kind="stable")
     counts = np.bincount(owners_all, minlength=len(words))
-    return np.concatenate(grams)[by].astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
+    return np.concatenate(grams)[by].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _windows(count: int) -> list[int]:
@@ -91,7 +91,7 @@ class SubwordModel:
         grams, gram_at = subwords(names)
         gram_count = np.diff(gram_at)[:, None].astype(np.float32)
         in_documents = np.bincount([number[w] for words in split for w in set(words)], minlength=len(names))
-        owner = np.repeat(np.arange(len(names)), np.diff(gram_at))
+        owner = np.repeat(np.arange(len(names), dtype=np.int32), np.diff(gram_at))
         often = np.bincount(grams, weights=in_documents[owner], minlength=BUCKETS) >= SEEN
         self.vectors[~often] = 0
         kept_gram = often[grams]
