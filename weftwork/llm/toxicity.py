@@ -3,9 +3,10 @@
 A word is the mean of the vectors of its character 3- to 6-grams (hashed bytes,
 A-Z in lower case, with marks at its ends), so an unseen misspelling shares most
 of its vectors with what it misspells.  The words of a window of WINDOW words are
-averaged into a two-class linear softmax.  A text is toxic unless all its windows
-are clean: its score is one less the product of the windows' chances to be clean,
-so a few words in a long text still count.  Vectors and softmax are trained
+averaged into a two-class linear softmax; a window is a single word here, as the
+clean words beside a toxic one only blur its average.  A text is toxic unless all
+its windows are clean: its score is one less the product of the windows' chances
+to be clean, so a few words in a long text still count.  Vectors and softmax are trained
 jointly in numpy by Adam on a bounded sample: about TOXIC and CLEAN labelled
 documents, drawn by hash.
 
@@ -27,10 +28,10 @@ from weftwork.llm.text import encoded
 
 #: Labelled documents of each kind in the training sample, about.
 TOXIC, CLEAN = 1_000, 1_600
-WINDOW, DIMENSIONS, BUCKETS = 6, 8, 1 << 18
+WINDOW, DIMENSIONS, BUCKETS = 1, 8, 1 << 18
 STEPS, RATE, DECAY = 30, 0.08, 0.1
 #: An n-gram must be in so many words of training documents; rarer ones have the zero vector.
-SEEN = 30
+SEEN = 10
 #: Words a worker remembers the value of.
 REMEMBERED = 400_000
 
