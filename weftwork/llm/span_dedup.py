@@ -1,20 +1,21 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into units: sentences, which end at a line's end or at ``.``,
-``!`` or ``?`` before white space, and of long sentences pieces of PIECE words,
-so that a passage of over 50 words always holds several.  Every run of SPAN
-consecutive units is hashed and the runs are joined over all documents.  The
-first place of a run is the one with the smallest (doc_id, position); units that
-any other place covers are removed.  Words are compared with A-Z in lower case,
-white space not at all.
-
-Null and empty texts have no units.  Rows that agree in doc_id and text are one
-document; a null doc_id comes before all others.
+A text is cut into units: sentences, which end at a line's end or at a word that
+ends with ``.``, ``!`` or ``?``, and the pieces of sentences of over PIECE words.
+A long sentence is cut after each word whose hash is the least among its NEAR
+neighbours on both sides, so where a piece ends depends on the words around only,
+and a passage has the same pieces wherever it stands, changed words nearby or
+not.  Every run of SPAN consecutive units is hashed and the runs are joined over
+all documents.  The first place of a run is the one with the smallest (doc_id,
+position); units that any other place covers are removed.  Words are compared
+with A-Z in lower case, white space not at all.
+
+Null, empty and wordless texts have no runs and stay as they are.  Rows that
+agree in doc_id and text are one document; a null doc_id comes before all others.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,28 +24,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import join_counts, saved, text_key
-from weftwork.llm.text import chunks, encoded, shingles, word_hashes
-
-#: Units in a run, and words in the longest unit.
-SPAN, PIECE = 3, 12
-
-_SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+(?=[ \t\x0b\x0c\r\n]|\Z)|(?=\n)|\Z)[ \t\x0b\x0c\r\n]*", re.S)
-_WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
+from weftwork.llm.text import chunks, encoded, shingles, word_hashes, word_spans
+
+#: Units in a run, words in the longest sentence that is not cut, neighbours that a cut looks at.
+SPAN, PIECE, NEAR = 3, 12, 3
+#: A piece in which no word is least among its neighbours (as in repeated words) ends after so many words.
+LONGEST = 12
+
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".!?")] = True
+
+
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For lower-cased texts: words' hashes, words' first bytes, each unit's first word, each text's first unit."""
+    joined, starts, ends, bounds = word_spans(texts)
+    words, _ = word_hashes(texts)
+    n = len(words)
+    lines = np.cumsum(joined == 10)
+    ended = _STOPS[joined[ends - 1]] | (lines[np.append(starts[1:], len(joined)) - 1] > lines[ends - 1])
+    ended[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    sentence = np.concatenate([[0], np.cumsum(ended)[:-1]]) if n else np.zeros(0, np.int64)
+    cut = (np.bincount(sentence) > PIECE)[sentence] if n else np.zeros(0, bool)
+    for d in range(1, NEAR + 1):
+        same = sentence[d:] == sentence[:-d]
+        cut[:-d] &= same & (words[:-d] < words[d:])
+        cut[d:] &= same & (words[d:] < words[:-d])
+        cut[:d] = False
+        cut[-d:] = False
+    cut |= ended
+    first = np.flatnonzero(np.concatenate([[True], cut[:-1]])) if n else np.zeros(0, np.int64)
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    first = np.union1d(first, np.flatnonzero((place > 0) & (place % LONGEST == 0)))
+    return words, starts, first, np.searchsorted(first, bounds)
+
+
+def units_of(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Each text's units, with the white space around them; joined they are the text."""
+    for begin, end in chunks(texts):
+        own = texts[begin:end]
+        _, starts, first, to = _cut([x.lower() for x in own])
+        at = starts[first]
+        base = 1
+        for i, text in enumerate(own):
+            places = [0, *(at[to[i] + 1 : to[i + 1]] - base).tolist(), len(text)]
+            yield [text[x:y] for x, y in zip(places, places[1:])] if text else []
+            base += len(text) + 1
 
 
 def units(text: bytes) -> list[bytes]:
-    """The units of a text, with the white space that follows each; joined they are the text."""
-    out = []
-    for match in _SENTENCE.finditer(text):
-        sentence = match[0]
-        if not sentence:
-            continue
-        words = _WORD.findall(sentence) if len(sentence) > PIECE else [sentence]
-        if len(words) <= PIECE or sentence[:1].isspace():
-            out.append(sentence)
-        else:
-            out += [b"".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
-    return out
+    """The units of one text."""
+    return next(units_of([text]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +81,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.lower() for x in encoded(batch.column("text"))]
         for start, end in chunks(texts):
-            cut = [units(x) for x in texts[start:end]]
-            flat = [u for x in cut for u in x]
-            words, bounds = word_hashes(flat)
+            words, _, first, to = _cut(texts[start:end])
             # a unit's hash is that of its sequence of words
-            own = _sequence_hashes(words, bounds)
-            to = np.concatenate([[0], np.cumsum([len(x) for x in cut])])
+            own = _sequence_hashes(words, np.append(first, len(words)))
             runs, ends = shingles(own, to, SPAN)
             counts = np.diff(ends)
             whole = np.repeat(np.diff(to) >= SPAN, counts)
@@ -78,8 +104,7 @@ def _sequence_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, counts, gone_units, gone_words = [], [], [], []
-        for text, places in zip(encoded(batch.column("text")), batch.column("__at").to_pylist()):
-            cut = units(text)
+        for cut, places in zip(units_of(encoded(batch.column("text"))), batch.column("__at").to_pylist()):
             gone = {i for at in places or () for i in range(at, at + SPAN)}
             kept.append(b"".join(u for i, u in enumerate(cut) if i not in gone))
             counts.append(len(cut))
