@@ -2,15 +2,14 @@
 
 A word is the mean of the vectors of its character 3- to 6-grams (hashed bytes,
 A-Z in lower case, with marks at its ends), so an unseen misspelling shares most
-of its vectors with what it misspells.  The words of a window of WINDOW words are
-averaged into a two-class linear softmax; a window is a single word here, as the
-clean words beside a toxic one only blur its average.  A text is toxic unless all
-its windows are clean: its score is one less the product of the windows' chances
-to be clean, so a few words in a long text still count.  Vectors and softmax are trained
-jointly in numpy by Adam on a bounded sample: about TOXIC and CLEAN labelled
-documents, drawn by hash.
-
-An empty or null text scores as one window without words.  Without labels of
+of its vectors with what it misspells.  The mean goes into a two-class linear
+softmax, word by word, as the clean words beside a toxic one would only blur it.
+A text is toxic unless all its words are clean: its score is one less the product
+of the words' chances to be clean, so a few words in a long text still count.
+Vectors and softmax are trained jointly in numpy by Adam on a bounded sample:
+about TOXIC and CLEAN labelled documents, drawn by hash.
+
+An empty or null text scores as one word without n-grams.  Without labels of
 both kinds every score is close to 0.
 """
 
@@ -28,7 +27,7 @@ from weftwork.llm.text import encoded
 
 #: Labelled documents of each kind in the training sample, about.
 TOXIC, CLEAN = 1_000, 1_600
-WINDOW, DIMENSIONS, BUCKETS = 1, 8, 1 << 18
+DIMENSIONS, BUCKETS = 8, 1 << 18
 STEPS, RATE, DECAY = 30, 0.08, 0.1
 #: An n-gram must be in so many words of training documents; rarer ones have the zero vector.
 SEEN = 10
@@ -59,18 +58,13 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(grams)[by].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _windows(count: int) -> list[int]:
-    """Where the windows of a text of ``count`` words begin."""
-    return list(range(0, count, WINDOW))
-
-
 def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows; every group has one row at least."""
     return np.add.reduceat(rows, starts, axis=0)
 
 
 class SubwordModel:
-    """Subword vectors and a two-class softmax over the average of a window's words."""
+    """Subword vectors and a two-class softmax over the average of a word's."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -88,7 +82,7 @@ class SubwordModel:
         split, y = [split[i] for i in kept], np.array([labels[i] for i in kept])
         names = sorted(set().union(*split))
         number = {w: i for i, w in enumerate(names)}
-        tokens = np.array([number[w] for words in split for w in words])
+        tokens = np.fromiter((number[w] for words in split for w in words), np.int32)
         grams, gram_at = subwords(names)
         gram_count = np.diff(gram_at)[:, None].astype(np.float32)
         in_documents = np.bincount([number[w] for words in split for w in set(words)], minlength=len(names))
@@ -98,38 +92,28 @@ class SubwordModel:
         kept_gram = often[grams]
         grams, owner = grams[kept_gram], owner[kept_gram]
         known, gram_start = np.unique(owner, return_index=True)  # words with a vector
-        starts, document = [], []
-        base = 0
-        for d, words in enumerate(split):
-            own = _windows(len(words))
-            starts += [base + x for x in own]
-            document += [d] * len(own)
-            base += len(words)
-        starts, document = np.array(starts), np.array(document)
-        length = np.diff(np.concatenate([starts, [len(tokens)]]))[:, None].astype(np.float32)
-        window_of = np.repeat(np.arange(len(starts)), length[:, 0].astype(int))
-        by_word = np.argsort(tokens, kind="stable")
-        word_at = np.searchsorted(tokens[by_word], np.arange(len(names)))
         by_gram = np.argsort(grams, kind="stable")
         used, gram_first = np.unique(grams[by_gram], return_index=True)
-        first = np.searchsorted(document, np.arange(len(split)))
+        owner_by_gram = owner[by_gram]
+        lengths = np.array([len(words) for words in split])
+        del split, number, owner, by_gram  # the driver's memory is small
+        first = np.cumsum(lengths) - lengths
+        document = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         state = [[np.zeros(x, np.float32), np.zeros(x, np.float32)] for x in ((len(used), DIMENSIONS), self.weights.shape, self.bias.shape)]
         for step in range(1, STEPS + 1):
             words = np.zeros((len(names), DIMENSIONS), np.float32)
             words[known] = _sums(self.vectors[grams], gram_start)
             words /= gram_count
-            mean = _sums(words[tokens], starts) / length
-            logits = mean @ self.weights + self.bias
+            logits = words @ self.weights + self.bias
             z = logits[:, 1] - logits[:, 0]
             p = 1 / (1 + np.exp(-z))
-            clean = np.exp(-_sums(np.logaddexp(0, z), first))
+            clean = np.exp(-_sums(np.logaddexp(0, z)[tokens], first))
             toxic = np.maximum(1 - clean, 1e-6)
             slope = np.where(y == 1, -clean / toxic / max(1, (y == 1).sum()), 1.0 / max(1, (y == 0).sum()))
-            g = (slope[document] * p).astype(np.float32)
+            g = (np.bincount(tokens, weights=slope[document], minlength=len(names)) * p).astype(np.float32)
             two = np.stack([-g, g], axis=1)
-            to_words = ((two @ self.weights.T) / length)[window_of][by_word]
-            to_words = _sums(to_words, word_at) / gram_count
-            steps = [_sums(to_words[owner][by_gram], gram_first), mean.T @ two, two.sum(axis=0)]
+            to_words = two @ self.weights.T / gram_count
+            steps = [_sums(to_words[owner_by_gram], gram_first), words.T @ two, two.sum(axis=0)]
             for k, (slow, fast) in enumerate(state):
                 slow *= 0.9
                 slow += 0.1 * steps[k]
@@ -171,10 +155,7 @@ class Scorer(dict):
                     out.append(float(1 / (1 + np.exp(-self.offset))))
                     continue
                 value = np.array(list(map(self.__getitem__, words)))
-                starts = np.arange(0, len(words), WINDOW)
-                length = np.diff(np.concatenate([starts, [len(words)]]))
-                z = np.add.reduceat(value, starts) / length + self.offset
-                out.append(float(-np.expm1(-np.logaddexp(0, z).sum())))
+                out.append(float(-np.expm1(-np.logaddexp(0, value + self.offset).sum())))
             if len(self) > REMEMBERED:
                 self.clear()
         return out
