@@ -291,6 +291,21 @@ def test_language_model(spark, docs, corpus):
     assert real[1] > real[0]
 
 
+def test_language_model_uses_rare_words(spark):
+    """2,000 words, each always followed by one other: what follows is known for all of them, not for the most frequent 255."""
+    rng = random.Random(3)
+    follower = [f"v{i:04d}" for i in range(2000)]
+    rng.shuffle(follower)
+    pairs = [i for i in range(2000) for _ in range(24)]
+    rng.shuffle(pairs)
+    rows = [(n, " ".join(f"w{i:04d} {follower[i]}" for i in pairs[k : k + 40]), "en", "a", 0) for n, k in enumerate(range(0, len(pairs), 40))]
+    right = " ".join(f"w{i:04d} {follower[i]}" for i in range(300, 600))
+    wrong = " ".join(f"w{i:04d} {follower[i - 1]}" for i in range(300, 600))
+    ids = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    got = {r.doc_id: r.score for r in maxent_lm.lm_report(spark.createDataFrame(rows + [(ids[0], right, "en", "a", 0), (ids[1], wrong, "en", "a", 0)], SCHEMA)).where("held_out").collect() if r.doc_id in ids}
+    assert got[ids[0]] > got[ids[1]] + 100
+
+
 def _components(corpus, k, num, den):
     sets = [shingle_set(t, k) for _, t, *_ in corpus]
     parent = list(range(len(corpus)))

@@ -1,14 +1,19 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-The next token's chance is factored: a class first, then the word in its class.
-The HEAD most frequent training words and the end of a text lie in CLASSES
-classes of PER_CLASS words by frequency; all other words lie in classes by their
-shape (last byte, bytes beyond ASCII), in each of which a word's chance is its
-smoothed count.  Both factors of the head are softmaxes over features: a
-constant, the previous token, the token before it (a skip), and for the class
-the hashed pair of both.  The constants start at the log frequencies.  The other
-weights are trained in STEPS synchronous updates; each takes the documents of
-one hash slice, so all training documents are used once.  Gradients are sums of
+The next token's chance is factored along a tree: a class first, then a class in
+it, down to the word.  The tree has WAYS branches and is built by falling count
+(Huffman), so it grows with the vocabulary.  Its leaves are all words of the
+dictionary, the end of a text and, for words outside the dictionary, SHAPES
+classes by shape (last byte, bytes beyond ASCII), in each of which a word's
+chance is its smoothed count.  Each branching is a softmax over features: a
+constant, the previous word, the word before it (a skip) and the pair of both,
+whichever words these are.  A feature and a branching together are hashed to a
+row of weights; there are PER_ROOT rows for each of the root of the counted
+number of different word pairs, so rows grow with the corpus, but slower than
+its pairs, and features share rows.  The constants are the log frequencies.  The
+other weights are trained in synchronous updates, STEPS and one more for each time
+the training tokens are four times as many, beyond a million; each takes the documents of one
+hash slice, so all training documents are used once.  Gradients are sums of
 sparse numpy batches in tasks, added up by a shuffle.
 
 Word counts are exact.  The DICTIONARY most frequent words are broadcast at
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +38,18 @@ from weftwork.llm.common import saved, text_key
 from weftwork.llm.langid import held
 from weftwork.llm.text import _tables, chunks, encoded, mix, word_spans
 
-CLASSES, PER_CLASS, SHAPES = 16, 16, 8
-HEAD = CLASSES * PER_CLASS - 1
-END, START = HEAD, HEAD + 1 + SHAPES
-CONTEXTS = START + 1
-WIDTH = CLASSES + SHAPES
-PAIRS = 1 << 11
-#: Words whose counts are broadcast at most, 16 bytes each.
+WAYS, SHAPES = 16, 8
+#: Rows of weights for each of the root of the number of word pairs; of pairs, one in PAIR_SAMPLE is counted.
+PER_ROOT, PAIR_SAMPLE = 32, 64
+#: Rows of weights that are added up together.
+BLOCK = 64
+#: Words whose counts are broadcast at most, about 25 bytes each.
 DICTIONARY = 1_000_000
 STEPS, RATE = 4, 0.3
 
-_PREVIOUS, _SKIP, _PAIR = 1, 1 + CONTEXTS, 1 + 2 * CONTEXTS
-_CLASS_ROWS = _PAIR + PAIRS
-#: After the rows of classes, a row for each feature of a word in its class and each class.
-_ROWS = _CLASS_ROWS + (1 + 2 * CONTEXTS) * CLASSES
+# The context before a text, and odd factors that tell the features of one word apart.
+_START = np.uint64(0x5107_5107_5107_5107)
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,21 +66,31 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, shape, number), counted over about two million words."""
+    """Rows (word, shape, number), counted over about two million words; sampled pairs have the shape -1."""
     block: list[tuple[np.ndarray, np.ndarray]] = []
+    block_pairs: list[np.ndarray] = []
 
     def told() -> pa.RecordBatch:
         words, at, counts = np.unique(np.concatenate([w for w, _ in block]), return_index=True, return_counts=True)
         shapes = np.concatenate([s for _, s in block])[at]
+        pairs = np.unique(np.concatenate(block_pairs))
+        words, shapes = np.concatenate([words, pairs]), np.concatenate([shapes, np.full(len(pairs), -1)])
+        counts = np.concatenate([counts, np.ones(len(pairs), counts.dtype)])
         block.clear()
+        block_pairs.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(shapes.astype(np.int32)), pa.array(counts)], ["w", "s", "n"])
 
     size = 0
     for batch in batches:
         texts = [x.lower() for x in encoded(batch.column("text"))]
         for start, end in chunks(texts):
-            words, shapes, _ = tokens_of(texts[start:end])
+            words, shapes, bounds = tokens_of(texts[start:end])
             block.append((words, shapes))
+            if len(words):
+                inside = np.ones(len(words), bool)
+                inside[bounds[:-1][np.diff(bounds) > 0]] = False
+                pairs = mix(words + np.roll(words, 1) * _FACTORS[0])
+                block_pairs.append(np.unique(pairs[inside & (pairs % np.uint64(PAIR_SAMPLE) == 0)]))
             size += len(words)
             if size > 2_000_000:
                 yield told()
@@ -85,38 +99,75 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def _tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parents and branches of a Huffman tree's leaves and nodes, and the nodes' log chances of branches; the root is last."""
+    n = len(weights)
+    order = np.argsort(weights, kind="stable")
+    leaves, rest = weights[order].tolist(), order.tolist()
+    nodes = 1 + (n - 2) // (WAYS - 1)
+    parent, branch = np.zeros(n + nodes, np.int32), np.zeros(n + nodes, np.int8)
+    made: list[float] = []
+    i, j = 0, n
+    for node in range(n, n + nodes):
+        children, mass = [], 0.0
+        for _ in range(WAYS if node > n else 2 + (n - 2) % (WAYS - 1)):
+            if i < n and (j >= node or leaves[i] <= made[j - n]):
+                children.append(rest[i])
+                mass += leaves[i]
+                i += 1
+            else:
+                children.append(j)
+                mass += made[j - n]
+                j += 1
+        made.append(mass)
+        parent[children], branch[children] = node, np.arange(len(children))
+    log = np.full((nodes, WAYS), -30.0, np.float32)
+    below = slice(0, n + nodes - 1)
+    mass = np.concatenate([weights, made])
+    log[parent[below] - n, branch[below]] = np.log(mass[below] / mass[parent[below]])
+    return parent, branch, log
+
+
 @dataclass
 class Vocabulary:
-    """Counts of the training tokens: totals, the head, and the dictionary of frequent words."""
+    """Counts of the training tokens: totals, and the dictionary of frequent words with their tree."""
 
     total: int
     distinct: int
     ends: int
-    head: np.ndarray  # hashes by falling count
+    pairs: int  # different pairs of words, about
     words: np.ndarray  # sorted hashes
     counts: np.ndarray
-    shape_total: np.ndarray
+    shape_total: np.ndarray  # of words outside the dictionary
     shape_distinct: np.ndarray
-    head_sorted: np.ndarray = field(init=False)
-    head_id: np.ndarray = field(init=False)
+    parent: np.ndarray = field(init=False)
+    branch: np.ndarray = field(init=False)
+    log: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        by = np.argsort(self.head)
-        self.head_sorted, self.head_id = self.head[by], by
-
-    def ids(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        """Context ids: the head's, or that of the word's shape."""
-        out = HEAD + 1 + shapes
-        if len(self.head):
-            at = np.minimum(np.searchsorted(self.head_sorted, words), len(self.head) - 1)
-            out = np.where(self.head_sorted[at] == words, self.head_id[at], out)
-        return out
+        tails = self.shape_total + 0.5 * (self.shape_distinct + 1)
+        self.parent, self.branch, self.log = _tree(np.concatenate([self.counts + 0.5, [self.ends + 0.5], tails]))
+
+    @property
+    def end(self) -> int:
+        """The leaf of a text's end; those of the shapes follow."""
+        return len(self.words)
+
+    def leaves(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        """The word's own leaf, or that of its shape if it is not in the dictionary."""
+        if not len(self.words):
+            return self.end + 1 + shapes
+        unique, first, back = np.unique(words, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, unique), len(self.words) - 1)
+        return np.where(self.words[at] == unique, at, self.end + 1 + shapes[first])[back]
 
 
 def count_words(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of the training documents, and the counts of words outside its dictionary."""
     rows = train.select("text").mapInArrow(_word_counts, "w long, s int, n long")
     counts = saved(rows.groupBy("w").agg(F.min("s").alias("s"), F.sum("n").alias("n")), "word-counts")
+    pairs = PAIR_SAMPLE * counts.where("s < 0").count()
+    counts = counts.where("s >= 0")
     ends = train.count()
     shapes = {r["s"]: (r["n"], r["v"]) for r in counts.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # SHAPES rows
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -129,123 +180,121 @@ def count_words(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
         least = x
     known = counts.where(level >= least).select("w", "s", "n").toArrow()  # DICTIONARY rows at most
     words, number, shape = known["w"].to_numpy().view(np.uint64), known["n"].to_numpy(), known["s"].to_numpy()
-    by = np.lexsort((words, -number))[:HEAD]
     total, distinct = np.zeros(SHAPES), np.zeros(SHAPES)
     for s, (n, v) in shapes.items():
         total[s], distinct[s] = n, v
-    np.subtract.at(total, shape[by], number[by])
-    np.subtract.at(distinct, shape[by], 1)
+    np.subtract.at(total, shape, number)
+    np.subtract.at(distinct, shape, 1)
     order = np.argsort(words)
-    vocabulary = Vocabulary(int(sum(n for n, _ in shapes.values())) + ends, sum(v for _, v in shapes.values()) + (ends > 0), ends, words[by], words[order], number[order], total, distinct)
+    vocabulary = Vocabulary(int(sum(n for n, _ in shapes.values())) + ends, sum(v for _, v in shapes.values()) + (ends > 0), ends, pairs, words[order], number[order], total, distinct)
     return vocabulary, counts.where(level < least).select("w", "n")
 
 
 class MaxEnt:
-    """The weights: a row for each feature, of WIDTH classes or of PER_CLASS words of one class."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.weights = np.zeros((_ROWS, WIDTH), np.float32)
-        by_hash = dict(zip(vocabulary.words.tolist(), vocabulary.counts.tolist()))
-        head = np.zeros(HEAD + 1)
-        head[: len(vocabulary.head)] = [by_hash[x] for x in vocabulary.head.tolist()]
-        head[END] = vocabulary.ends
-        blocks = head.reshape(CLASSES, PER_CLASS) + 0.5
-        classes = np.concatenate([blocks.sum(axis=1), vocabulary.shape_total + 0.5])
-        self.weights[0] = np.log(classes / classes.sum())
-        at = _CLASS_ROWS + np.arange(CLASSES)
-        self.weights[at, :PER_CLASS] = np.log(blocks / blocks.sum(axis=1, keepdims=True))
-        self.spread = np.ones((_ROWS, WIDTH), np.float32)  # the variance of a weight's outcome by the constants
-        p = classes / classes.sum()
-        self.spread[:_CLASS_ROWS] = p * (1 - p)
-        q = blocks / blocks.sum(axis=1, keepdims=True)
-        self.spread[_CLASS_ROWS:, :PER_CLASS] = np.tile(q * (1 - q), (1 + 2 * CONTEXTS, 1))
+    """The weights: a row of WAYS branches for each hashed feature at a node of the tree."""
+
+    def __init__(self, pairs: int):
+        self.bits = max(12, ceil(log2(PER_ROOT * sqrt(pairs + 1))))
+        self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
 
     @staticmethod
-    def features(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the previous token, the one before, and their pair; ``first`` marks a text's first token."""
-        previous = np.concatenate([[START], ids[:-1]])
-        previous[first] = START
-        before = np.concatenate([[START], previous[:-1]])
-        before[first] = START
-        pair = (previous * 31 + before * 977) * 2654435761 % (1 << 32) >> 21
-        return _PREVIOUS + previous, _SKIP + before, _PAIR + pair
-
-    def chances(self, ids: np.ndarray, first: np.ndarray):
-        """Log chances of the tokens, and all that a gradient needs."""
-        w = self.weights
-        p, b, pair = self.features(ids, first)
-        logits = w[p] + w[b]
-        logits += w[pair]
-        logits += w[0]
-        top = np.exp(logits - logits.max(axis=1, keepdims=True))
-        top /= top.sum(axis=1, keepdims=True)
-        kind = np.where(ids <= END, ids // PER_CLASS, CLASSES + ids - HEAD - 1)
-        log = np.log(top[np.arange(len(ids)), kind] + 1e-30).astype(np.float64)
-        heads = np.flatnonzero(ids <= END)
-        c = kind[heads]
-        rows = [_CLASS_ROWS + c, _CLASS_ROWS + p[heads] * CLASSES + c, _CLASS_ROWS + b[heads] * CLASSES + c]
-        inner = w[rows[0], :PER_CLASS] + w[rows[1], :PER_CLASS] + w[rows[2], :PER_CLASS]
-        inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-        inner /= inner.sum(axis=1, keepdims=True)
-        own = ids[heads] % PER_CLASS
-        log[heads] += np.log(inner[np.arange(len(heads)), own] + 1e-30)
-        return log, (top, kind, (p, b, pair)), (inner, own, rows)
-
-    def update(self, rows: np.ndarray, gradient: np.ndarray, seen: np.ndarray) -> None:
-        """One step against the gradient, scaled by how often a feature was seen."""
-        scale = seen[:, None] * self.spread[rows] + 5.0
-        self.weights[rows] -= np.clip(RATE * gradient / scale, -1, 1).astype(np.float32)
+    def contexts(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the previous word, the one before, and their pair; ``first`` marks a text's first token."""
+        previous = np.concatenate([[_START], words[:-1]])
+        previous[first] = _START
+        before = np.concatenate([[_START], previous[:-1]])
+        before[first] = _START
+        return [previous, before * _FACTORS[1], mix(previous + before * _FACTORS[2])]
+
+    def levels(self, v: Vocabulary, leaves: np.ndarray, contexts: list[np.ndarray]):
+        """From the leaves up: which tokens, their branches, rows of weights, and chances of all branches."""
+        at, child, inner, root = np.arange(len(leaves)), leaves, len(v.parent) - len(v.log), len(v.parent) - 1
+        while len(at):
+            node = v.parent[child]
+            own = (node - inner).astype(np.uint64) * _FACTORS[3]
+            logits, rows = v.log[node - inner], []
+            for x in contexts:
+                row = x[at] ^ own
+                row ^= row >> np.uint64(32)
+                row *= _FACTORS[0]
+                rows.append((row >> np.uint64(64 - self.bits)).astype(np.int32))
+                logits += self.weights[rows[-1]]
+            chances = np.exp(logits, out=logits)
+            chances /= chances.sum(axis=1, keepdims=True)
+            yield at, v.branch[child].astype(np.int64), rows, chances
+            on = node != root
+            at, child = at[on], node[on]
+
+    def logs(self, v: Vocabulary, leaves: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """Log chances of the leaves."""
+        out = np.zeros(len(leaves))
+        for at, branch, _, chances in self.levels(v, leaves, contexts):
+            out[at] += np.log(chances[np.arange(len(at)), branch] + 1e-30)
+        return out
+
+    def update(self, block: int, sums: bytes) -> None:
+        """One step for a block of rows against the gradient, scaled by the variance of a weight's outcome."""
+        gradient, expected = np.frombuffer(sums, np.float32).reshape(2, BLOCK, WAYS)
+        spread = expected * (1 - expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-6))
+        self.weights[block * BLOCK : (block + 1) * BLOCK] -= np.clip(RATE * gradient / (spread + 5.0), -1, 1)
 
 
 def _gradient(vocabulary, model):
-    """Rows (feature row, times seen, gradient by column) of a task's documents."""
-    names = ["f", "seen", *(f"g{i}" for i in range(WIDTH))]
+    """Blocks of a task's gradients and expected numbers by branch, as half floats of 1/64 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((_ROWS, WIDTH)), np.zeros(_ROWS)
-
-        def add(rows: np.ndarray, part: np.ndarray) -> None:
-            by = np.argsort(rows, kind="stable")
-            used, at = np.unique(rows[by], return_index=True)
-            total[used, : part.shape[1]] += np.add.reduceat(part[by], at, axis=0)
-            seen[used] += np.diff(np.concatenate([at, [len(rows)]]))
-
+        v, m = vocabulary.value, model.value
+        expected, found = np.zeros(m.weights.shape, np.float32), np.zeros(m.weights.size, np.float32)
         for batch in batches:
             texts = [x.lower() for x in encoded(batch.column("text"))]
             for start, end in chunks(texts, 1 << 18):
-                ids, first, _ = _with_ends(vocabulary.value, texts[start:end])
-                _, (top, kind, features), (inner, own, rows) = model.value.chances(ids, first)
-                top[np.arange(len(ids)), kind] -= 1
-                inner[np.arange(len(own)), own] -= 1
-                for x in features:
-                    add(x, top)
-                if len(own):
-                    for x in rows[1:]:
-                        add(x, inner)
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used]), *(pa.array(total[used, i]) for i in range(WIDTH))], names)
-
-    return run, "f int, seen double, " + ", ".join(f"g{i} double" for i in range(WIDTH))
-
-
-def _with_ends(vocabulary: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Ids of all tokens with each text's end, where texts begin, and the words behind them."""
+                leaves, first, tokens, _ = _with_ends(v, texts[start:end])
+                for _, branch, rows, chances in m.levels(v, leaves, m.contexts(tokens, first)):
+                    for row in rows:
+                        np.add.at(found, row * WAYS + branch, np.float32(1))
+                        by = np.argsort(row)
+                        row = row[by]
+                        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                        expected[row[edge]] += np.add.reduceat(chances[by], edge, axis=0)
+        both = np.stack([x.reshape(-1, BLOCK, WAYS) for x in (expected - found.reshape(expected.shape), expected)], axis=1)
+        del expected, found
+        used = np.flatnonzero(both[:, 1].any(axis=(1, 2)))
+        for i in range(0, len(used), 256):
+            some = used[i : i + 256]
+            halves = np.clip(both[some] / 64, -65_000, 65_000).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x.tobytes() for x in halves], pa.binary())], ["block", "sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each block's half floats, as floats."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, part in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
+            part = np.frombuffer(part, np.float16).astype(np.float32) * 64
+            sums[block] = sums[block] + part if block in sums else part
+    for block, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "sums"])
+
+
+def _with_ends(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Leaves of all tokens with each text's end, where texts begin, the tokens' hashes, and the words behind them."""
     words, shapes, bounds = tokens_of(texts)
-    ids = np.insert(vocabulary.ids(words, shapes), bounds[1:], END)
-    return ids, bounds[:-1] + np.arange(len(texts)), (words, shapes, bounds)
+    leaves = np.insert(v.leaves(words, shapes), bounds[1:], v.end)
+    return leaves, bounds[:-1] + np.arange(len(texts)), np.insert(words, bounds[1:], _START), (words, shapes, bounds)
 
 
 def train_model(train: DataFrame, vocabulary, model: MaxEnt) -> None:
-    """STEPS updates, each over one slice of the training documents."""
+    """STEPS updates and more for large corpora, each over one slice of the training documents."""
     context = train.sparkSession.sparkContext
-    columns = [f"g{i}" for i in range(WIDTH)]
-    slices = F.pmod(F.xxhash64("doc_id", "text"), F.lit(STEPS))
-    for step in range(STEPS):
-        run, schema = _gradient(vocabulary, context.broadcast(model))
-        rows = train.where(slices == step).select("text").coalesce(2 * context.defaultParallelism).mapInArrow(run, schema)
-        found = rows.groupBy("f").agg(F.sum("seen").alias("seen"), *(F.sum(c).alias(c) for c in columns)).toArrow()  # _ROWS rows at most
-        if found.num_rows:
-            model.update(found["f"].to_numpy(), np.stack([found[c].to_numpy() for c in columns], axis=1), found["seen"].to_numpy())
+    steps = STEPS + max(0, int(log2(max(1, vocabulary.value.total) / 1e6) / 2))
+    slices, tasks, schema = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)), context.defaultParallelism, "block int, sums binary"
+    for step in range(steps):
+        rows = train.where(slices == step).select("text").coalesce(tasks).mapInArrow(_gradient(vocabulary, context.broadcast(model)), schema)
+        found = rows.repartition(tasks, "block").mapInArrow(_added, schema).toArrow()  # the size of the weights twice at most
+        for block, sums in zip(found["block"], found["sums"]):
+            model.update(block.as_py(), sums.as_py())
 
 
 def _scored(vocabulary, model):
@@ -259,16 +308,14 @@ def _scored(vocabulary, model):
             texts = [x.lower() for x in encoded(batch.column("text"))]
             parts = []
             for start, end in chunks(texts, 1 << 18):
-                ids, first, (words, shapes, bounds) = _with_ends(v, texts[start:end])
-                log = model.value.chances(ids, first)[0] / np.log(10)
+                leaves, first, tokens, (words, shapes, bounds) = _with_ends(v, texts[start:end])
+                log = model.value.logs(v, leaves, MaxEnt.contexts(tokens, first)) / np.log(10)
                 count = np.diff(bounds)
-                unique, back = np.unique(words, return_inverse=True)
-                at = np.minimum(np.searchsorted(v.words, unique), max(0, len(v.words) - 1))
-                known = v.words[at] == unique if len(v.words) else np.zeros(len(unique), bool)
-                value = np.where(known, np.log10(np.where(known, v.counts[at] if len(v.words) else 0, 0) + 0.5), 0.0)[back]
-                known = known[back]
-                tail = np.delete(ids, bounds[1:] + np.arange(len(count))) > END
-                own = np.where(tail, value - shape_least[shapes], 0.0)
+                own_leaf = np.delete(leaves, bounds[1:] + np.arange(len(count)))
+                known = own_leaf < v.end
+                value = np.zeros(len(words))
+                value[known] = np.log10(v.counts[own_leaf[known]] + 0.5)
+                own = np.where(known, 0.0, -shape_least[shapes])
                 document = np.repeat(np.arange(len(count)), count)
                 sums = lambda x: np.bincount(document, weights=x, minlength=len(count))  # noqa: B023, E731
                 base = sums(value) + np.log10(v.ends + 0.5) - (count + 1) * base_least
@@ -299,7 +346,7 @@ def lm_report(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("h"), held(F.col("doc_id"), 5, 1).alias("held_out"))
     train = keyed.where("not held_out")
     counted, rest = count_words(train)
-    model = MaxEnt(counted)
+    model = MaxEnt(counted.pairs)
     vocabulary = context.broadcast(counted)
     train_model(train, vocabulary, model)
     schema = "doc_id long, h long, held_out boolean, n_tokens long, known long, base double, score double, cold array<long>, cold_n array<int>"
