@@ -165,6 +165,14 @@ def test_html():
     assert html_main.main_text("<a href='x>y <p>1 < 2") is not None
 
 
+def test_html_with_mixed_names():
+    long = "word " * 80 + "end."
+    for open_, close in (("<main class=has-sidebar>", "</main>"), ("<div class='content with-sidebar'>", "</div>"), ("<article class='post category-legal'>", "</article>"), ("<div class='site-sidebar'>", "</div>"), ("<form id=search-form>", "</form>")):
+        for title in ("entry-title", "post-title"):
+            page = f"<body><nav><a>home</a> <a>other</a></nav>{open_}<h1 class={title}>The headline</h1><p>{long}</p><div class=ad-slot>buy now</div><p>{long}</p>{close}<div class='footer section'>legal words of a foot</div></body>"
+            assert html_main.main_text(page) == f"The headline\n{long}\n{long}", (open_, title)
+
+
 def test_html_on_tables(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x &copy; y</p>")], "page_id long, url string, html string")
     assert as_counter(html_main.extract_main_text(pages).collect()) == Counter({(1, "u", "", 0): 2, (None, None, "x © y", 5): 1})

@@ -4,7 +4,9 @@ A page becomes a sequence of words and tags.  Plain words score positive, tags,
 link words and words inside boilerplate elements negative; the weights are log
 odds counted on labelled pages.  One linear scan finds the contiguous run of the
 highest total, the content region.  Its words are returned block by block,
-without those inside boilerplate elements.
+without those inside boilerplate elements.  Articles, headings, elements that a whole name
+calls content, and an element that holds most of the page's plain words are not
+boilerplate, whatever else their names say.
 
 Null html is empty.  A page without words has an empty text.  Pages are
 independent, so repeated rows or urls do not matter.
@@ -41,6 +43,13 @@ BOILERPLATE = (
 ).split()
 CONTENT = "article main content post entry story body text page section".split()
 
+#: Boilerplate as elements, but not as pieces of a class or id (entry-title, card-head).
+ELEMENTS_ONLY = set("head title button select figure legal form".split())
+#: Elements that no name makes boilerplate; names that stand for content if they are a whole name's only known pieces.
+KEPT, STRONG = set("article main h1 h2 h3 h4 h5 h6".split()), set("article main content post entry story".split())
+#: Names that begin so tell what an element has beside it or is filed under, not what it is.
+_ASIDE = re.compile(r"(?:has|with|without|no|category|tag)[-_]")
+
 
 def labelled_pages() -> Iterator[list[tuple[list[str], str, bool]]]:
     """Labelled pages by rule: segments (names of the elements around, html, is it content).
@@ -92,10 +101,18 @@ class Weights:
 
     def is_boilerplate(self, tag: str, attributes: str) -> bool:
         """Whether an element's names say boilerplate more than content."""
-        found = [tag]
+        if tag in KEPT:
+            return False
+        total = self.names.get(tag, 0.0)
+        if total < -1.0:
+            return True
         for match in _NAMES.finditer(attributes):
-            found += _PIECES.findall((match[1] or match[2] or match[3] or "").lower())
-        return sum(self.names.get(x, 0.0) for x in found) < -1.0
+            for name in (match[1] or match[2] or match[3] or "").lower().split():
+                known = [] if _ASIDE.match(name) else [x for x in _PIECES.findall(name) if x in self.names and x not in ELEMENTS_ONLY]
+                if known and all(x in STRONG for x in known):
+                    return False
+                total += sum(self.names[x] for x in known)
+        return total < -1.0
 
 
 WEIGHTS = Weights()
@@ -103,7 +120,20 @@ WEIGHTS = Weights()
 
 def main_text(page: str, weights: Weights = WEIGHTS) -> str:
     """The text of the content region, one line for each block."""
+    kept: set[int] = set()
+    while True:
+        chunks, held, plain = _scan(page, weights, kept)
+        most = [x for x, count in held.items() if 2 * count > plain]
+        if not most:
+            return _region(chunks)
+        kept.update(most)
+
+
+def _scan(page: str, weights: Weights, kept: set[int]) -> tuple[list[tuple[float, str | None, bool]], dict[int, int], int]:
+    """The page's chunks, the plain words of boilerplate elements by name (by place), and all plain words outside the others."""
     chunks: list[tuple[float, str | None, bool]] = []  # score, text or None for a block's edge, is it content
+    held: dict[int, int] = {}
+    outer, plain = -1, 0  # place of the outermost boilerplate element, if its names alone make it one
     bad: list[tuple[str, int]] = []  # open boilerplate elements and how many of their kind are open inside
     article = link = 0
     for match in _TOKEN.finditer(page):
@@ -122,7 +152,9 @@ def main_text(page: str, weights: Weights = WEIGHTS) -> str:
                 bad[-1:] = [(tag, depth)] if depth else []
             elif not end and tag not in VOID and tag not in ("html", "body"):
                 in_article_header = tag in ("header", "figure") and article > 0
-                if not in_article_header and weights.is_boilerplate(tag, match[4]):
+                if not in_article_header and match.start() not in kept and weights.is_boilerplate(tag, match[4]):
+                    if not bad:
+                        outer = match.start() if tag == "form" or weights.names.get(tag, 0.0) >= -1.0 else -1
                     bad.append((tag, 1))
             if tag in INLINE:
                 chunks.append((weights.inline, " " if tag == "br" else "", not bad))
@@ -133,6 +165,15 @@ def main_text(page: str, weights: Weights = WEIGHTS) -> str:
             count = len(text.split())
             score = weights.boilerplate if bad else weights.link if link else weights.word
             chunks.append((score * count, text, not bad))
+            if not link and (not bad or outer >= 0):
+                plain += count
+                if bad:
+                    held[outer] = held.get(outer, 0) + count
+    return chunks, held, plain
+
+
+def _region(chunks: list[tuple[float, str | None, bool]]) -> str:
+    """The content words of the contiguous run of the highest total."""
     best = total = 0.0
     start = first = last = 0
     for i, (score, _, _) in enumerate(chunks):
