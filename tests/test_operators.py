@@ -188,3 +188,13 @@ def test_counter_delta(spark):
     now = spark.createDataFrame([("a", 5), ("b", 2), ("c", 1)], "k string, n int")
     old = spark.createDataFrame([("a", 3), ("b", 4)], "k string, n int")
     assert sorted(map(tuple, statistics.counter_delta(now, old, ["k"], "n").collect())) == [("a", 2), ("c", 1)]
+
+
+def test_links_and_description_of_any_markup(spark, tmp_path):
+    from weftwork.plans.queries import QUERIES
+
+    page = """<head><meta content='A "b" &amp; c' name=Description></head><a href='about.html'>1</a><a class="x" href=../up>2</a><a data-href="no" href="?p=2">3</a><a href="/root">4</a><a href="mailto:a@b.c">5</a><a href="">6</a><a href="about.html#s">7</a>"""
+    spark.createDataFrame([(1, "https://h.org/a/b/c", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.pos, r.link) for r in QUERIES["page_links"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "https://h.org/a/b/about.html"), (1, "https://h.org/a/up"), (2, "https://h.org/a/b/c?p=2"), (3, "https://h.org/root")}
+    assert QUERIES["page_title_meta"](spark, str(tmp_path)).first().description == 'A "b" & c'

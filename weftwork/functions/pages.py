@@ -208,8 +208,24 @@ def native_text(page: Column) -> Column:
     return collapsed(unescaped(F.regexp_replace(F.regexp_replace(body, r"<!--|-->", " "), r"<[^>]*>", " ")))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a tag, quoted or bare; empty if it has none."""
+    value = F.regexp_extract(tag, rf"""(?is)^<\w+(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|/|\s)*?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.trim(unescaped(F.regexp_replace(value, r"""^["']|["']$""", "")))
+
+
+def _tags(page: Column, name: str) -> Column:
+    return F.regexp_extract_all(page, F.lit(rf"""(?is)<{name}\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+
+
 def native_hrefs(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    return F.transform(_tags(page, "a"), lambda x: _attribute(x, "href"))
+
+
+def native_description(page: Column) -> Column:
+    """The content of the first meta element named description, else empty."""
+    found = F.filter(_tags(page, "meta"), lambda x: F.lower(_attribute(x, "name")) == "description")
+    return F.coalesce(collapsed(_attribute(F.get(found, F.lit(0)), "content")), F.lit(""))
 
 
 def native_headings(page: Column) -> Column:

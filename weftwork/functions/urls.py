@@ -75,6 +75,12 @@ def join_url(base: pa.Array, href: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def resolved(base: Column, href: Column) -> Column:
+    """Any reference to an http or https page: the fast path, or ``join_url`` where that is null; empty ones are null."""
+    other = F.when(F.trim(href) != "", join_url(base, href))
+    return F.coalesce(absolute(base, href), F.when(is_valid(other), other))
+
+
 def limiter_key(domain: Column) -> Column:
     """Key of the rate limiter: trimmed, lower-case, without trailing dots."""
     return F.regexp_replace(F.lower(F.trim(domain)), r"\.+$", "")

@@ -70,14 +70,14 @@ def same_domain_semi(spark, sf_dir):
 @query
 def page_title_meta(spark, sf_dir):
     """FN8, FN13."""
-    return _read(spark, sf_dir, "pages").select("page_id", html.native_title(F.col("html")).alias("title"), F.lit("").alias("description"))
+    return _read(spark, sf_dir, "pages").select("page_id", html.native_title(F.col("html")).alias("title"), html.native_description(F.col("html")).alias("description"))
 
 
 @query
 def page_links(spark, sf_dir):
     """FN6, FN3, WIN7: resolved links with the place of their first mention."""
     links = _read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(html.native_hrefs(F.col("html"))).alias("pos", "href"))
-    target = urls.absolute(F.col("url"), F.col("href"))
+    target = urls.resolved(F.col("url"), F.col("href"))
     return links.select("page_id", "pos", target.alias("link")).where("link is not null").groupBy("page_id", "link").agg(F.min("pos").cast("long").alias("pos"))
 
 
@@ -219,7 +219,7 @@ def frontier_order_cap(spark, sf_dir):
     """WIN6, SRT4, JN1, SRC13: links of the first pages, deduplicated, in order, capped."""
     pages = _read(spark, sf_dir, "pages")
     links = pages.select("page_id", "url", F.posexplode(html.native_hrefs(F.col("html"))).alias("pos", "href"))
-    found = links.select(urls.absolute(F.col("url"), F.col("href")).alias("link"), F.struct(F.col("page_id"), F.col("pos").cast("long").alias("pos")).alias("place"))
+    found = links.select(urls.resolved(F.col("url"), F.col("href")).alias("link"), F.struct(F.col("page_id"), F.col("pos").cast("long").alias("pos")).alias("place"))
     fresh = found.where("link is not null").groupBy("link").agg(F.min("place").alias("place"))
     top = fresh.join(pages.select(F.col("url").alias("link")), "link", "left_anti").orderBy("place").limit(50)
     return top.select("link", F.row_number().over(Window.orderBy("place")).cast("long").alias("seq"))
