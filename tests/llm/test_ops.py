@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -407,3 +408,41 @@ def test_pipeline(spark):
     got = {(r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in docs}
     assert [name for name, _ in corpus_pipeline.STAGES] and json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_measures_stay_linear_under_a_filter(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"], k=n)) for n in (5_000, 20_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(quality.measures(F.col("text")).alias("m"))
+    began = time.time()
+    got = rows.where(quality.RULES["base"][0]).select("m.*").collect()  # every window repeats, so both fail
+    assert time.time() - began < 30 and sorted(r.n_words for r in got) == [5_000, 20_000]
+    assert [r.n_repeat_words for r in got] == [_measures(t)[4] for t in texts]
+
+
+def test_quality_stage_on_long_texts(spark):
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(20_000))
+    docs = spark.createDataFrame([(i, long if i == 0 else long[i * 500 : i * 500 + 500], "en", "a", 1) for i in range(40)] + [(99, "short", "en", "a", 1)], SCHEMA)
+    got = stages.quality_rules(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
+def test_line_runs_are_compacted_and_leave_the_catalog(spark, docs):
+    assert line_dedup.layout(1_000) == (4, 16) and line_dedup.layout(2_000_000_000) == (4, 250) and line_dedup.layout(10**12) == (10, 50_000)
+    before = {t.name for t in spark.catalog.listTables()}
+    line_dedup.drop_common_lines(docs, batches=6).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    runs, keys = line_dedup.LineRuns(spark, 2), spark.range(40).selectExpr("id % 5 AS __k1", "id % 5 AS __k2")
+    for _ in range(8):
+        runs.add(keys)
+    assert sum(map(len, runs.settled)) <= 3 and {(r["__k1"], r.n_docs >= 2) for r in runs.frequent().collect()} == {(i, True) for i in range(5)}
+    runs.close()
+
+
+def test_line_dedup_keeps_clashing_columns(docs):
+    names = ("__h", "__g", "__d", "__drops", "__k1", "n_docs")
+    extra = docs.withColumns({x: F.lit(7) for x in names})
+    got = line_dedup.drop_common_lines(extra)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", *names, "__kept", "__lines", "__dropped"]
+    assert got.where(" and ".join(f"`{x}` = 7" for x in names)).count() == docs.count()

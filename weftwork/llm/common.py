@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,24 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return out
 
 
-def total(df: DataFrame, column: str) -> int:
-    return int(df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once for each row, whatever the optimizer does with the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no name in ``taken`` is the same."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters they hold."""
+    return [df[f"`{x.replace('`', '``')}`"] for x in names]
 
 
 def join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], size: str, all_rows: int, how: str = "inner") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import HOT_SHARE, join_counts, saved, text_key
+from weftwork.llm.common import HOT_SHARE, columns_of, free_names, join_counts, saved, text_key
 from weftwork.llm.text import chunks, encoded, mix, shingles, word_hashes
 
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
@@ -408,15 +408,13 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
     return JaccardJoin(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-
-
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept."""
+    """``docs`` with one document of each component, all columns kept, whatever their names."""
     kept = saved(JaccardJoin(docs, k, num, den).representatives(), "kept")
-    kept = kept.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
-    met = docs.withColumn("__g", text_key(F.col("text")))
-    met = met.join(kept.hint("shuffle_hash"), met["doc_id"].eqNullSafe(kept["__d"]) & (met["__g"] == kept["__h"]))
-    if kept.where("__copies > 1").isEmpty():
-        return met.select(*docs.columns)
-    once = met.where("__copies = 1").unionByName(met.where("__copies > 1").dropDuplicates(["doc_id", "__g"]))
-    return once.select(*docs.columns)
+    d, h, copies, g = free_names(docs.columns, "__d", "__h", "__copies", "__g")
+    kept = kept.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("copies").alias(copies))
+    met = docs.withColumn(g, text_key(F.col("text")))
+    met = met.join(kept.hint("shuffle_hash"), met["doc_id"].eqNullSafe(kept[d]) & (met[g] == kept[h]))
+    if not kept.where(F.col(copies) > 1).isEmpty():
+        met = met.where(F.col(copies) == 1).unionByName(met.where(F.col(copies) > 1).dropDuplicates(["doc_id", g]))
+    return met.select(*columns_of(met, docs.columns))

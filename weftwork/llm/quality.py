@@ -14,53 +14,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import HOT_SHARE, saved
+from weftwork.llm.common import HOT_SHARE, columns_of, let, saved
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 #: Rules by name: failing documents, and the shrunk rate above which a host is rejected.
 RULES: dict[str, tuple[str, float]] = {
-    "base": ("__base", 0.5),
-    "symbols": ("n_symbols > n_words", 0.5),
-    "dup_lines": ("2 * n_dup_lines > __lines", 0.5),
+    "base": ("m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words", 0.5),
+    "symbols": ("m.n_symbols > m.n_words", 0.5),
+    "dup_lines": ("2 * m.n_dup_lines > m.n_lines", 0.5),
 }
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measures of the whole text, ``__lines`` and ``__base``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(whole, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(
-        "*",
-        words.alias("__words"),
-        lines.alias("__with_word"),
-        (F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(whole, SPACE, "")).cast("long").alias("word_chars"),
-    )
-    w = F.col("__words")
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))))
-    out = out.withColumn("__sorted", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
-    s = F.col("__sorted")
-    # a window that repeats stands beside its like once the windows are sorted
-    like = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
-    twice = F.filter(s, lambda x, k: like(x, k - 1) | like(x, k + 1))
-    covered = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    out = out.select(
-        *[x for x in out.columns if x not in ("__words", "__with_word", "__sorted")],
-        F.size(w).cast("long").alias("n_words"),
-        F.size("__with_word").cast("long").alias("__lines"),
-        (F.size("__with_word") - F.size(F.array_distinct("__with_word"))).cast("long").alias("n_dup_lines"),
-        F.size(covered).cast("long").alias("n_repeat_words"),
-    )
-    return out.withColumn("__base", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-
-
-def host_rates(metrics: DataFrame, host: str = "source") -> DataFrame:
-    """Per host: its documents and, for each rule, how many of them fail."""
+def _repeated(w: Column) -> Column:
+    """How many of the words ``w`` lie in three-word windows that are found twice or more."""
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
+
+    def covered(s: Column) -> Column:
+        # a window that repeats stands beside its like once the windows are sorted
+        like = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        twice = F.filter(s, lambda x, k: like(x, k - 1) | like(x, k + 1))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    return F.when(F.size(w) >= 3, let(F.sort_array(windows), covered)).otherwise(F.lit(0))
+
+
+def measures(text: Column) -> Column:
+    """A struct of MEASURES and ``n_lines`` (lines with a word) of the whole text.
+
+    Each step is bound once inside the expression, so its cost stays linear in
+    the words (but for the sort) even where a filter on it is pushed down.
+    """
+
+    def of(whole: Column) -> Column:
+        words = F.filter(F.split(whole, SPACE), lambda w: w != "")
+        lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        return let(
+            F.struct(words.alias("w"), lines.alias("l")),
+            lambda a: F.struct(
+                F.size(a["w"]).cast("long").alias("n_words"),
+                F.length(F.regexp_replace(whole, SPACE, "")).cast("long").alias("word_chars"),
+                (F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+                (F.size(a["l"]) - F.size(F.array_distinct(a["l"]))).cast("long").alias("n_dup_lines"),
+                _repeated(a["w"]).cast("long").alias("n_repeat_words"),
+                F.size(a["l"]).cast("long").alias("n_lines"),
+            ),
+        )
+
+    return let(F.coalesce(text, F.lit("")), of)
+
+
+def host_rates(rows: DataFrame) -> DataFrame:
+    """Per host (``host``, with the measures ``m``): its documents and, for each rule, how many of them fail."""
     fails = [F.coalesce(F.sum(F.expr(test).cast("long")), F.lit(0)).alias(f"fail_{name}") for name, (test, _) in RULES.items()]
-    return metrics.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("__n"), *fails)
+    return rows.groupBy(F.col("host").alias("__host")).agg(F.count(F.lit(1)).alias("__n"), *fails)
 
 
 def beta_prior(hosts: DataFrame, rule: str) -> tuple[float, float]:
@@ -94,8 +102,8 @@ def rejects(hosts: DataFrame) -> Column:
     return bad
 
 
-def judged(rows: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
-    """``rows`` (measured) with ``__kept``: neither the document nor its host fails.
+def judged(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``rows`` (host, m and others) with base_failed and kept: neither the document nor its host fails.
 
     Verdicts of hosts with more than 1/HOT_SHARE of the documents are broadcast,
     at most HOT_SHARE rows; the documents of other hosts meet theirs in a shuffle.
@@ -105,29 +113,27 @@ def judged(rows: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame
     verdicts = hosts.withColumn("__bad", rejects(hosts))
     hot = F.broadcast(verdicts.where(F.col("__n") > limit).select("__host", "__bad"))
     cold = verdicts.where((F.col("__n") <= limit) & F.col("__bad")).select("__host", "__bad")
-    met = rows.join(hot, rows[host].eqNullSafe(hot["__host"]), "left")
+    met = rows.join(hot, rows["host"].eqNullSafe(hot["__host"]), "left")
     ready = met.where(F.col("__bad").isNotNull()).drop("__host")
     rest = met.where(F.col("__bad").isNull()).drop("__host", "__bad")
-    rest = rest.join(cold, rest[host].eqNullSafe(cold["__host"]), "left").drop("__host")
-    out = ready.unionByName(rest)
-    return out.withColumn("__kept", ~F.col("__base") & ~F.coalesce(F.col("__bad"), F.lit(False))).drop("__bad")
+    rest = rest.join(cold, rest["host"].eqNullSafe(cold["__host"]), "left").drop("__host")
+    out = ready.unionByName(rest).withColumn("base_failed", F.expr(RULES["base"][0]))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("__bad"), F.lit(False))).drop("__bad")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Per document: the measures, base_failed and kept."""
-    metrics = saved(measured(docs.select("doc_id", "text", "source")).drop("text"), "quality")
-    hosts = saved(host_rates(metrics), "hosts")
-    out = judged(metrics, hosts)
-    return out.select("doc_id", *MEASURES, F.col("__base").alias("base_failed"), F.col("__kept").alias("kept"))
+    rows = saved(docs.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m")), "quality")
+    out = judged(rows, saved(host_rates(rows), "hosts"))
+    return out.select("doc_id", *[f"m.{x}" for x in MEASURES], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of ``docs``.
+    """The documents that are kept, with the columns of ``docs``, whatever their names.
 
-    The texts are measured once, for the hosts and for themselves: only
-    documents that pass their own rules go on to meet their host's verdict.
+    The texts are measured once and written with their measures, from which the
+    hosts are judged and then the documents.
     """
-    keep = docs.columns
-    thin = saved(measured(docs.select("text", "source")).drop("text"), "quality")
-    hosts = saved(host_rates(thin), "hosts")
-    return judged(measured(docs), hosts).where("__kept").select(*keep)
+    whole = F.struct(*columns_of(docs, docs.columns)).alias("doc")
+    rows = saved(docs.select(whole, F.col("source").alias("host"), measures(F.col("text")).alias("m")), "quality")
+    return judged(rows, saved(host_rates(rows), "hosts")).where("kept").select("doc.*")

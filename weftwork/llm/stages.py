@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm.bpe import public_bpe_report
+from weftwork.llm.common import columns_of
 from weftwork.llm.decontaminate import without_contaminated
 from weftwork.llm.jaccard_join import one_of_each
 from weftwork.llm.line_dedup import drop_common_lines
@@ -19,8 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text."""
-    out = drop_common_lines(docs).withColumnsRenamed({"__kept": "text"})
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = drop_common_lines(docs).withColumnRenamed("__kept", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns_of(out, docs.columns))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
