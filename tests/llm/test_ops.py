@@ -446,3 +446,35 @@ def test_line_dedup_keeps_clashing_columns(docs):
     got = line_dedup.drop_common_lines(extra)
     assert got.columns == ["doc_id", "lang", "source", "n_chars", *names, "__kept", "__lines", "__dropped"]
     assert got.where(" and ".join(f"`{x}` = 7" for x in names)).count() == docs.count()
+
+
+def test_decontamination_finds_split_items(spark):
+    """Items of 60 to 130 words in 2 to 5 parts, far from each other, in long texts; and many equal items."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    items, texts = [], []
+    for n in range(60):
+        item = [word() for _ in range(rng.randrange(60, 131))]
+        parts = rng.randrange(2, 6)
+        cuts = sorted(rng.sample(range(10, len(item) - 10), parts - 1))
+        text = []
+        for a, b in zip([0, *cuts], [*cuts, len(item)]):
+            text += [word() for _ in range(rng.randrange(2_000, 2_500))] + item[a:b]
+        texts.append((n, " ".join(text)))
+        items.append((n, " ".join(item)))
+    sets = {n: shingle_set(t, 5) for n, t in items}
+    want = {(i, n) for i, t in texts for n in ([i] if 100 * len(sets[i] & shingle_set(t, 5)) >= 80 * len(sets[i]) else [])}
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in texts], SCHEMA)
+    many = [(1000 + i, items[7][1]) for i in range(3000)] if any(i == 7 for i, _ in want) else []
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination_report(docs, spark.createDataFrame(items + many, "item_id long, text string")).collect()}
+    assert {x for x in got if x[1] < 1000} == want and len(want) > 30 and {x for x in got if x[1] >= 1000} == {(7, i) for i, _ in many}
+
+
+def test_decontamination_with_many_items(spark):
+    """50,000 items in one scan; the bitmap alone comes to the driver."""
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=rng.randrange(8, 40)))) for n in range(50_000)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=200)) + " " + items[i * 97][1] + " " + " ".join(rng.choices(vocabulary, k=200)), None, None, 1) for i in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination_report(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i * 97) for i in range(200)}

@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import HOT_SHARE, columns_of, free_names, join_counts, saved, text_key
-from weftwork.llm.text import chunks, encoded, mix, shingles, word_hashes
+from weftwork.llm.common import HOT_SHARE, columns_of, free_names, join_counts, near, saved, text_key
+from weftwork.llm.text import chunks, digest, encoded, lean, mix, shingles, word_hashes
 
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
 FREQUENT = 500_000
 #: A shingle counts as frequent from so many documents of a block of BLOCK shingles.
 LOCAL, BLOCK = 2, 2_000_000
-#: Rows of long keys that are broadcast at most.
-SMALL = 500_000
 #: Pivot rounds before the remaining pairs are compared one by one.
 ROUNDS = 1
 #: Lists of at most so many members are then compared pair by pair; in longer ones,
@@ -53,13 +51,6 @@ def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         yield np.unique(runs[to[i] : to[i + 1]])
 
 
-def _class(tokens: np.ndarray) -> int:
-    """A signed 64-bit digest of a set."""
-    value = int(np.sum(mix(tokens ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)) ^ len(tokens) * 0x9E3779B97F4A7C15
-    value = int(mix(np.array([value & 2**64 - 1], np.uint64))[0])
-    return value - (value >> 63 << 64)
-
-
 def _each_set(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for low in range(0, batch.num_rows, 512):
         texts = [x.lower() for x in encoded(batch.column("text").slice(low, 512))]
@@ -88,7 +79,7 @@ def _survey(k: int):
         for batch in batches:
             classes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, tokens in _each_set(batch, k):
-                classes[i], sizes[i] = _class(tokens), len(tokens)
+                classes[i], sizes[i] = digest(tokens), len(tokens)
                 block.append(tokens)
                 size += len(tokens)
                 if size >= BLOCK:
@@ -138,7 +129,7 @@ def _postings(orders, k: int):
         for batch in batches:
             tokens_out, classes_out = [], []
             for _, tokens in _each_set(batch, k):
-                if len(tokens) and (c := _class(tokens)) not in met:
+                if len(tokens) and (c := digest(tokens)) not in met:
                     met.add(c)
                     (prefix,) = orders.value.prefixes(tokens, range(1))
                     tokens_out.append(prefix)
@@ -157,7 +148,7 @@ def _filters(orders, k: int):
             rows = []
             for _, tokens in _each_set(batch, k):
                 prefixes = orders.value.prefixes(tokens, range(1, 3))
-                rows.append((_class(tokens), len(tokens), *(np.unique(x >> np.uint64(48)).astype(np.uint16).view(np.int16) for x in prefixes)))
+                rows.append((digest(tokens), len(tokens), *(np.unique(x >> np.uint64(48)).astype(np.uint16).view(np.int16) for x in prefixes)))
             kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int16())] * 2]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["c", "n", "p2", "p3"])
 
@@ -169,7 +160,7 @@ def _whole(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(_class(tokens), tokens.view(np.int64)) for _, tokens in _each_set(batch, k)]
+            rows = [(digest(tokens), tokens.view(np.int64)) for _, tokens in _each_set(batch, k)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], ["c", "s"])
 
     return run
@@ -199,11 +190,6 @@ def components(links: DataFrame) -> DataFrame:
     return saved(pairs.unionByName(pairs.select(F.col("comp").alias("c"), "comp").distinct()), "components")
 
 
-def near(keys: DataFrame) -> DataFrame:
-    """``keys``, marked for broadcast if their number is within SMALL."""
-    return F.broadcast(keys) if keys.count() <= SMALL else keys
-
-
 def _spanning(table: pa.Table, num: int, den: int) -> pa.Table:
     """Links that span the components among the sets of two blocks (or of one)."""
     names, sizes = table["c"].to_numpy(), table["n"].to_numpy()
@@ -252,7 +238,7 @@ class JaccardJoin:
         self.k, self.num, self.den = k, num, den
         self.docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("h"))
         schema = "kind int, doc_id long, h long, c long, n long"
-        survey = saved(self.docs.mapInArrow(_survey(k), schema), "survey")
+        survey = saved(self.docs.mapInArrow(lean(_survey(k)), schema), "survey")
         self.rows = survey.where("kind = 0").drop("kind")
         top = survey.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(FREQUENT)
         self.frequent = saved(top, "frequent")
@@ -262,7 +248,7 @@ class JaccardJoin:
         self.links = self._linked()
 
     def _linked(self) -> DataFrame:
-        postings = saved(self.docs.mapInArrow(_postings(self.orders, self.k), "t long, c long"), "postings")
+        postings = saved(self.docs.mapInArrow(lean(_postings(self.orders, self.k)), "t long, c long"), "postings")
         # lists with more than 1/HOT_SHARE of all rows: of frequent shingles, so the table of those has them
         limit = max(1, postings.count() // HOT_SHARE)
         hot = F.broadcast(self.frequent.where(F.col("n") > limit).select(F.col("c").alias("t")))
@@ -277,7 +263,7 @@ class JaccardJoin:
         #: One document of each class in a posting list of two or more.
         self.chosen = saved(chosen.select("c", "x.doc_id", "x.h"), "chosen")
         schema = "c long, n long, p2 array<smallint>, p3 array<smallint>"
-        self.filters = saved(self._texts(self.chosen).mapInArrow(_filters(self.orders, self.k), schema), "filters")
+        self.filters = saved(self._texts(self.chosen).mapInArrow(lean(_filters(self.orders, self.k)), schema), "filters")
         tested = links = labels = None
         size = self.shared.count()
         for step in range(ROUNDS + 1):
@@ -346,7 +332,7 @@ class JaccardJoin:
     def _sets(self, classes: DataFrame) -> DataFrame:
         """The whole sets of classes, from the documents that stand for them."""
         chosen = self.chosen.join(near(saved(classes, "classes")), "c", "left_semi")
-        return saved(self._texts(saved(chosen, "chosen")).mapInArrow(_whole(self.k), "c long, s array<long>"), "sets")
+        return saved(self._texts(saved(chosen, "chosen")).mapInArrow(lean(_whole(self.k)), "c long, s array<long>"), "sets")
 
     def _may_link(self, one: str, two: str) -> Column:
         """Whether two prefixes of one order share enough.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from weftwork.llm.common import columns_of, free_names, fresh_path, join_counts, saved, text_key
-from weftwork.llm.text import SPACES, encoded
+from weftwork.llm.text import SPACES, encoded, lean
 
 KEY = ["__k1", "__k2"]
 _SEED2 = xxhash.xxh64_intdigest(struct.pack("<q", 7), 42)
@@ -162,7 +162,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int | None =
     what is common; within a document the first 64 tell its lines apart.
     """
     spark = docs.sparkSession
-    keys = saved(docs.select("doc_id", text_key(F.col("text")).alias("__h"), "text").mapInArrow(_document_keys, "doc_id long, __h long, __k1 long, __k2 long"), "line-keys")
+    keys = saved(docs.select("doc_id", text_key(F.col("text")).alias("__h"), "text").mapInArrow(lean(_document_keys), "doc_id long, __h long, __k1 long, __k2 long"), "line-keys")
     n = keys.count()
     planned, buckets = layout(n)
     batches = batches or planned
@@ -179,7 +179,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, batches: int | None =
     met = keyed.join(small.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(small[d]) & (keyed[h] == small[g]), "left")
     met = met.select(*columns_of(met, rest), "text", drops)
     fields = [*[x for x in met.schema.fields if x.name in rest], StructField("__kept", StringType()), StructField("__lines", LongType()), StructField("__dropped", LongType())]
-    return met.mapInArrow(_rewritten, StructType(fields))
+    return met.mapInArrow(lean(_rewritten), StructType(fields))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ so that no Python runs per word; a final mix spreads the bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; a worker outlives its tasks, so what Arrow's pool holds is given back after each."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -114,3 +126,10 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
         value = np.sum(own * factors[: len(own)], dtype=np.uint64, keepdims=True) + np.uint64(counts[i])
         out[to[i]] = mix(value ^ np.uint64(0x5107))[0]
     return out, to
+
+
+def digest(tokens: np.ndarray) -> int:
+    """A signed 64-bit digest of a set of hashes."""
+    value = int(np.sum(mix(tokens ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)) ^ len(tokens) * 0x9E3779B97F4A7C15
+    value = int(mix(np.array([value & 2**64 - 1], np.uint64))[0])
+    return value - (value >> 63 << 64)
