@@ -277,6 +277,54 @@ def test_toxicity(spark, docs):
     assert none.where("predicted = 1").isEmpty()
 
 
+def test_toxicity_averages_a_texts_subwords(monkeypatch):
+    """Gradients against differences, and scores against the average written out."""
+    monkeypatch.setattr(toxicity, "SEEN", 1)
+    texts, y = [b"you zqxvile thing", b"a nice thing here", b"zqxvil3 you you", b"nice nice day x"], np.array([1, 0, 1, 0])
+    model, bags = toxicity.SubwordModel(), toxicity.Bags.of([t.split() for t in texts])
+    model.known[bags.used] = True
+    model.vectors, model.weights, model.bias = (a.astype(np.float64) for a in (model.vectors, model.weights, model.bias))
+    cost = np.array([0.25, 0.5, 0.25, 0.5])
+
+    def logits(text):
+        grams, at = toxicity.subwords(text.split())
+        counted = [model.vectors[g] for g in grams if model.known[g]]
+        return toxicity.SCALE * np.mean(counted, axis=0) @ model.weights + model.bias
+
+    def loss():
+        rows = np.array([logits(t) for t in texts])
+        likely = rows[np.arange(4), y] - np.log(np.exp(rows).sum(axis=1))
+        return -(likely * cost).sum() + toxicity.DECAY / 2 * (model.vectors[bags.used] ** 2).sum()
+
+    found = model.gradients(bags, y, cost)
+    for table, gradient, places in ((model.vectors, found[0], [(0, 1), (5, 2), (9, 0)]), (model.weights, found[1], [(0, 0), (3, 1)]), (model.bias, found[2], [(0,), (1,)])):
+        for place in places:
+            at = (bags.used[place[0]], *place[1:]) if table is model.vectors else place
+            old = table[at]
+            table[at] = old + 1e-5
+            up = loss()
+            table[at] = old - 1e-5
+            slope = (up - loss()) / 2e-5
+            table[at] = old
+            assert abs(slope - gradient[place]) < 1e-3 * max(1, abs(slope)), (place, slope, gradient[place])
+    got = toxicity.Scorer(model).scores([*texts, b"", b"qqqqqqqqqqqqqq"])
+    want = [1 / (1 + math.exp(a - b)) for a, b in map(logits, texts)] + [1 / (1 + math.exp(model.bias[0] - model.bias[1]))] * 2
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_toxicity_of_long_clean_texts():
+    """Unseen words do not add up: a long clean text scores as a short one does."""
+    rng = random.Random(4)
+    name = lambda letters: "".join(rng.choices(letters, k=6))
+    names = [name("abcdefghij") for _ in range(300)]
+    texts = [" ".join(rng.choices(names, k=60) + (["zqxvile"] * 3 if i % 3 == 0 else [])).encode() for i in range(500)]
+    model = toxicity.SubwordModel()
+    model.train(texts, [int(i % 3 == 0) for i in range(500)])
+    long = " ".join(name("klmnoprstuvw") for _ in range(20_000)).encode()
+    scores = toxicity.Scorer(model).scores([long, " ".join(rng.choices(names, k=5_000)).encode(), texts[0], texts[3]])
+    assert scores[0] < 0.5 and scores[1] < 0.5 and min(scores[2:]) >= 0.5
+
+
 def test_language_model(spark, docs, corpus):
     train = [t for i, t, *_ in corpus if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     counts = Counter(w for t in train for w in words(lower(t)))
