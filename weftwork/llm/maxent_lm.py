@@ -13,8 +13,11 @@ number of different word pairs, so rows grow with the corpus, but slower than
 its pairs, and features share rows.  The constants are the log frequencies.  The
 other weights are trained in synchronous updates, STEPS and one more for each time
 the training tokens are four times as many, beyond a million; each takes the documents of one
-hash slice, so all training documents are used once.  Gradients are sums of
-sparse numpy batches in tasks, added up by a shuffle.
+hash slice, so all training documents are used once.  A gradient is, for each
+weight, how often its branch was taken where the model expected it: the numbers
+that were taken less those of one draw from the model at each branching, whose
+mean is the expectation.  Tasks count both in sparse numpy batches; a shuffle adds
+them up.
 
 Word counts are exact.  The DICTIONARY most frequent words are broadcast at
 most; the counts of rarer words are joined by a shuffle.
@@ -207,29 +210,26 @@ class MaxEnt:
         return [previous, before * _FACTORS[1], mix(previous + before * _FACTORS[2])]
 
     def levels(self, v: Vocabulary, leaves: np.ndarray, contexts: list[np.ndarray]):
-        """From the leaves up: which tokens, their branches, rows of weights, and chances of all branches."""
+        """From the leaves up: which tokens, their branches, rows of weights, and logits of all branches."""
         at, child, inner, root = np.arange(len(leaves)), leaves, len(v.parent) - len(v.log), len(v.parent) - 1
+        mixed = [(x ^ x >> np.uint64(29)) * _FACTORS[1] for x in contexts]
         while len(at):
             node = v.parent[child]
             own = (node - inner).astype(np.uint64) * _FACTORS[3]
-            logits, rows = v.log[node - inner], []
-            for x in contexts:
-                row = x[at] ^ own
-                row ^= row >> np.uint64(32)
-                row *= _FACTORS[0]
-                rows.append((row >> np.uint64(64 - self.bits)).astype(np.int32))
-                logits += self.weights[rows[-1]]
-            chances = np.exp(logits, out=logits)
-            chances /= chances.sum(axis=1, keepdims=True)
-            yield at, v.branch[child].astype(np.int64), rows, chances
+            logits, rows = v.log.take(node - inner, axis=0), []
+            for x in mixed:
+                rows.append(((x.take(at) + own) * _FACTORS[0] >> np.uint64(64 - self.bits)).astype(np.int32))
+                logits += self.weights.take(rows[-1], axis=0)
+            yield at, v.branch[child], rows, logits
             on = node != root
             at, child = at[on], node[on]
 
     def logs(self, v: Vocabulary, leaves: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """Log chances of the leaves."""
         out = np.zeros(len(leaves))
-        for at, branch, _, chances in self.levels(v, leaves, contexts):
-            out[at] += np.log(chances[np.arange(len(at)), branch] + 1e-30)
+        for at, branch, _, logits in self.levels(v, leaves, contexts):
+            taken = logits[np.arange(len(at)), branch]
+            out[at] += taken - np.log(np.exp(logits, out=logits).sum(axis=1))
         return out
 
     def update(self, block: int, sums: bytes) -> None:
@@ -240,25 +240,42 @@ class MaxEnt:
 
 
 def _gradient(vocabulary, model):
-    """Blocks of a task's gradients and expected numbers by branch, as half floats of 1/64 of them."""
+    """Blocks of a task's gradients and drawn numbers by branch, as half floats of 1/64 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = vocabulary.value, model.value
-        expected, found = np.zeros(m.weights.shape, np.float32), np.zeros(m.weights.size, np.float32)
+        size, rng = m.weights.size, np.random.default_rng(7)  # the same draws if the task runs again
+        expected, found = np.zeros(size, np.float32), np.zeros(size, np.float32)
+        taken_keys: list[np.ndarray] = []
+        drawn_keys: list[np.ndarray] = []
+
+        def count() -> None:
+            for keys, table in ((taken_keys, found), (drawn_keys, expected)):
+                if keys:
+                    table += np.bincount(np.concatenate(keys), minlength=size)
+                keys.clear()
+
+        held_keys = 0
         for batch in batches:
             texts = [x.lower() for x in encoded(batch.column("text"))]
-            for start, end in chunks(texts, 1 << 18):
+            for start, end in chunks(texts, 1 << 17):
                 leaves, first, tokens, _ = _with_ends(v, texts[start:end])
-                for _, branch, rows, chances in m.levels(v, leaves, m.contexts(tokens, first)):
+                for _, branch, rows, logits in m.levels(v, leaves, m.contexts(tokens, first)):
+                    below = np.cumsum(np.exp(logits, out=logits), axis=1)
+                    draw = rng.random(len(branch), np.float32) * below[:, -1]
+                    drawn = np.minimum((below < draw[:, None]).sum(axis=1, dtype=np.int32), WAYS - 1)
                     for row in rows:
-                        np.add.at(found, row * WAYS + branch, np.float32(1))
-                        by = np.argsort(row)
-                        row = row[by]
-                        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                        expected[row[edge]] += np.add.reduceat(chances[by], edge, axis=0)
-        both = np.stack([x.reshape(-1, BLOCK, WAYS) for x in (expected - found.reshape(expected.shape), expected)], axis=1)
+                        taken_keys.append(row * WAYS + branch)
+                        drawn_keys.append(row * WAYS + drawn)
+                    held_keys += len(rows) * len(branch)
+                if held_keys > max(1_000_000, size // 4):
+                    count()
+                    held_keys = 0
+        count()
+        expected, found = expected.reshape(m.weights.shape), found.reshape(m.weights.shape)
+        both = np.stack([x.reshape(-1, BLOCK, WAYS) for x in (expected - found, expected)], axis=1)
         del expected, found
-        used = np.flatnonzero(both[:, 1].any(axis=(1, 2)))
+        used = np.flatnonzero(both.any(axis=(1, 2, 3)))
         for i in range(0, len(used), 256):
             some = used[i : i + 256]
             halves = np.clip(both[some] / 64, -65_000, 65_000).astype(np.float16)
@@ -307,7 +324,7 @@ def _scored(vocabulary, model):
         for batch in batches:
             texts = [x.lower() for x in encoded(batch.column("text"))]
             parts = []
-            for start, end in chunks(texts, 1 << 18):
+            for start, end in chunks(texts, 1 << 17):
                 leaves, first, tokens, (words, shapes, bounds) = _with_ends(v, texts[start:end])
                 log = model.value.logs(v, leaves, MaxEnt.contexts(tokens, first)) / np.log(10)
                 count = np.diff(bounds)
