@@ -24,6 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from weftwork.llm.common import columns_of
+from weftwork.llm.text import lean
 
 #: Pre-tokens a worker remembers in a generation, and the longest it keeps for long, in characters.
 REMEMBERED, REMEMBERED_CHARS = 150_000, 60
@@ -273,20 +277,27 @@ class BytePairCodec:
             self.file = spark.sparkContext.broadcast(file.read())
         self.pattern = pattern
 
-    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
-        """``docs`` with the column ``text`` replaced by ``ids``: packed ids, 4 bytes each."""
+    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+        """``docs`` with the column ``text`` replaced by ``ids``: packed ids, 4 bytes each.
+
+        With ``decoded`` that column has the bytes that the ids stand for; both
+        are made in one worker, which holds the vocabulary once.  The other
+        columns must not have these names.
+        """
         file, pattern = self.file, self.pattern
         names = [x for x in docs.columns if x != text]
+        made = [ids] if decoded is None else [ids, decoded]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = encoder_of(file.value, pattern)
             for whole, low in ((x, i) for x in batches for i in range(0, x.num_rows, ROWS)):
                 batch = whole.slice(low, ROWS)
-                packed = encoder.encode([x or "" for x in batch.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(packed, pa.binary())], [*names, ids])
+                packed = encoder.encode([x or "" for x in batch.column(len(names)).to_pylist()])
+                columns = [packed] if decoded is None else [packed, map(encoder.decode, packed)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, pa.binary()) for x in columns)], [*names, *made])
 
-        fields = [f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names]
-        return docs.select(*names, text).mapInArrow(run, ", ".join([*fields, f"`{ids}` binary"]))
+        fields = [StructField(x, BinaryType()) for x in made]
+        return docs.select(*columns_of(docs, names), text).mapInArrow(lean(run), StructType([*(docs.schema[x] for x in names), *fields]))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that packed ids stand for."""
@@ -304,7 +315,7 @@ class BytePairCodec:
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of ids, and the SHA-256 of the ids and of the decoded bytes."""
     codec = BytePairCodec(docs.sparkSession, path, pattern)
-    out = codec.encode(docs.select("doc_id", "text")).withColumn("decoded", codec.decode(F.col("ids")))
+    out = codec.encode(docs.select("doc_id", "text"), decoded="decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
