@@ -1,5 +1,7 @@
 """DuckDB SQL with the same results as the queries, where SQL can say it."""
 
+from weftwork.plans.run_queries import RUN_SQL
+
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1))"
 _CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _PLAIN = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
@@ -21,6 +23,7 @@ s AS (SELECT event_id, total + max(arrival - total) OVER (PARTITION BY user_id O
 _GRAPH = "g AS (SELECT o_custkey AS src, o_orderkey AS pos, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders)"
 
 SQL: dict[str, str] = {
+    **RUN_SQL,
     "top_domains": f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, host LIMIT 10",
     "host_page_counts": f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1",
     "url_origin": f"SELECT page_id, lower({_ROOT}) AS origin FROM pages",

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from weftwork.functions import pages as html
 from weftwork.functions import urls
 from weftwork.operators import admission, frontier, outcomes, robots, schedule, statistics
+from weftwork.plans.run_queries import RUN_QUERIES
 from weftwork.sources import records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(RUN_QUERIES)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -283,7 +284,7 @@ ROBOTS = {0: (404, ""), 1: (200, "User-agent: *\nDisallow: /fr/"), 2: (200, "Use
 def robots_decision(spark, sf_dir):
     """JN3, ROB1, ROB6, FLT10."""
     docs = spark.createDataFrame([(str(k), s, b) for k, (s, b) in ROBOTS.items()], "origin string, status int, body string")
-    rules = robots.agent_rules(robots.rules_of(docs), "AsyncCrawler/1.0")
+    rules = robots.agent_rules(robots.rules_of(docs), "weft/1.0")
     return robots.allowed(_read(spark, sf_dir, "pages"), rules, (F.col("page_id") % 4).cast("string"), urls.path(F.col("url")), "page_id")
 
 
