@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.storage import fresh_path, saved, shared_folder  # noqa: F401
+
 #: A key that holds more than one row in HOT_SHARE is hot.  By the pigeonhole
 #: principle there are at most HOT_SHARE such keys, however large the input,
 #: which is the bound that lets them be broadcast.
@@ -17,34 +17,6 @@ HOT_SHARE = 10_000
 SMALL = 500_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Where the cluster names none (tests, local mode) a folder is set once.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="weftwork-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/weftwork/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage is cut."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: Column) -> Column:
     """With the document's id, tells documents apart even if ids repeat."""
     return F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
