@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftwork.functions import pages, urls
-from weftwork.operators import admission, frontier, outcomes, robots, schedule, statistics
+from weftwork.operators import admission, frontier, outcomes, robots, run_stats, schedule, statistics
 from weftwork.sources import records
 
 PAGE = """<!doctype html><html><head><title>  A   title </title><meta name="Description" content=" Some  words ">
@@ -198,3 +198,71 @@ def test_links_and_description_of_any_markup(spark, tmp_path):
     got = {(r.pos, r.link) for r in QUERIES["page_links"](spark, str(tmp_path)).collect()}
     assert got == {(0, "https://h.org/a/b/about.html"), (1, "https://h.org/a/up"), (2, "https://h.org/a/b/c?p=2"), (3, "https://h.org/root")}
     assert QUERIES["page_title_meta"](spark, str(tmp_path)).first().description == 'A "b" & c'
+
+
+def test_sitemaps_skip_invalid_pages(spark):
+    body = "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in ("http://x/1", "ftp://x/2", "http://x:0/3", "http://x y/4", "page", "https://x:8443/5")) + "</urlset>"
+    docs = spark.createDataFrame([("r", "r", body), ("e", "e", "<urlset/>")], "root string, url string, body string")
+    got = frontier.resolve_sitemaps(spark.createDataFrame([("r",), ("e",)], "root string"), docs).collect()
+    assert [(r.root, r.pos, r.url) for r in sorted(got, key=lambda r: r.pos)] == [("r", 0, "http://x/1"), ("r", 1, "https://x:8443/5")]
+
+
+def test_allowed_domains():
+    assert [admission.domain_name(x) for x in (" Example.COM:443 ", "[::1]:80", "a.example")] == ["example.com", "::1", "a.example"]
+    for bad in ("a.example/x", "a.example?q", "a b", "", "a.example:x"):
+        with pytest.raises(ValueError):
+            admission.domain_name(bad)
+
+
+def test_expand_without_a_cap_numbers_by_ranges(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), i, rng.randrange(300)) for i in range(900)]
+    seeds, table = spark.createDataFrame([(0, 0)], "url long, pos int"), spark.createDataFrame(edges, "src long, pos long, dst long")
+    one = frontier.expand(seeds, table, max_pages=9_999, max_depth=6).orderBy("seq").collect()
+    assert one == frontier.expand(seeds, table, max_pages=None, max_depth=6).orderBy("seq").collect() and [r.seq for r in one] == list(range(len(one)))
+
+
+def test_concurrency_over_spans(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), s := rng.randrange(1000), s + rng.randrange(1, 400)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    want = {k: max(sum(s <= t < e for x, s, e in rows if x == k) for t in range(1400)) for k in "ab"}
+    for width in (7, 100, 10**9):
+        assert {r.k: r.peak for r in schedule.concurrency(df, "s", "e", "k", width).collect()} == want
+
+
+def test_retry_budgets_against_a_loop(spark):
+    rng = random.Random(10)
+    kinds = [("success", 200, None), ("http_error", 503, "TransientError"), ("http_error", 404, "PermanentError"), ("network_error", None, "NetworkError")]
+    rows = [(u, r, a, *rng.choices(kinds, [2, 4, 1, 3])[0][:2]) for u in range(20) for r in range(5) for a in range(1, 7)]
+    limits, factors = {"TransientError": 2, "CrawlerError": 1}, {"NetworkError": 5.0}
+    made = run_stats.with_budgets(spark.createDataFrame(rows, "user_id int, request int, attempt int, outcome string, status_code int"), limits, factors)
+    want = []
+    for u in range(20):
+        for r in range(5):
+            used = {}
+            for _, _, a, outcome, status in sorted(x for x in rows if x[:2] == (u, r)):
+                kind = next(k for o, s, k in kinds if (o, s) == (outcome, status))
+                policy = "TransientError" if kind == "TransientError" else "CrawlerError"
+                used[policy] = used.get(policy, 0) + (kind is not None)
+                again = kind in ("TransientError", "NetworkError") and used[policy] <= limits[policy] and a < 6
+                want.append((u, r, a, again, min(0.5 * (5.0 if kind == "NetworkError" else 2.0) ** (used[policy] - 1), 30.0) if again else None))
+                if not again:
+                    break
+    assert sorted((x.user_id, x.request, x.attempt, x.retried, x.backoff) for x in made.collect()) == sorted(want)
+
+
+def test_growth_without_a_baseline_and_states(spark):
+    now = spark.createDataFrame([(10, 4, 2.0)], "a long, b long, mean double")
+    then = spark.createDataFrame([(4, 4, 1.0)], "a long, b long, mean double")
+    assert run_stats.growth(now, then, ["a", "b"], {"mean": ("a", "b")}).first() == (6, 0, (2.0 * 14 - 1.0 * 8) / 6)
+    assert run_stats.growth(now, None, ["a", "b"], {"mean": ("a",)}).first() == (0, 0, 0.0)
+    results = spark.createDataFrame([("u", "robots_blocked", None, "Blocked by robots.txt", None), ("v", "success", 200, None, "bad"), ("w", "success", 200, None, None)], "url string, outcome string, status_code int, error string, parse_error string")
+    states = run_stats.page_states(spark.createDataFrame([(x,) for x in "uvwx"], "url string"), results)
+    assert {r.url: (r.state, r.reason) for r in states.collect()} == {"u": ("blocked", "Blocked by robots.txt"), "v": ("failed", "bad"), "w": ("processed", None), "x": ("failed", "Cancelled while processing")}
+    assert {r.url for r in run_stats.permanent_urls(run_stats.error_table(results)).collect()} == {"v"}
+    assert run_stats.key_differences(["a", "c"], ["a", "b"]) == {"missing": ["b"], "unknown": ["c"]}
+    line = spark.range(1).select(run_stats.report_line(F.lit(5), F.lit(8), F.lit(1), F.lit(2.5))).first()[0]
+    assert line == "5/8 pages (62.5%), 1 failed, 2.50 pages/s"
+    draws = [r[0] for r in spark.range(200).select(run_stats.jitter_draw(F.col("id"))).collect()]
+    assert 0 <= min(draws) and max(draws) < 1 and 0.4 < sum(draws) / 200 < 0.6

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<")
 
 
+def domain_name(value: str) -> str:
+    """The host of a domain as settings name it: lower case, without port or brackets; ValueError if it has a path, query or fragment."""
+    try:
+        parts = urlsplit(f"//{value.strip()}")
+        host, _ = parts.hostname, parts.port
+    except ValueError as error:
+        raise ValueError(f"invalid domain {value!r}: {error}") from error
+    if not host or parts.path or parts.query or parts.fragment or any(x.isspace() for x in host):
+        raise ValueError(f"invalid domain {value!r}")
+    return host
+
+
 class UrlFilter:
     """Admits valid URLs of allowed hosts that no exclude pattern and some include pattern finds.
 
@@ -30,7 +43,7 @@ class UrlFilter:
     """
 
     def __init__(self, allowed: Sequence[str] = (), include: Sequence[str] = (), exclude: Sequence[str] = (), same_domain_only: bool = True):
-        self.allowed = [x.strip().lower().split(":")[0] for x in allowed]
+        self.allowed = [domain_name(x) for x in allowed]
         if same_domain_only and not self.allowed:
             raise ValueError("same_domain_only needs at least one host")
         self.same_domain_only = same_domain_only

@@ -2,57 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 import xml.etree.ElementTree as ET
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.storage import saved
 
-def _folder(df: DataFrame) -> str:
-    """The folder that all executors share, as the session names it."""
-    session = df.sparkSession
-    base = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
-    if not base:
-        if not session.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="weftwork-")
-        session.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
 
+#: Up to so many pages one task numbers a level; beyond, its ranges are numbered apart.
+ONE_TASK = 10_000
 
-def expand(seeds: DataFrame, edges: DataFrame, max_pages: int = 100, max_depth: int = 2, admit: Column | None = None) -> DataFrame:
-    """(url, depth, seq): the pages that a crawl from ``seeds`` (url, pos) schedules.
+
+def numbered(rows: DataFrame, order: str, first: int = 0) -> DataFrame:
+    """``rows`` with ``seq``, their place by ``order``: ranges are numbered by themselves and moved by the rows before them.
+
+    Rows go to tasks by ranges of ``order``; only the ranges' sizes, one number
+    for each, are summed in one task.
+    """
+    ranged = saved(rows.orderBy(order).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return ranged.withColumn("__place", place).join(F.broadcast(offsets), "__part").select(*rows.columns, (F.col("__place") + F.col("__before") + first).cast("long").alias("seq"))
+
+
+def expand(seeds: DataFrame, edges: DataFrame, max_pages: int | None = 100, max_depth: int = 2, admit: Column | None = None) -> DataFrame:
+    """(url, depth, seq): the pages that a crawl from ``seeds`` (url, pos) schedules; without ``max_pages`` all of them.
 
     ``edges`` are (src, pos, dst); ``admit`` filters dst, not the seeds.  The order
     is that of one worker: level by level, a page's place is that of its first
     link.  Each level is an equi-join, an aggregate and an anti-join, written to
     the shared folder; only the number of pages so far comes to the driver.
     """
-    spark, folder = seeds.sparkSession, _folder(seeds)
     level = seeds.groupBy("url").agg(F.min(F.struct(F.lit(0).cast("long"), F.col("pos").cast("long").alias("p"))).alias("place"))
     links = edges if admit is None else edges.where(admit)
-    done, room, base = None, max_pages, 0
+    done, base = None, 0
     for depth in range(max_depth + 1):
         if done is not None:
             level = level.join(done, "url", "left_anti")
-        ranked = level.orderBy("place").limit(room)  # max_pages rows at most, so one task may number them
-        ranked = ranked.select("url", F.lit(depth).alias("depth"), (F.row_number().over(Window.orderBy("place")) - 1 + base).cast("long").alias("seq"))
-        path = f"{folder}/{depth}"
-        ranked.write.parquet(path)
-        ranked = spark.read.parquet(path)
+        if max_pages is not None and max_pages <= ONE_TASK:
+            ranked = level.orderBy("place").limit(max_pages - base).withColumn("seq", (F.row_number().over(Window.orderBy("place")) - 1 + base).cast("long"))
+        else:
+            ranked = numbered(level, "place", base)
+            ranked = ranked if max_pages is None else ranked.where(F.col("seq") < max_pages)
+        ranked = saved(ranked.select("url", F.lit(depth).alias("depth"), "seq"), "frontier")
         found = ranked.count()
         done = ranked if done is None else done.unionByName(ranked)
-        room, base = room - found, base + found
-        if not found or room <= 0:
+        base += found
+        if not found or max_pages is not None and base >= max_pages:
             break
         met = links.join(ranked.select(F.col("url").alias("src"), "seq"), "src")
         level = met.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct(F.col("seq"), F.col("pos").cast("long").alias("p"))).alias("place"))
     return done
 
 
+def _is_location(url: str) -> bool:
+    """As ``admission.is_sitemap_location``: absolute http or https, a host, no white space in the authority, a port of 1 to 65535."""
+    try:
+        parts = urlsplit(url)
+        return parts.scheme in ("http", "https") and bool(parts.hostname) and not re.search(r"\s", parts.netloc) and (parts.port is None or parts.port > 0)
+    except ValueError:
+        return False
+
+
 def _read_sitemap(body: str | None) -> tuple[str, list[str]]:
     """('urlset' or 'sitemapindex' or an error, locations in order); namespaces are ignored."""
     local = lambda tag: tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
@@ -68,8 +84,9 @@ def _read_sitemap(body: str | None) -> tuple[str, list[str]]:
     for child in root:
         if local(child.tag) == entry:
             loc = next((x for x in child if local(x.tag) == "loc"), None)
-            if loc is not None and (loc.text or "").strip():
-                found.append(loc.text.strip())
+            place = (loc.text or "").strip() if loc is not None else ""
+            if place and (kind == "sitemapindex" or _is_location(place)):  # of sitemaps, those without a document are skipped
+                found.append(place)
     return kind, found
 
 
@@ -78,7 +95,8 @@ def resolve_sitemaps(roots: DataFrame, docs: DataFrame) -> DataFrame:
 
     Documents (root, url, body) are grouped by root: a site's sitemaps, which the
     protocol bounds to one index of 50,000.  A root that fails gives one row with
-    its error; nested failures are skipped and not tried again.
+    its error; nested failures are skipped and not tried again, and so are pages
+    whose location is not valid.
     """
 
     def visit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +120,8 @@ def resolve_sitemaps(roots: DataFrame, docs: DataFrame) -> DataFrame:
                 error = kind
         if error:
             return pd.DataFrame({"root": [root], "pos": [0], "url": [None], "error": [error]})
-        return pd.DataFrame({"root": root, "pos": range(len(pages)), "url": list(pages), "error": None})
+        n = len(pages)
+        return pd.DataFrame({"root": pd.Series([root] * n, dtype=object), "pos": pd.Series(range(n), dtype="int32"), "url": pd.Series(list(pages), dtype=object), "error": pd.Series([None] * n, dtype=object)})
 
     grouped = roots.select("root").distinct().join(docs, "root", "left")
     return grouped.groupBy("root").applyInPandas(visit, "root string, pos int, url string, error string")

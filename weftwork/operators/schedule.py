@@ -38,11 +38,21 @@ def trailing_count(rows: DataFrame, micros: Column, seconds: int, key: str | Non
     return both.withColumn("recent", F.count(F.lit(1)).over(span)).where("_own").drop("_t", "_k", "_span", "_own")
 
 
-def concurrency(intervals: DataFrame, start: str, end: str, key: str) -> DataFrame:
-    """Highest number of intervals [start, end) that hold at once, by key; ends come before starts."""
+def concurrency(intervals: DataFrame, start: str, end: str, key: str, width: int = 3_600_000_000) -> DataFrame:
+    """Highest number of intervals [start, end) that hold at once, by key; ends come before starts.
+
+    A few keys may hold all rows, so each span of ``width`` is walked by itself,
+    from the number of intervals that hold where it begins: the sum over the spans
+    before it, of which a key has one row each.
+    """
     marks = intervals.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("x"))
-    order = Window.partitionBy(key).orderBy("x.at", "x.step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.withColumn("active", F.sum("x.step").over(order)).groupBy(key).agg(F.max("active").alias("peak"))
+    marks = marks.withColumn("span", F.floor(F.col("x.at") / width))
+    before = Window.partitionBy(key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    begins = marks.groupBy(key, "span").agg(F.sum("x.step").alias("net")).select(F.col(key).alias("_key"), F.col("span").alias("_span"), F.coalesce(F.sum("net").over(before), F.lit(0)).alias("begin"))
+    walk = Window.partitionBy(key, "span").orderBy("x.at", "x.step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = marks.withColumn("active", F.sum("x.step").over(walk)).groupBy(key, "span").agg(F.max("active").alias("most"))
+    met = own.join(begins, own[key].eqNullSafe(begins["_key"]) & (own["span"] == begins["_span"]))
+    return met.groupBy(key).agg(F.max(F.col("most") + F.col("begin")).alias("peak"))
 
 
 def upsert(rows: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:

@@ -29,7 +29,7 @@ SQL: dict[str, str] = {
     "url_origin": f"SELECT page_id, lower({_ROOT}) AS origin FROM pages",
     "url_defrag_distinct": "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages",
     "url_filter_https_en": r"SELECT page_id, url FROM pages WHERE (regexp_matches(url, '^https://') OR regexp_matches(url, '/en/')) AND NOT regexp_matches(url, '\?utm_') AND NOT regexp_matches(url, '\.html$')",
-    "same_domain_semi": f"SELECT page_id, url FROM pages WHERE {_HOST} IN (SELECT {_HOST} FROM pages WHERE page_id < 10)",
+    "same_domain_semi": f"SELECT page_id, url FROM pages WHERE {_HOST} IN (SELECT {_HOST} FROM pages WHERE url LIKE '%/de/%')",
     "page_title_meta": f"SELECT page_id, {_TITLE} AS title, '' AS description FROM pages",
     "page_links": f"WITH {_LINKS} SELECT * FROM l",
     "page_text": f"SELECT page_id, {_TEXT} AS text FROM pages",
@@ -40,7 +40,7 @@ SQL: dict[str, str] = {
 f AS (SELECT page_id, count(*) AS n_links, string_agg(link, '|' ORDER BY pos) FILTER (WHERE rn <= 5) AS first_links FROM r GROUP BY page_id)
 SELECT page_id, {_TITLE} AS title, length({_TEXT}) AS text_length, coalesce(n_links, 0) AS n_links, {_CLEAN.format(_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))} AS headings, coalesce(first_links, '') AS first_links FROM pages LEFT JOIN f USING (page_id)""",
     "crawl_content_totals": f"WITH {_LINKS} SELECT count(*) AS total_pages, 0 AS max_depth, CAST(sum(length({_TEXT})) AS BIGINT) AS total_text_length, (SELECT count(*) FROM l) AS total_links, CAST(0 AS BIGINT) AS total_images FROM pages",
-    "crawl_records_build": f"WITH {_LINKS}, n AS (SELECT page_id, count(*) AS n FROM l GROUP BY page_id) SELECT url, {_TITLE} AS title, length({_TEXT}) AS text_length, coalesce(n, 0) AS n_links, 200 AS status_code, CASE WHEN page_id % 3 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS content_type FROM pages LEFT JOIN n USING (page_id) WHERE page_id % 5 <> 0",
+    "crawl_records_build": f"WITH {_LINKS}, n AS (SELECT page_id, count(*) AS n FROM l GROUP BY page_id) SELECT url, {_TITLE} AS title, length({_TEXT}) AS text_length, coalesce(n, 0) AS n_links, 200 AS status_code, CASE WHEN url LIKE 'https:%' THEN 'text/html' ELSE 'application/octet-stream' END AS content_type FROM pages LEFT JOIN n USING (page_id)",
     "attempt_outcomes": f"WITH {_ATTEMPTS} SELECT outcome, CASE WHEN again THEN 'TransientError' WHEN outcome = 'http_error' THEN 'PermanentError' ELSE 'none' END AS error_type, again AS retryable, count(*) AS n FROM a GROUP BY ALL",
     "status_code_distribution": f"WITH {_ATTEMPTS} SELECT CAST(status_code AS VARCHAR) AS status, count(*) AS n FROM t WHERE status_code IS NOT NULL GROUP BY 1",
     "error_type_counts": f"WITH {_ATTEMPTS} SELECT CASE WHEN again THEN 'TransientError' ELSE 'PermanentError' END AS error_type, count(*) AS failed_attempts, count(*) FILTER (WHERE attempt = attempts) AS final_errors FROM a JOIN e USING (user_id, request) WHERE attempt <= attempts AND outcome <> 'success' GROUP BY 1",
@@ -56,14 +56,16 @@ r AS (SELECT event_type, sum(step) OVER (PARTITION BY event_type ORDER BY moment
 SELECT event_type, CAST(max(active) AS BIGINT) AS peak FROM r GROUP BY event_type""",
     "frontier_order_cap": f"WITH {_LINKS}, f AS (SELECT link, min((page_id, pos)) AS place FROM l WHERE link NOT IN (SELECT url FROM pages) GROUP BY link) SELECT link, row_number() OVER (ORDER BY place) AS seq FROM f ORDER BY place LIMIT 50",
     "bfs_orders_graph": f"WITH RECURSIVE {_GRAPH}, r(url, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, depth + 1 FROM r JOIN g ON src = url WHERE depth < 2) SELECT url, min(depth) AS depth FROM r GROUP BY url",
-    "bfs_orders_capped": f"""WITH {_GRAPH}, f AS (SELECT dst AS url, min(pos) AS place FROM g WHERE src = 1 AND dst <> 1 AND dst % 20 % 2 = 0 GROUP BY dst)
-SELECT CAST(1 AS BIGINT) AS url, 0 AS depth, CAST(0 AS BIGINT) AS seq UNION ALL (SELECT url, 1, row_number() OVER (ORDER BY place) FROM f ORDER BY place LIMIT 49)""",
+    "bfs_orders_capped": f"""WITH {_GRAPH}, one AS (SELECT dst AS url, row_number() OVER (ORDER BY min(pos)) AS seq FROM g WHERE src = 1 AND dst <> 1 GROUP BY dst),
+two AS (SELECT dst AS url, min((seq, pos)) AS place FROM one JOIN g ON src = one.url WHERE dst <> 1 AND dst NOT IN (SELECT url FROM one) GROUP BY dst),
+n AS (SELECT CAST(1 AS BIGINT) AS url, 0 AS depth, CAST(0 AS BIGINT) AS seq UNION ALL SELECT url, 1, seq FROM one UNION ALL SELECT url, 2, (SELECT count(*) FROM one) + row_number() OVER (ORDER BY place) FROM two)
+SELECT * FROM n WHERE seq < 50""",
     "upsert_last_wins": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
     "integrity_except": "SELECT page_id, url, 'first' AS side FROM pages WHERE page_id IN (3, 5) UNION ALL SELECT page_id, url || '#x', 'other' FROM pages WHERE page_id = 5",
     "stats_delta": "SELECT event_type, n FROM (SELECT event_type, count(*) FILTER (WHERE ts >= '2024-01-15') AS n FROM events GROUP BY 1) WHERE n > 0",
     "new_permanent_errors": "SELECT user_id FROM events WHERE event_type = 'signup' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND ts < '2024-01-15'",
-    "robots_decision": r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN NOT starts_with(p, '/fr/') WHEN 2 THEN starts_with(p, '/en/') ELSE false END AS allowed
-FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?#]*', '') AS p FROM pages)""",
+    "robots_decision": r"""SELECT page_id, CASE WHEN host LIKE 'www.%' THEN true WHEN host LIKE 'blog.%' THEN false WHEN url LIKE 'https%' THEN NOT starts_with(p, '/fr/') ELSE starts_with(p, '/en/') END AS allowed
+FROM (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?#]*', '') AS p FROM pages)""",
     "sitemap_resolve": f"SELECT {_HOST} AS root, row_number() OVER (PARTITION BY {_HOST} ORDER BY replace(url, '&', '&amp;') || '<') - 1 AS pos, url FROM pages",
     "queue_states": f"""WITH {_ATTEMPTS}, l AS (SELECT user_id, arg_max(outcome, request) AS o, arg_max(coalesce(status_code, 0), request) AS s FROM t GROUP BY user_id),
 x AS (SELECT CASE WHEN o = 'success' THEN 'processed' WHEN s = 404 THEN 'failed' WHEN o = 'timeout' THEN 'queued' ELSE 'blocked' END AS state FROM l)

@@ -63,9 +63,9 @@ def url_filter_https_en(spark, sf_dir):
 
 @query
 def same_domain_semi(spark, sf_dir):
-    """JN2, FLT3, FLT7: pages on the hosts of the first ten pages."""
+    """JN2, FLT3, FLT7: pages on the hosts that have a page under /de/."""
     pages = _read(spark, sf_dir, "pages")
-    return admission.same_hosts(pages, pages.where("page_id < 10")).select("page_id", "url")
+    return admission.same_hosts(pages, pages.where(F.col("url").contains("/de/"))).select("page_id", "url")
 
 
 @query
@@ -127,10 +127,9 @@ def crawl_content_totals(spark, sf_dir):
 
 @query
 def crawl_records_build(spark, sf_dir):
-    """PRJ2, D4, D5, JN5, FLT12: records of pages that an id rule calls fetched."""
+    """PRJ2, D4, D5, JN5, FLT12: records of all pages; those of http have no content type."""
     parsed = _parsed(spark, sf_dir)
-    outcome = F.when(F.col("page_id") % 5 == 0, "http_error").otherwise("success")
-    fetched = parsed.select("url", outcome.alias("outcome"), F.lit(200).alias("status_code"), F.when(F.col("page_id") % 3 == 0, "Text/HTML; charset=utf-8").otherwise("").alias("content_type"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("crawled_at"))
+    fetched = parsed.select("url", F.lit("success").alias("outcome"), F.lit(200).alias("status_code"), F.when(F.col("url").startswith("https:"), "Text/HTML; charset=utf-8").otherwise("").alias("content_type"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("crawled_at"))
     made = records.from_pages(fetched, parsed.select("page.*"))
     return made.select("url", "title", F.length("text").cast("long").alias("text_length"), F.size("links").cast("long").alias("n_links"), "status_code", "content_type")
 
@@ -235,14 +234,14 @@ def _order_graph(spark, sf_dir) -> DataFrame:
 def bfs_orders_graph(spark, sf_dir):
     """REC1, JN6, FLT9: depth of all nodes within two steps of node 1."""
     seeds = spark.createDataFrame([(1, 0)], "url long, pos int")
-    return frontier.expand(seeds, _order_graph(spark, sf_dir), max_pages=1_000_000, max_depth=2).select("url", F.col("depth").cast("long").alias("depth"))
+    return frontier.expand(seeds, _order_graph(spark, sf_dir), max_pages=None, max_depth=2).select("url", F.col("depth").cast("long").alias("depth"))
 
 
 @query
 def bfs_orders_capped(spark, sf_dir):
-    """REC1, SRT4, WIN6: the first 50 nodes in a single worker's order, on even hosts only."""
+    """REC1, SRT4, WIN6: the first 50 nodes in a single worker's order."""
     seeds = spark.createDataFrame([(1, 0)], "url long, pos int")
-    return frontier.expand(seeds, _order_graph(spark, sf_dir), max_pages=50, max_depth=1, admit=F.col("dst") % 20 % 2 == 0)
+    return frontier.expand(seeds, _order_graph(spark, sf_dir), max_pages=50, max_depth=2)
 
 
 @query
@@ -276,16 +275,17 @@ def new_permanent_errors(spark, sf_dir):
     return bad(events).exceptAll(bad(events.where("ts < timestamp_ntz '2024-01-15'")))
 
 
-# The robots files of four groups of origins, by page_id modulo 4.
-ROBOTS = {0: (404, ""), 1: (200, "User-agent: *\nDisallow: /fr/"), 2: (200, "User-agent: *\nDisallow: /\nAllow: /en/"), 3: (403, "")}
-
-
 @query
 def robots_decision(spark, sf_dir):
-    """JN3, ROB1, ROB6, FLT10."""
-    docs = spark.createDataFrame([(str(k), s, b) for k, (s, b) in ROBOTS.items()], "origin string, status int, body string")
-    rules = robots.agent_rules(robots.rules_of(docs), "weft/1.0")
-    return robots.allowed(_read(spark, sf_dir, "pages"), rules, (F.col("page_id") % 4).cast("string"), urls.path(F.col("url")), "page_id")
+    """JN3, ROB1, ROB6, FLT10: every origin's file, by its host: none for www, barred for blog, rules for the others."""
+    pages = _read(spark, sf_dir, "pages")
+    origin = urls.origin(F.col("url"))
+    host = urls.host(F.col("url"))
+    files = pages.select(origin.alias("origin"), host.alias("host")).distinct()
+    status = F.when(F.col("host").startswith("www."), 404).when(F.col("host").startswith("blog."), 403).otherwise(200)
+    body = F.when(F.col("origin").startswith("https"), "User-agent: *\nDisallow: /fr/").otherwise("User-agent: *\nDisallow: /\nAllow: /en/")
+    rules = robots.agent_rules(robots.rules_of(files.select("origin", status.alias("status"), body.alias("body"))), "weft/1.0")
+    return robots.allowed(pages, rules, origin, urls.path(F.col("url")), "page_id")
 
 
 @query

@@ -37,7 +37,7 @@ class Crawl:
     respect_robots: bool = False
     min_delay: float = 0.0
     jitter: float = 0.0
-    user_agent: str = "AsyncCrawler/1.0"
+    user_agent: str = "weft/1.0"
     max_attempts: int = 4
     retry_base_delay: float = 0.5
     retry_max_delay: float = 30.0

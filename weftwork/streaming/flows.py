@@ -33,8 +33,12 @@ def unique_urls(rows: DataFrame, time: str | None = None, delay: str = "1 hour",
 def rate_slots(requests: DataFrame, idle: str = "1 hour") -> DataFrame:
     """(domain, arrival, slot, wait) from rows (domain, arrival seconds, min_interval).
 
-    One number of state for each domain: its last slot.  A domain that stays idle
-    is forgotten.  Within a batch rows are taken by arrival.
+    One number of state for each domain: its last slot.  Time is that of the
+    arrivals: rows that arrive more than ``idle`` behind the latest one are
+    dropped as late, and a domain without requests for that long is forgotten, so
+    the state is bounded and a run over what is there ends.  Within a batch rows
+    are taken by arrival; a domain's rows of one batch are held at once, which
+    the source's limit for a batch bounds.
     """
     millis = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -43,16 +47,18 @@ def rate_slots(requests: DataFrame, idle: str = "1 hour") -> DataFrame:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")  # one domain's rows of one batch
+        rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
         slots = []
         for arrival, interval in zip(rows["arrival"], rows["min_interval"]):
             last = arrival if last is None else max(arrival, last + interval)
             slots.append(last)
         state.update((last,))
-        state.setTimeoutDuration(millis)
+        state.setTimeoutTimestamp(max(int(last * 1000) + 1000, state.getCurrentWatermarkMs()) + millis)
         yield pd.DataFrame({"domain": key[0], "arrival": rows["arrival"].to_numpy(), "slot": slots, "wait": [s - a for s, a in zip(slots, rows["arrival"])]})
 
-    return requests.groupBy("domain").applyInPandasWithState(run, "domain string, arrival double, slot double, wait double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # the watermark begins at the epoch, where what arrives at 0 would be late: hence a second more
+    timed = requests.withColumn("time", F.timestamp_seconds(F.col("arrival") + 1)).withWatermark("time", idle)
+    return timed.groupBy("domain").applyInPandasWithState(run, "domain string, arrival double, slot double, wait double", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def host_counts(pages: DataFrame, host: str, time: str, window: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
