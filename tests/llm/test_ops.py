@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, and on awkward tables."""
 
 import hashlib
+import html as html_lib
 import json
 import math
 import random
@@ -526,3 +527,28 @@ def test_decontamination_with_many_items(spark):
     docs = [(i, " ".join(rng.choices(vocabulary, k=200)) + " " + items[i * 97][1] + " " + " ".join(rng.choices(vocabulary, k=200)), None, None, 1) for i in range(200)]
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination_report(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i * 97) for i in range(200)}
+
+
+def test_html_takes_linear_time():
+    for page in ("<a '" * 250_000, "<a '><b \">" * 60_000 + "x '", "<" * 500_000, "<!-- " * 100_000, "</x " * 200_000, "<script>" * 50_000, "<p>a " * 100_000):
+        began = time.time()
+        html_main.main_text(page)
+        assert time.time() - began < 20, page[:20]
+    assert html_main.main_text("<p>word word word</p> last 1 < 2") == "word word word\nlast 1 < 2"
+    assert html_main.main_text("<p>word word word</p><script>var hidden > 1; more") == "word word word"
+
+
+def test_html_against_the_articles_of_the_pages(spark):
+    """Words of the pages' article elements, by a plain cut, against what is extracted."""
+    both = got = want = 0
+    for r in html_main.extract_main_text(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        article = Counter(html_lib.unescape(re.sub(r"(?s)<[^>]*>", " ", re.search(r"(?s)<article>(.*?)</article>", r.html)[1])).split())
+        found = Counter(r.text.split())
+        both, got, want = both + sum((article & found).values()), got + sum(found.values()), want + sum(article.values())
+    assert both / got > 0.99 and both / want > 0.99
+
+
+@pytest.mark.parametrize("name", ["share-price", "search-results", "page-title", "story-head", "title", "legal", "text-ad-free", "login-guide", "x1"])
+def test_html_of_one_article_whatever_its_name(name):
+    long = "word " * 99 + "end."
+    assert html_main.main_text(f"<body><ul><li><a>home</a></li><li><a>news</a></li></ul><div class='{name}'><p>{long}</p></div><footer>foot</footer></body>") == long

@@ -23,11 +23,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+)|(<)",
-    re.S | re.I,
-)
+_RAW = r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object)\b{}>.*?(?:</\1\s*>|\Z)"
+_REST = r"|<[!?/][^>]*>|([^<]+)|(<)"
+_QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments, raw elements, tags with quoted attributes, tags whose quotes do not close, other markup, and text.
+_TOKEN = re.compile(_RAW.format(_QUOTED) + rf"|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>" + _REST, re.S | re.I)
+#: The same for pages with many such quotes: every tag ends at the first ``>``.
+_SIMPLE = re.compile(_RAW.format("[^>]*") + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>" + _REST, re.S | re.I)
+#: So many tags with unclosed quotes are looked for to the page's end; then ``_SIMPLE`` holds, so that no page takes time quadratic in its length.
+UNCLOSED = 50
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
@@ -51,6 +55,29 @@ KEPT, STRONG = set("article main h1 h2 h3 h4 h5 h6".split()), set("article main
 _ASIDE = re.compile(r"(?:has|with|without|no|category|tag)[-_]")
 
 
+def tokens(page: str) -> Iterator[tuple[int, bool, str | None, str]]:
+    """(place, is an end tag, name or None for text, attributes or text) of a page's tags and texts."""
+    cut = page.rfind(">") + 1  # behind it no tag can end
+    at, wrong, pattern = 0, 0, _TOKEN
+    hidden = False
+    while at < cut:
+        for match in pattern.finditer(page, at, cut):
+            at = match.end()
+            if match[3] or match[6]:
+                wrong += match[6] is not None
+                yield match.start(), bool(match[2] or match[5]), (match[3] or match[6]).lower(), match[4] or match[7] or ""
+                if wrong > UNCLOSED and pattern is _TOKEN:
+                    pattern = _SIMPLE
+                    break
+            elif match[8] or match[9]:
+                yield match.start(), False, None, match[8] or match[9]
+            elif at == cut:  # a comment or raw element that does not end hides what is left
+                whole = match[0].lower()
+                hidden = not whole.endswith("-->") if whole.startswith("<!--") else bool(match[1]) and not re.search(rf"</{match[1]}\s*>$", whole, re.I)
+    if cut < len(page) and not hidden:
+        yield cut, False, None, page[cut:]
+
+
 def labelled_pages() -> Iterator[list[tuple[list[str], str, bool]]]:
     """Labelled pages by rule: segments (names of the elements around, html, is it content).
 
@@ -75,28 +102,27 @@ class Weights:
     """Log odds of content for names of elements, for words and for tags."""
 
     def __init__(self) -> None:
-        names, tokens, total = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}, Counter()
+        names, seen, total = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}, Counter()
         for page in labelled_pages():
             for around, segment, content in page:
                 link = 0
-                for match in _TOKEN.finditer(segment):
-                    if match[3]:
-                        tag = match[3].lower()
-                        link += (tag == "a") * (-1 if match[2] else 1)
-                        tokens[content]["inline" if tag in INLINE else "block"] += 1
-                    elif match[5]:
-                        count = len(match[5].split())
+                for _, end, tag, text in tokens(segment):
+                    if tag is not None:
+                        link += (tag == "a") * (-1 if end else 1)
+                        seen[content]["inline" if tag in INLINE else "block"] += 1
+                    else:
+                        count = len(text.split())
                         total[content] += count
-                        tokens[content]["link" if link else "word"] += count
+                        seen[content]["link" if link else "word"] += count
                         for name in around:
                             names[content][name] += count
         odds = lambda table, x: math.log((table[True][x] + 1) / (total[True] + 2)) - math.log((table[False][x] + 1) / (total[False] + 2))
         self.names = {x: odds(names, x) for x in {*names[True], *names[False]}}
         # words positive, tags negative; link words as they were counted
-        self.word = max(0.5, odds(tokens, "word"))
-        self.link = max(-self.word / 2, odds(tokens, "link"))
+        self.word = max(0.5, odds(seen, "word"))
+        self.link = max(-self.word / 2, odds(seen, "link"))
         # a page has several tags a word at most, so theirs are scaled down
-        self.inline, self.block = min(-0.01, odds(tokens, "inline") / 64), min(-0.02, odds(tokens, "block") / 16)
+        self.inline, self.block = min(-0.01, odds(seen, "inline") / 64), min(-0.02, odds(seen, "block") / 16)
         self.boilerplate = -self.word
 
     def is_boilerplate(self, tag: str, attributes: str) -> bool:
@@ -136,9 +162,8 @@ def _scan(page: str, weights: Weights, kept: set[int]) -> tuple[list[tuple[float
     outer, plain = -1, 0  # place of the outermost boilerplate element, if its names alone make it one
     bad: list[tuple[str, int]] = []  # open boilerplate elements and how many of their kind are open inside
     article = link = 0
-    for match in _TOKEN.finditer(page):
-        if match[3]:
-            tag, end = match[3].lower(), bool(match[2])
+    for place, end, tag, text in tokens(page):
+        if tag is not None:
             if tag in ("article", "main"):
                 article += -1 if end else 1
                 if not end:
@@ -152,16 +177,15 @@ def _scan(page: str, weights: Weights, kept: set[int]) -> tuple[list[tuple[float
                 bad[-1:] = [(tag, depth)] if depth else []
             elif not end and tag not in VOID and tag not in ("html", "body"):
                 in_article_header = tag in ("header", "figure") and article > 0
-                if not in_article_header and match.start() not in kept and weights.is_boilerplate(tag, match[4]):
+                if not in_article_header and place not in kept and weights.is_boilerplate(tag, text):
                     if not bad:
-                        outer = match.start() if tag == "form" or weights.names.get(tag, 0.0) >= -1.0 else -1
+                        outer = place if tag == "form" or weights.names.get(tag, 0.0) >= -1.0 else -1
                     bad.append((tag, 1))
             if tag in INLINE:
                 chunks.append((weights.inline, " " if tag == "br" else "", not bad))
             else:
                 chunks.append((weights.block, None, True))
-        elif match[5] or match[6]:
-            text = match[5] or match[6]
+        else:
             count = len(text.split())
             score = weights.boilerplate if bad else weights.link if link else weights.word
             chunks.append((score * count, text, not bad))
