@@ -63,7 +63,6 @@ SELECT * FROM n WHERE seq < 50""",
     "upsert_last_wins": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
     "integrity_except": "SELECT page_id, url, 'first' AS side FROM pages WHERE page_id IN (3, 5) UNION ALL SELECT page_id, url || '#x', 'other' FROM pages WHERE page_id = 5",
     "stats_delta": "SELECT event_type, n FROM (SELECT event_type, count(*) FILTER (WHERE ts >= '2024-01-15') AS n FROM events GROUP BY 1) WHERE n > 0",
-    "new_permanent_errors": "SELECT user_id FROM events WHERE event_type = 'signup' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND ts < '2024-01-15'",
     "robots_decision": r"""SELECT page_id, CASE WHEN host LIKE 'www.%' THEN true WHEN host LIKE 'blog.%' THEN false WHEN url LIKE 'https%' THEN NOT starts_with(p, '/fr/') ELSE starts_with(p, '/en/') END AS allowed
 FROM (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?#]*', '') AS p FROM pages)""",
     "sitemap_resolve": f"SELECT {_HOST} AS root, row_number() OVER (PARTITION BY {_HOST} ORDER BY replace(url, '&', '&amp;') || '<') - 1 AS pos, url FROM pages",

@@ -267,14 +267,6 @@ def stats_delta(spark, sf_dir):
     return statistics.counter_delta(count(events), count(events.where("ts < timestamp_ntz '2024-01-15'")), ["event_type"], "n")
 
 
-@query
-def new_permanent_errors(spark, sf_dir):
-    """SET2, SET3, API26: users with a permanent error now that had none in the baseline run."""
-    bad = lambda rows: rows.where("event_type = 'signup'").select("user_id").distinct()
-    events = _read(spark, sf_dir, "events")
-    return bad(events).exceptAll(bad(events.where("ts < timestamp_ntz '2024-01-15'")))
-
-
 @query
 def robots_decision(spark, sf_dir):
     """JN3, ROB1, ROB6, FLT10: every origin's file, by its host: none for www, barred for blog, rules for the others."""

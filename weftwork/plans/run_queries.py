@@ -38,10 +38,10 @@ def _made(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFr
     return run_stats.with_budgets(outcomes.attempts_from_events(events), LIMITS, FACTORS)
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """Each user as a page: what the last of the attempts made gave; purchases over 100 do not parse."""
     last = F.max_by(F.struct("outcome", "status_code", F.col("elapsed_seconds").alias("v")), F.struct("request", "attempt"))
-    rows = _made(spark, sf_dir).groupBy(F.concat(F.lit("http://h"), (F.col("user_id") % 7).cast("string"), F.lit(".example/"), F.col("user_id").cast("string")).alias("url")).agg(last.alias("r")).select("url", "r.*")
+    rows = _made(spark, sf_dir, before).groupBy(F.concat(F.lit("http://h"), (F.col("user_id") % 7).cast("string"), F.lit(".example/"), F.col("user_id").cast("string")).alias("url")).agg(last.alias("r")).select("url", "r.*")
     error = F.when(F.col("outcome") == "http_error", F.concat(F.lit("HTTP "), F.col("status_code").cast("string"))).when(F.col("outcome") == "timeout", F.lit("Request timed out"))
     return rows.select("url", "outcome", "status_code", error.alias("error"), F.when((F.col("outcome") == "success") & (F.col("v") > 100), F.lit("too large")).alias("parse_error"))
 
@@ -183,3 +183,14 @@ def integrity_by_field(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages").select("url", F.xxhash64("html").alias("html"))
     other = pages.where(~F.col("url").contains("/de/")).withColumn("html", F.when(F.col("url").contains("/fr/"), F.lit(0).cast("long")).otherwise(F.col("html")))
     return run_stats.compared(pages, other, "url", ["html"])
+
+
+@query(
+    f"""WITH {_NOW}, {_THEN}, x AS (SELECT user_id, arg_max(coalesce(error_type, CASE WHEN value > 100 THEN 'ParseError' END, ''), (request, attempt)) AS k FROM m GROUP BY user_id),
+y AS (SELECT user_id, arg_max(coalesce(error_type, CASE WHEN value > 100 THEN 'ParseError' END, ''), (request, attempt)) AS k FROM o GROUP BY user_id)
+SELECT 'http://h' || (user_id % 7) || '.example/' || user_id AS url FROM x WHERE k IN ('PermanentError', 'ParseError') AND user_id NOT IN (SELECT user_id FROM y WHERE k IN ('PermanentError', 'ParseError'))"""
+)
+def new_permanent_errors(spark, sf_dir):
+    """SET2, SET3, AGG6: pages whose final error is permanent or of the parser now, and was not in the baseline run."""
+    now, then = (run_stats.error_table(_results(spark, sf_dir, x)) for x in (None, BASELINE))
+    return run_stats.permanent_urls(now, then)
