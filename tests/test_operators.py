@@ -266,3 +266,21 @@ def test_growth_without_a_baseline_and_states(spark):
     assert line == "5/8 pages (62.5%), 1 failed, 2.50 pages/s"
     draws = [r[0] for r in spark.range(200).select(run_stats.jitter_draw(F.col("id"))).collect()]
     assert 0 <= min(draws) and max(draws) < 1 and 0.4 < sum(draws) / 200 < 0.6
+
+
+def test_prepared_requests(spark):
+    decisions = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", True)], "id int, origin string, allowed boolean")
+    delays = spark.createDataFrame([("a", 2.0)], "origin string, crawl_delay double")
+    got = {r.id: (r.outcome, r.error, r.min_interval) for r in robots.prepared(decisions, delays, 1.0).collect()}
+    assert got == {1: (None, None, 2.0), 2: ("robots_blocked", "Blocked by robots.txt", None), 3: (None, None, 1.0)}
+
+
+def test_json_array(spark, tmp_path):
+    sink = records.JsonLines(str(tmp_path / "j"))
+    sink.save(_records(spark, [("http://x/a", "A"), ("http://x/b", "B")]))
+    assert sink.export_pretty(spark, str(tmp_path / "all.json")) == 2
+    assert records.disagreements(records.read_array(spark, str(tmp_path / "all.json")), sink.read(spark)).isEmpty()
+    (tmp_path / "bad.json").write_text("[1, 2]")
+    with pytest.raises(Exception):
+        records.read_array(spark, str(tmp_path / "bad.json")).collect()
+    assert records.pending(205, 100) == 5

@@ -58,3 +58,20 @@ def allowed(urls: DataFrame, rules: DataFrame, origin: Column, path: Column, key
 def crawl_delays(rules: DataFrame) -> DataFrame:
     """Seconds by origin, 0 if none is set."""
     return rules.groupBy("origin").agg(F.coalesce(F.max("crawl_delay"), F.lit(0.0)).alias("crawl_delay"))
+
+
+def prepared(decisions: DataFrame, delays: DataFrame, min_interval: float) -> DataFrame:
+    """Requests (with origin and allowed) as they go on: blocked, or with the seconds to keep from the one before.
+
+    A blocked request has the outcome and error of a fetch that robots rules
+    forbid and no interval; the others keep the origin's crawl delay, or
+    ``min_interval`` if that is longer.
+    """
+    met = decisions.join(delays, "origin", "left")
+    barred = ~F.col("allowed")
+    return met.select(
+        *decisions.columns,
+        F.when(barred, F.lit("robots_blocked")).alias("outcome"),
+        F.when(barred, F.lit("Blocked by robots.txt")).alias("error"),
+        F.when(~barred, F.greatest(F.lit(min_interval), F.coalesce("crawl_delay", F.lit(0.0)))).alias("min_interval"),
+    )

@@ -83,6 +83,16 @@ class JsonLines:
         return n
 
 
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a file that is one JSON array of objects, as ``export_pretty`` writes it; other content fails when read."""
+    return spark.read.schema(RECORD).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def pending(saved: int, batch: int) -> int:
+    """Rows of ``saved`` ones that a sink with such batches has not yet committed."""
+    return saved % batch
+
+
 class Csv:
     """Append-only CSV with a header in each file; links and metadata are JSON."""
 
