@@ -258,6 +258,84 @@ def test_mixtures_find_two_languages():
     assert 0.3 < mixed[0, 0] < 0.7 and mixed[1].tolist() == [1, 0] and mixed[2].tolist() == [0, 0]
 
 
+def _mixture(text, grams, langs):
+    """Proportions of the selected languages, in plain loops over all words."""
+    words_, size = text.lower().split(), len(langs)
+    total = {x: sum(grams[x].values()) + 0.1 * langid.BUCKETS for x in langs}
+
+    def log(word, lang):
+        spaced = b" " + word + b" "
+        codes = [spaced[i] | spaced[i + 1] << 8 | spaced[i + 2] << 16 for i in range(len(word))]
+        return sum(math.log((grams[lang][(c * 0x9E3779B1 % 2**32) >> 17] + 0.1) / total[lang]) for c in codes)
+
+    logs = [[log(w, x) for x in langs] for w in words_]
+    like = [[math.exp(max(x - max(row), -30)) for x in row] for row in logs]
+
+    def fitted(share):
+        for _ in range(langid.STEPS):
+            parts = [[a * b for a, b in zip(row, share)] for row in like]
+            share = [sum(p[i] / sum(p) for p in parts) / len(parts) for i in range(size)]
+        return share
+
+    share = fitted([1 / size] * size)
+    order = sorted(range(size), key=lambda i: -share[i])
+    best, chosen = -math.inf, None
+    for k in range(1, size + 1):
+        start = [max(share[i], 1e-6) if i in order[:k] else 0.0 for i in range(size)]
+        start = [x / sum(start) for x in start]
+        own = fitted(start) if k > 1 else start
+        score = sum(math.log(sum(a * b for a, b in zip(row, own)) + 1e-300) for row in like) + sum(map(max, logs)) - langid.PENALTY * (k - 1) * math.log(len(words_) + 1)
+        if score <= best:
+            break
+        best, chosen = score, own
+    return chosen
+
+
+LANGUAGES = {"en": b"the and of with that", "de": b"der und mit nicht das", "fr": b"les des est dans pour", "fi": b"ja on oli mutta kuin", "pl": b"nie jest przez czy tylko"}
+
+
+def _small_model():
+    langs = list(LANGUAGES)
+    grams = {x: Counter(langid._grams([t * 20])[0].tolist()) for x, t in LANGUAGES.items()}
+    counts = np.zeros((langid.BUCKETS, len(langs)))
+    for i, x in enumerate(langs):
+        for at, n in grams[x].items():
+            counts[at, i] = n
+    return langid.MixtureModel(langs, counts), grams, langs
+
+
+def test_mixtures_against_brute_force():
+    model, grams, langs = _small_model()
+    rng = random.Random(3)
+    texts = []
+    for n in (1, 2, 3, 5, 5):
+        pool = b" ".join(rng.sample(list(LANGUAGES.values()), n)).split() + [b"unseen", b"Word."]
+        texts.append(b" ".join(rng.choices(pool, k=rng.randrange(1, 200))))
+    got, _ = model.mixtures(texts)
+    for text, own in zip(texts, got):
+        assert np.allclose(own, _mixture(text, grams, langs), atol=2e-3)
+
+
+def test_mixtures_of_many_languages_and_long_texts():
+    model, _, langs = _small_model()
+    every = b" ".join(list(LANGUAGES.values()) * 20)
+    mixed, _ = model.mixtures([every])
+    assert (mixed[0] > 0.1).all()
+    long = every + b"\n" + every.upper()
+    short = model.mixtures([b" ".join([long] * 3)])[0]
+    assert len(long) * 3 < langid.CHUNK < len(long) * 1200
+    tallied, words_ = model.mixtures([b" ".join([long] * 1200)])
+    assert np.allclose(tallied, short, atol=1e-3) and words_[0] > 0
+
+
+def test_language_sample_counts_copies_once(spark):
+    rows = [(i, "same words here again", "aa") for i in range(300)] + [(1000 + i, f"other text number {i}", "bb") for i in range(50)] + [(None, "same words here again", "aa"), (2000, None, "cc")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    assert model.langs == ["aa", "bb"]
+    once = np.bincount(langid._grams([b"same words here again"])[0], minlength=langid.BUCKETS) + 0.1
+    assert np.allclose(model.log[0], np.log(once / once.sum()), atol=1e-4)
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(6)
     names = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]

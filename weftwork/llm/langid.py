@@ -2,18 +2,21 @@
 
 Each language has smoothed probabilities of hashed byte trigrams.  A document's
 words are drawn from a mixture of languages; expectation-maximisation estimates
-its proportions from the words' trigram likelihoods.  Sets of one, two, up to
-LANGUAGES of its likeliest languages are fitted, and the set with the highest
-likelihood less PENALTY * log(words) for each further language is selected.
-
-The model is fitted on a bounded sample: about SAMPLE documents of each
-language, drawn by hash.  A text that is null or has no letter is ``und`` with
-score 0.  A single known language is predicted with score 1; with no labelled
+its proportions from the words' trigram likelihoods.  Sets of its one, two and
+more likeliest languages are fitted as long as the likelihood less PENALTY *
+log(words) for each further language rises; the last set that raised it is
+selected.  A text of over CHUNK bytes is known by its different words and how
+often each occurs, which gives the same proportions in less memory.
+
+The model is fitted on a bounded sample: about SAMPLE different texts of each
+language, drawn by hash, so copies count once and every language has some.  A
+text that is null or has no letter is ``und`` with score 0.  A single known language is predicted with score 1; with no labelled
 row at all everything is ``und``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import text_key
-from weftwork.llm.text import chunks, encoded, word_spans
+from weftwork.llm.common import near, saved, text_key
+from weftwork.llm.text import CHUNK, SPACES, chunks, encoded, word_spans
 
-#: Labelled documents of a language that the model is fitted on, about; the most languages of one document.
-SAMPLE, LANGUAGES = 4_000, 3
+#: Different labelled texts of a language that the model is fitted on, about.
+SAMPLE = 4_000
 PENALTY, STEPS = 2.0, 6
 BUCKETS = 1 << 15
 
@@ -62,61 +65,91 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "gram", "n"])
 
 
+def _tallied(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The different words of a text and how often each occurs, counted a piece at a time."""
+    count: Counter[bytes] = Counter()
+    start = 0
+    while start < len(text):
+        end = start + CHUNK
+        while end < len(text) and text[end] not in SPACES:
+            end += 1
+        count.update(text[start:end].lower().split())
+        start = end
+    return b" ".join(count), np.fromiter(count.values(), np.float64, len(count))
+
+
 class MixtureModel:
     """Log probabilities of trigram buckets by language."""
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
         smoothed = counts + 0.1
-        self.log = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32) if langs else None
+        self.log = np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32).T) if langs else None
 
     def mixtures(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the selected languages of each text (0 for others), and the texts' numbers of words."""
+        times = None
+        if len(texts) == 1 and len(texts[0]) > CHUNK:
+            text, times = _tallied(texts[0])
+            texts = [text]
         grams, word_at, bounds = _grams(texts)
-        words, size = np.diff(bounds), len(self.langs)
+        kinds, size = np.diff(bounds), len(self.langs)
         if not len(grams):
-            return np.zeros((len(texts), size)), words
-        log = np.add.reduceat(self.log[grams], word_at[:-1], axis=0)
+            return np.zeros((len(texts), size)), kinds
+        log = np.stack([np.add.reduceat(own[grams], word_at[:-1]) for own in self.log], axis=1)
         top = log.max(axis=1, keepdims=True)
         like = np.exp(np.maximum(log - top, -30.0))
-        full = np.flatnonzero(words)
-        first, owner = bounds[:-1][full], np.repeat(np.arange(len(full)), words[full])
-        totals = words[full][:, None]
-        base = np.add.reduceat(top[:, 0].astype(np.float64), first)
+        if times is None:
+            times = np.ones(len(like))
+        full = np.flatnonzero(kinds)
+        owner = np.repeat(np.arange(len(full)), kinds[full])
+        base = np.bincount(owner, weights=top[:, 0] * times)
+        totals = np.bincount(owner, weights=times)
         share = np.full((len(full), size), 1 / size)
-        for _ in range(STEPS):
-            share = self._step(like, share, owner, first, totals)
-        order = np.argsort(-share, axis=1)
-        best = np.full(len(full), -np.inf)
-        chosen = np.zeros_like(share)
-        for k in range(1, min(LANGUAGES, size) + 1):
-            allowed = np.zeros_like(share)
-            np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-            fitted = np.maximum(share, 1e-6) * allowed
+        share = self._fitted(like, times, share, owner, totals)
+        order = np.argsort(-share, axis=1, kind="stable")
+        best, chosen = np.full(len(full), -np.inf), np.zeros_like(share)
+        at = np.arange(len(full))  # the texts whose last set raised the likelihood
+        for k in range(1, size + 1):
+            allowed = np.zeros((len(at), size))
+            np.put_along_axis(allowed, order[at, :k], 1.0, axis=1)
+            fitted = np.maximum(share[at], 1e-6) * allowed
             fitted /= fitted.sum(axis=1, keepdims=True)
-            for _ in range(STEPS if k > 1 else 0):
-                fitted = self._step(like, fitted, owner, first, totals)
-            score = base + np.add.reduceat(np.log((like * fitted[owner]).sum(axis=1) + 1e-300), first) - PENALTY * (k - 1) * np.log(totals[:, 0] + 1)
-            better = score > best
-            best[better], chosen[better] = score[better], fitted[better]
+            if k > 1:
+                fitted = self._fitted(like, times, fitted, owner, totals[at])
+            own = np.log((like * fitted[owner]).sum(axis=1) + 1e-300) * times
+            score = base[at] + np.bincount(owner, weights=own, minlength=len(at)) - PENALTY * (k - 1) * np.log(totals[at] + 1)
+            better = score > best[at]
+            best[at[better]], chosen[at[better]] = score[better], fitted[better]
+            if not better.any():
+                break
+            kept = better[owner]
+            like, times, owner = like[kept], times[kept], (np.cumsum(better) - 1)[owner[kept]]
+            at = at[better]
         out = np.zeros((len(texts), size))
         out[full] = chosen
-        return out, words
+        return out, kinds
 
     @staticmethod
-    def _step(like, share, owner, first, totals):
-        """One step of expectation-maximisation over all texts at once."""
-        part = like * share[owner]
-        part /= part.sum(axis=1, keepdims=True) + 1e-300
-        return np.add.reduceat(part, first, axis=0) / totals
+    def _fitted(like, times, share, owner, totals):
+        """Proportions after STEPS steps of expectation-maximisation over all texts at once; words are in the order of texts."""
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        for _ in range(STEPS):
+            part = like * share[owner]
+            part *= (times / (part.sum(axis=1) + 1e-300))[:, None]
+            share = np.add.reduceat(part, first, axis=0) / totals[:, None]
+        return share
 
 
 def fit(labelled: DataFrame) -> MixtureModel:
-    """A model from (text, lang) rows; rows with a null lang are left out."""
-    rows = labelled.where("lang is not null").select("text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    few = F.pmod(text_key(F.col("text")), F.col("__n")) < SAMPLE
-    sample = rows.join(F.broadcast(sizes), "lang").where(few).select("text", "lang")
+    """A model from (doc_id, text, lang) rows; rows with a null lang are left out."""
+    rows = labelled.where("lang is not null").select("doc_id", "text", "lang", text_key(F.col("text")).alias("h"))
+    texts = saved(rows.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")), "labelled-texts")
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    drawn = texts.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("h"), F.col("n")) < SAMPLE).select("lang", "h", "doc_id")
+    drawn = near(saved(drawn, "drawn")).alias("k")
+    met = rows.alias("d").join(drawn, (F.col("d.h") == F.col("k.h")) & (F.col("d.lang") == F.col("k.lang")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    sample = met.dropDuplicates(["lang", "h"]).select("text", "lang")
     table = sample.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = table.toArrow()  # BUCKETS rows for each language at most
     langs = sorted(set(table["lang"].to_pylist()))
