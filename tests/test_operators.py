@@ -200,6 +200,40 @@ def test_links_and_description_of_any_markup(spark, tmp_path):
     assert QUERIES["page_title_meta"](spark, str(tmp_path)).first().description == 'A "b" & c'
 
 
+def test_sitemaps_against_a_walk(spark):
+    rng = random.Random(4)
+    docs, want = [], {}
+    for root in ("r1", "r2", "r3"):
+        names = [f"m{i}" for i in range(12)]
+        own = {}
+        for name in [root, *names]:
+            if name == root or rng.random() < 0.4:
+                found = rng.choices([*names, root, "gone"], k=5)
+                own[name] = ("index", found)
+                body = "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in found) + "</sitemapindex>"
+            else:
+                found = [f"http://x/{rng.randrange(40)}" for _ in range(6)]
+                own[name] = ("pages", found)
+                body = "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in found) + "</urlset>"
+            docs.append((root, name, body))
+        seen, pages = set(), {}
+
+        def visit(name):
+            if name in seen or name not in own:
+                return
+            seen.add(name)
+            kind, found = own[name]
+            for x in found:
+                visit(x) if kind == "index" else pages.setdefault(x)
+
+        visit(root)
+        want[root] = list(pages)
+    frame = spark.createDataFrame(docs, "root string, url string, body string").repartition(5)
+    got = frontier.resolve_sitemaps(frame.where("url = root").select("root"), frame).collect()
+    for root, pages in want.items():
+        assert [(r.pos, r.url) for r in sorted(got, key=lambda r: r.pos) if r.root == root] == list(enumerate(pages))
+
+
 def test_sitemaps_skip_invalid_pages(spark):
     body = "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in ("http://x/1", "ftp://x/2", "http://x:0/3", "http://x y/4", "page", "https://x:8443/5")) + "</urlset>"
     docs = spark.createDataFrame([("r", "r", body), ("e", "e", "<urlset/>")], "root string, url string, body string")

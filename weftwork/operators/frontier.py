@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -90,38 +91,58 @@ def _read_sitemap(body: str | None) -> tuple[str, list[str]]:
     return kind, found
 
 
+def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document (pos -1, loc null) and one for each location that it names."""
+    for rows in batches:
+        out = []
+        for root, url, body in zip(rows["root"], rows["url"], rows["body"]):
+            kind, found = _read_sitemap(body) if body is not None else ("fetch_error", [])
+            out.append((root, url, kind, -1, None))
+            out.extend((root, url, kind, i, loc) for i, loc in enumerate(found))
+        yield pd.DataFrame(out, columns=["root", "url", "kind", "pos", "loc"])
+
+
 def resolve_sitemaps(roots: DataFrame, docs: DataFrame) -> DataFrame:
     """(root, pos, url, error): the pages of each root sitemap, depth first, first visit wins.
 
-    Documents (root, url, body) are grouped by root: a site's sitemaps, which the
-    protocol bounds to one index of 50,000.  A root that fails gives one row with
-    its error; nested failures are skipped and not tried again, and so are pages
-    whose location is not valid.
+    Documents (root, url, body) are parsed each by itself into rows; where a url
+    repeats under its root, one of its bodies counts.  Only a root's sitemaps and
+    the links among them are walked in one group: a sitemap names at most 50,000
+    others by the protocol, and their pages never meet there.  Pages get the place
+    of their sitemap by a join, the first of equal pages stays, and places are
+    numbered by ranges.  A root that fails gives one row with its error; nested
+    failures are skipped and not tried again, and so are pages whose location is
+    not valid.
     """
+    wanted = roots.select("root").distinct()
+    own = docs.select("root", "url", "body").join(wanted, "root", "left_semi").groupBy("root", "url").agg(F.max("body").alias("body"))
+    parsed = saved(own.mapInPandas(_read_all, "root string, url string, kind string, pos int, loc string"), "sitemaps")
 
-    def visit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         root = key[0]
-        bodies = dict(zip(rows["url"], rows["body"]))
-        pages: dict[str, None] = {}
-        seen, error = set(), None
+        kinds = dict(zip(rows["url"][rows["pos"] < 0], rows["kind"][rows["pos"] < 0]))
+        links = rows[rows["pos"] >= 0].sort_values("pos").groupby("url")["loc"].agg(list).to_dict()
+        seen: dict[str, None] = {}
         stack = [root]
         while stack:
             url = stack.pop()
-            if url in seen:
-                continue
-            seen.add(url)
-            kind, found = _read_sitemap(bodies[url]) if bodies.get(url) is not None else ("fetch_error", [])
-            if kind == "urlset":
-                for page in found:
-                    pages.setdefault(page)
-            elif kind == "sitemapindex":
-                stack.extend(reversed(found))
-            elif url == root:
-                error = kind
+            if url not in seen:
+                seen[url] = None
+                stack.extend(reversed(links.get(url, [])))
+        kind = kinds.get(root, "fetch_error")
+        error = None if kind in ("urlset", "sitemapindex") else kind
         if error:
-            return pd.DataFrame({"root": [root], "pos": [0], "url": [None], "error": [error]})
-        n = len(pages)
-        return pd.DataFrame({"root": pd.Series([root] * n, dtype=object), "pos": pd.Series(range(n), dtype="int32"), "url": pd.Series(list(pages), dtype=object), "error": pd.Series([None] * n, dtype=object)})
-
-    grouped = roots.select("root").distinct().join(docs, "root", "left")
-    return grouped.groupBy("root").applyInPandas(visit, "root string, pos int, url string, error string")
+            return pd.DataFrame({"root": [root], "url": [root], "rank": [0], "error": [error]})
+        visited = [(root, url, i, None) for i, url in enumerate(seen) if kinds.get(url) == "urlset"]
+        return pd.DataFrame(visited, columns=["root", "url", "rank", "error"])
+
+    sitemaps = wanted.join(parsed.where("pos < 0 or kind = 'sitemapindex'"), "root", "left")
+    sitemaps = sitemaps.withColumn("pos", F.coalesce("pos", F.lit(0)))
+    order = saved(sitemaps.groupBy("root").applyInPandas(walk, "root string, url string, rank int, error string"), "sitemap-order")
+    pages = parsed.where("kind = 'urlset' and pos >= 0").join(order.where("error is null"), ["root", "url"])
+    first = pages.groupBy("root", F.col("loc").alias("url")).agg(F.min(F.struct("rank", "pos")).alias("p"))
+    placed = saved(numbered(first.select("root", "url", F.struct("root", "p").alias("place")), "place"), "sitemap-pages")
+    begins = placed.groupBy("root").agg(F.min("seq").alias("begin"))
+    found = placed.join(begins, "root").select("root", (F.col("seq") - F.col("begin")).cast("int").alias("pos"), "url", F.lit(None).cast("string").alias("error"))
+    failed = order.where("error is not null").select("root", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("url"), "error")
+    return found.unionByName(failed)

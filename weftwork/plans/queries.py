@@ -12,6 +12,7 @@ from weftwork.functions import urls
 from weftwork.operators import admission, frontier, outcomes, robots, schedule, statistics
 from weftwork.plans.run_queries import RUN_QUERIES
 from weftwork.sources import records
+from weftwork.storage import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(RUN_QUERIES)
 
@@ -282,13 +283,18 @@ def robots_decision(spark, sf_dir):
 
 @query
 def sitemap_resolve(spark, sf_dir):
-    """REC2, REC2b, FLT13, SRC10: a sitemap index made of the pages' hosts."""
+    """REC2, REC2b, FLT13, SRC10: an index for each host, of sitemaps with up to 10,000 of its pages each, in order."""
     pages = _read(spark, sf_dir, "pages").select("url", urls.host(F.col("url")).alias("host"))
     loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    maps = pages.groupBy("host").agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list(loc)), ""), F.lit("</urlset>")).alias("body"))
-    own = maps.select(F.col("host").alias("root"), F.concat(F.lit("m/"), "host").alias("url"), "body")
-    index = maps.select(F.col("host").alias("root"), F.col("host").alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>m/"), "host", F.lit("</loc></sitemap></sitemapindex>")).alias("body"))
-    out = frontier.resolve_sitemaps(maps.select(F.col("host").alias("root")), own.unionByName(index))
+    placed = frontier.numbered(pages.select("host", F.struct("host", loc.alias("loc")).alias("place")), "place")
+    part = F.concat(F.lit("http://"), "host", F.lit("/sitemap-"), F.floor(F.col("seq") / 10_000).cast("string"))
+    maps = placed.groupBy("host", F.floor(F.col("seq") / 10_000).alias("block"), part.alias("url")).agg(F.array_sort(F.collect_list(F.struct("seq", "place.loc"))).alias("locs"))
+    bodies = F.concat(F.lit("<urlset>"), F.array_join("locs.loc", ""), F.lit("</urlset>"))
+    own = saved(maps.select(F.col("host").alias("root"), "block", "url", bodies.alias("body")), "bodies")
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("block", "url"))), lambda x: F.concat(F.lit("<sitemap><loc>"), x["url"], F.lit("</loc></sitemap>")))
+    index = own.groupBy("root").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(entries, ""), F.lit("</sitemapindex>")).alias("body"))
+    docs = own.drop("block").unionByName(index.select("root", F.col("root").alias("url"), "body"))
+    out = frontier.resolve_sitemaps(index.select("root"), docs)
     return out.where("error is null").select("root", F.col("pos").cast("long").alias("pos"), "url")
 
 
