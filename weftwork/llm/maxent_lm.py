@@ -9,8 +9,8 @@ chance is its smoothed count.  Each branching is a softmax over features: a
 constant, the previous word, the word before it (a skip) and the pair of both,
 whichever words these are.  A feature and a branching together are hashed to a
 row of weights; there are PER_ROOT rows for each of the root of the counted
-number of different word pairs, so rows grow with the corpus, but slower than
-its pairs, and features share rows.  The constants are the log frequencies.  The
+number of different word pairs, LEAST_BITS bits of them at least, so rows grow
+with the corpus, but slower than its pairs, and features share rows.  The constants are the log frequencies.  The
 other weights are trained in synchronous updates, STEPS and one more for each time
 the training tokens are four times as many, beyond a million; each takes the documents of one
 hash slice, so all training documents are used once.  A gradient is, for each
@@ -44,13 +44,16 @@ from weftwork.llm.text import _tables, chunks, encoded, mix, word_spans
 WAYS, SHAPES = 16, 8
 #: Rows of weights for each of the root of the number of word pairs; of pairs, one in PAIR_SAMPLE is counted.
 PER_ROOT, PAIR_SAMPLE = 32, 64
+#: A small corpus has 2 ** LEAST_BITS rows, 16 MB.
+LEAST_BITS = 18
 #: Rows of weights that are added up together.
 BLOCK = 64
 #: Words whose counts are broadcast at most, about 25 bytes each.
 DICTIONARY = 1_000_000
 STEPS, RATE = 4, 0.6
-#: What a weight's spread is raised by in a step, so that rarely met weights move little.
-PRIOR = 30.0
+#: What a weight's spread is raised by in a step, so that rarely met weights move little,
+#: times the root of 1 + the features that a row is met by in a step: the more share it, the less each is told.
+PRIOR = 6.0
 
 # The context before a text, and odd factors that tell the features of one word apart.
 _START = np.uint64(0x5107_5107_5107_5107)
@@ -207,7 +210,7 @@ class MaxEnt:
     """The weights: a row of WAYS branches for each hashed feature at a node of the tree."""
 
     def __init__(self, pairs: int):
-        self.bits = max(12, ceil(log2(PER_ROOT * sqrt(pairs + 1))))
+        self.bits = max(LEAST_BITS, ceil(log2(PER_ROOT * sqrt(pairs + 1))))
         self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
 
     @staticmethod
@@ -242,11 +245,11 @@ class MaxEnt:
             out[at] += taken - np.log(np.exp(logits, out=logits) @ _UP_TO[:, -1])
         return out
 
-    def update(self, block: int, sums: bytes) -> None:
-        """One step for a block of rows against the gradient, scaled by the variance of a weight's outcome."""
+    def update(self, block: int, sums: bytes, prior: float) -> None:
+        """One step for a block of rows against the gradient, scaled by the variance of a weight's outcome and ``prior``."""
         gradient, expected = np.frombuffer(sums, np.float32).reshape(2, BLOCK, WAYS)
         spread = expected * (1 - expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-6))
-        self.weights[block * BLOCK : (block + 1) * BLOCK] -= np.clip(RATE * gradient / (spread + PRIOR), -1, 1)
+        self.weights[block * BLOCK : (block + 1) * BLOCK] -= np.clip(RATE * gradient / (spread + prior), -1, 1)
 
 
 def _gradient(vocabulary, model):
@@ -317,11 +320,12 @@ def train_model(train: DataFrame, vocabulary, model: MaxEnt) -> None:
     context = train.sparkSession.sparkContext
     steps = STEPS + max(0, int(log2(max(1, vocabulary.value.total) / 1e6) / 2))
     slices, tasks, schema = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)), context.defaultParallelism, "block int, sums binary"
+    prior = PRIOR * sqrt(1 + 3 * vocabulary.value.total / steps / len(model.weights))
     for step in range(steps):
         rows = train.where(slices == step).select("text").coalesce(tasks).mapInArrow(_gradient(vocabulary, context.broadcast(model)), schema)
         found = rows.repartition(tasks, "block").mapInArrow(_added, schema).toArrow()  # the size of the weights twice at most
         for block, sums in zip(found["block"], found["sums"]):
-            model.update(block.as_py(), sums.as_py())
+            model.update(block.as_py(), sums.as_py(), prior)
 
 
 def _scored(vocabulary, model):
