@@ -103,6 +103,17 @@ def test_robots(spark):
     assert {r.origin: r.crawl_delay for r in robots.crawl_delays(robots.agent_rules(rules, "Bot")).collect()}["a"] == 2.0
 
 
+def test_robots_takes_the_most_specific_group_and_wildcards(spark):
+    body = "User-agent: weft\nDisallow: /\n\nUser-agent: weftnews\nDisallow: /*.pdf$\nDisallow: /a*/b\nAllow: /a*/b/c\nDisallow: /x\\Ey*z\nDisallow: /end$\n\nUser-agent: *\nDisallow: /q"
+    rules = robots.rules_of(spark.createDataFrame([("a", 200, body)], "origin string, status int, body string"))
+    paths = {"/q": True, "/k.pdf": False, "/k.pdf?v=1": True, "/k-pdf": True, "/a1/b": False, "/a/2/b/c": True, "/x\\Ey.z": False, "/end": False, "/end/": True}
+    urls_ = spark.createDataFrame([("a", p) for p in paths], "o string, p string").withColumn("id", F.col("p"))
+    decide = lambda agent: {r.id: r.allowed for r in robots.allowed(urls_, robots.agent_rules(rules, agent), F.col("o"), F.col("p"), "id").collect()}
+    assert decide("WeftNews/2.0") == paths
+    assert not any(decide("weftbot").values())
+    assert decide("other") == {p: p != "/q" for p in paths}
+
+
 def test_rate_slots_against_a_loop(spark):
     rng = random.Random(3)
     rows = [(k, i, rng.random() * 50, rng.choice([0.5, 1.0, 2.0])) for i, k in enumerate(rng.choices("ab", k=120))]

@@ -39,18 +39,27 @@ def rules_of(docs: DataFrame) -> DataFrame:
 
 
 def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
-    """The rules of the group that holds for ``agent``, by origin."""
+    """The rules of the group that holds for ``agent``, by origin: of the names that are part of it, the longest."""
     token = agent.split("/")[0].strip().lower()
-    own = rules.where((F.col("agent") != "*") & F.lit(token).contains(F.col("agent")))
+    own = rules.where((F.col("agent") != "*") & (F.col("agent") != "") & F.lit(token).contains(F.col("agent")))
+    best = own.groupBy("origin").agg(F.max_by("agent", F.struct(F.length("agent"), "agent")).alias("agent"))
+    own = own.join(best, ["origin", "agent"], "left_semi").select(*rules.columns)
     rest = rules.where("agent = '*'").join(own.select("origin").distinct(), "origin", "left_anti")
     return own.unionByName(rest)
 
 
+def _begins(url_path: Column, rule: Column) -> Column:
+    """Whether a rule's path begins the URL's; ``*`` stands for any characters, a last ``$`` for the end."""
+    plain = F.replace(F.regexp_replace(rule, r"\$$", ""), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit("^\\Q"), F.replace(plain, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E"), F.when(rule.endswith("$"), "$").otherwise(""))
+    return F.when(rule.contains("*") | rule.endswith("$"), F.rlike(url_path, pattern)).otherwise(url_path.startswith(rule))
+
+
 def allowed(urls: DataFrame, rules: DataFrame, origin: Column, path: Column, key: str) -> DataFrame:
     """``key`` and whether the longest rule whose path begins the URL's path allows it."""
     rows = urls.select(F.col(key), origin.alias("origin"), path.alias("url_path"))
     met = rows.join(rules.where("path is not null").select("origin", "allow", "path"), "origin", "left")
-    fits = F.col("url_path").startswith(F.col("path"))
+    fits = _begins(F.col("url_path"), F.col("path"))
     best = F.max_by(F.when(fits, F.col("allow")), F.when(fits, F.struct(F.length("path"), "allow")))
     return met.groupBy(key).agg(F.coalesce(best, F.lit(True)).alias("allowed"))
 
