@@ -62,6 +62,14 @@ _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 _UP_TO = np.triu(np.ones((WAYS, WAYS), np.float32))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype(np.float16).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 2 * size, "zstd", asbytes=True), np.float16).astype(np.float32)
+
+
 def _trues(rows: np.ndarray) -> np.ndarray:
     """How many of each row's WAYS values are true."""
     counts = np.bitwise_count(rows.view(np.uint64))  # of eight values of one byte, 0 or 1, each
@@ -213,6 +221,14 @@ class MaxEnt:
         self.bits = max(LEAST_BITS, ceil(log2(PER_ROOT * sqrt(pairs + 1))))
         self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        """Tasks get the weights as half floats, packed."""
+        return self.bits, _packed(self.weights)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.bits, packed = state
+        self.weights = _unpacked(packed, WAYS << self.bits).reshape(-1, WAYS)
+
     @staticmethod
     def contexts(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """Hashes of the previous word, the one before, and their pair; ``first`` marks a text's first token."""
@@ -253,7 +269,7 @@ class MaxEnt:
 
 
 def _gradient(vocabulary, model):
-    """Blocks of a task's gradients and drawn numbers by branch, as half floats of 1/64 of them."""
+    """Blocks of a task's gradients and drawn numbers by branch, as packed half floats of 1/64 of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = vocabulary.value, model.value
@@ -291,8 +307,8 @@ def _gradient(vocabulary, model):
         used = np.flatnonzero(both.any(axis=(1, 2, 3)))
         for i in range(0, len(used), 256):
             some = used[i : i + 256]
-            halves = np.clip(both[some] / 64, -65_000, 65_000).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x.tobytes() for x in halves], pa.binary())], ["block", "sums"])
+            scaled = np.clip(both[some] / 64, -65_000, 65_000)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_packed(x) for x in scaled], pa.binary())], ["block", "sums"])
 
     return run
 
@@ -302,7 +318,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, part in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-            part = np.frombuffer(part, np.float16).astype(np.float32) * 64
+            part = _unpacked(part, 2 * BLOCK * WAYS) * 64
             sums[block] = sums[block] + part if block in sums else part
     for block, x in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "sums"])
@@ -322,10 +338,12 @@ def train_model(train: DataFrame, vocabulary, model: MaxEnt) -> None:
     slices, tasks, schema = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)), context.defaultParallelism, "block int, sums binary"
     prior = PRIOR * sqrt(1 + 3 * vocabulary.value.total / steps / len(model.weights))
     for step in range(steps):
-        rows = train.where(slices == step).select("text").coalesce(tasks).mapInArrow(_gradient(vocabulary, context.broadcast(model)), schema)
+        sent = context.broadcast(model)
+        rows = train.where(slices == step).select("text").coalesce(tasks).mapInArrow(_gradient(vocabulary, sent), schema)
         found = rows.repartition(tasks, "block").mapInArrow(_added, schema).toArrow()  # the size of the weights twice at most
         for block, sums in zip(found["block"], found["sums"]):
             model.update(block.as_py(), sums.as_py(), prior)
+        sent.destroy()  # the step's sums are here, so no task can ask for it again
 
 
 def _scored(vocabulary, model):
