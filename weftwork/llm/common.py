@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +71,23 @@ def join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], size: str,
     on_hot = rows.join(F.broadcast(hot), keys, how)
     on_cold = rows.join(F.broadcast(hot_keys), keys, "left_anti").join(cold, keys, how)
     return on_hot.unionByName(on_cold)
+
+
+class Bits:
+    """A set of 64-bit hashes as a bitmap of at most 2**``most`` bits; it may also say yes to others."""
+
+    #: Bits that one group of the aggregate holds.
+    PIECE = 32_768
+
+    def __init__(self, hashes: DataFrame, name: str, most: int = 28, each: int = 16):
+        self.bits = min(most, max(20, ceil(log2(each * hashes.count() + 1))))
+        slot = F.shiftrightunsigned(name, 64 - self.bits)
+        pieces = hashes.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / self.PIECE).cast("long").alias("piece")).agg(F.bitmap_construct_agg(F.col("slot") % self.PIECE).alias("bytes"))
+        self.bitmap = np.zeros(1 << self.bits - 3, np.uint8)
+        for r in pieces.toLocalIterator():  # 2**bits bits in all
+            piece = np.frombuffer(r["bytes"], np.uint8)
+            self.bitmap[r["piece"] * self.PIECE // 8 :][: len(piece)] = piece
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)

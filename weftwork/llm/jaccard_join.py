@@ -22,7 +22,7 @@ copies; a null doc_id is never the smallest of a component unless all are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ LOCAL, BLOCK = 2, 2_000_000
 #: Pivot rounds before the remaining pairs are compared one by one.
 ROUNDS = 1
 #: Lists of at most so many members are then compared pair by pair; in longer ones,
-#: blocks of about MEMBERS members by products of incidence matrices, COLUMNS shingles at a time.
-SHORT, MEMBERS, COLUMNS = 32, 1024, 4096
+#: blocks of about MEMBERS members or SHINGLES shingles by products of incidence matrices, COLUMNS shingles at a time.
+SHORT, MEMBERS, SHINGLES, COLUMNS = 32, 1024, 1 << 21, 4096
 
 
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -190,8 +190,11 @@ def components(links: DataFrame) -> DataFrame:
     return saved(pairs.unionByName(pairs.select(F.col("comp").alias("c"), "comp").distinct()), "components")
 
 
-def _spanning(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links that span the components among the sets of two blocks (or of one)."""
+def _spanning(table: pa.Table, num: int, den: int, may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> pa.Table:
+    """Links that span the components among the sets of two blocks (or of one).
+
+    ``may`` tells of the rows on the left and on the right which pairs to compare.
+    """
     names, sizes = table["c"].to_numpy(), table["n"].to_numpy()
     lists = table["s"].combine_chunks()
     tokens, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(names)), sizes)
@@ -202,6 +205,9 @@ def _spanning(table: pa.Table, num: int, den: int) -> pa.Table:
     right = np.flatnonzero(table["right"].to_numpy(zero_copy_only=False))
     left = np.setdiff1d(np.arange(len(names)), right) if len(right) else np.arange(len(names))
     right = right if len(right) else left
+    wanted = may(left, right) if may else None
+    if wanted is not None and not wanted.any():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     inter = np.zeros((len(left), len(right)), np.float32)
     own_column, own_row = column[token[keep]], owner[keep]
     by = np.argsort(own_column, kind="stable")
@@ -213,6 +219,8 @@ def _spanning(table: pa.Table, num: int, den: int) -> pa.Table:
         inter += matrix[left] @ matrix[right].T
     union = sizes[left][:, None] + sizes[right][None, :] - inter
     near_by = den * inter >= num * union
+    if wanted is not None:
+        near_by &= wanted
     label = np.arange(len(names))
     out: list[tuple[int, int]] = []
 
@@ -247,7 +255,8 @@ class JaccardJoin:
         self.orders = self.spark.sparkContext.broadcast(orders)
         self.links = self._linked()
 
-    def _linked(self) -> DataFrame:
+    def _lists(self) -> DataFrame:
+        """(t, c): the posting lists of two classes or more."""
         postings = saved(self.docs.mapInArrow(lean(_postings(self.orders, self.k)), "t long, c long"), "postings")
         # lists with more than 1/HOT_SHARE of all rows: of frequent shingles, so the table of those has them
         limit = max(1, postings.count() // HOT_SHARE)
@@ -256,14 +265,20 @@ class JaccardJoin:
         cold = postings.join(hot, "t", "left_anti").select("t", "c", F.min("c").over(by_list).alias("lo"), F.max("c").over(by_list).alias("hi"))
         lists = postings.join(hot, "t", "left_semi").groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
         rows = cold.unionByName(postings.join(F.broadcast(lists), "t"))
-        # the posting lists of two classes or more
-        self.shared = saved(rows.where("lo < hi").select("t", "c"), "shared")
+        return rows.where("lo < hi").select("t", "c")
+
+    def _filters(self) -> DataFrame:
+        """What is known of each class in a list before whole sets are compared."""
+        schema = "c long, n long, p2 array<smallint>, p3 array<smallint>"
+        return self._texts(self.chosen).mapInArrow(lean(_filters(self.orders, self.k)), schema)
+
+    def _linked(self) -> DataFrame:
+        self.shared = saved(self._lists(), "shared")
         wanted = saved(self.shared.select("c").distinct(), "wanted")
         chosen = self.rows.join(near(wanted), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("x"))
         #: One document of each class in a posting list of two or more.
         self.chosen = saved(chosen.select("c", "x.doc_id", "x.h"), "chosen")
-        schema = "c long, n long, p2 array<smallint>, p3 array<smallint>"
-        self.filters = saved(self._texts(self.chosen).mapInArrow(lean(_filters(self.orders, self.k)), schema), "filters")
+        self.filters = saved(self._filters(), "filters")
         tested = links = labels = None
         size = self.shared.count()
         for step in range(ROUNDS + 1):
@@ -300,23 +315,40 @@ class JaccardJoin:
         """Links among the members of long lists that the pivots left open.
 
         Lists that share members form a group.  Its members are dealt to blocks of
-        about MEMBERS, and each task compares two blocks by one product of their
-        incidence matrices; it returns links that span what it found, not pairs.
+        about MEMBERS members or SHINGLES shingles: a component that fills half a
+        block has blocks of its own, the others share blocks, each component in one.
+        A task compares two blocks by one product of their incidence matrices; no
+        task has two blocks of one component.  It returns links that span what it
+        found, not pairs.
         """
-        groups = components(rows.select(F.col("c").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct())
-        sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-        dealt = join_counts(groups, saved(sizes, "sizes"), ["comp"], "m", groups.count())
-        k = F.ceil(F.col("m") / MEMBERS).cast("int")
-        dealt = dealt.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt = dealt.select("c", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"))
+        groups = components(rows.select(F.col("c").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct()).withColumnRenamed("comp", "g")
+        members = saved(groups.join(rows.select("c", "comp").distinct(), "c").join(self.filters.select("c", "n"), "c"), "members")
+        load = F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum("n") / SHINGLES)
+        count = members.count()
+        own = members.groupBy("g", "comp").agg(load.alias("load"), F.count(F.lit(1)).alias("m"))
+        own = saved(own.withColumn("alone", F.col("load") > 0.5), "component-loads")
+        pooled = own.where("not alone").groupBy("g").agg(F.ceil(F.sum("load")).cast("int").alias("pools"), F.sum("m").alias("m"))
+        # a block is known by its group, a name and a number
+        alone = join_counts(members, own.where("alone"), ["g", "comp"], "m", count).select("c", "n", "g", F.col("comp").alias("of"), F.pmod(F.xxhash64("c"), F.ceil("load")).cast("int").alias("i"))
+        rest = join_counts(members, own.where("not alone").select("g", "comp", "m"), ["g", "comp"], "m", count).drop("m")
+        rest = join_counts(rest, saved(pooled, "pools"), ["g"], "m", count).select("c", "n", "g", F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("comp"), F.col("pools")).cast("int").alias("i"))
+        dealt = saved(alone.unionByName(rest), "dealt")
+        blocks = saved(dealt.groupBy("g", "of", "i").agg(F.count(F.lit(1)).alias("m")), "blocks")
+        left, right = (blocks.select("g", F.struct(F.col("of").isNull().alias("pool"), "of", "i").alias(x), F.col("m").alias(f"m_{x}")) for x in ("x", "y"))
+        pairs = left.join(right, "g").where("x <= y and (x.pool or not x.of <=> y.of)")
+        pairs = pairs.select(F.xxhash64("g", "x", "y").alias("task"), F.col("g").alias("bg"), "x", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+        pairs = saved(pairs.select("task", "bg", "b", (F.col("b") > F.col("x")).alias("right")), "block-pairs")
+        met = dealt.join(pairs, (F.col("g") == F.col("bg")) & F.col("of").eqNullSafe(F.col("b.of")) & (F.col("i") == F.col("b.i")))
+        sets = met.select("task", "right", "c", "n").join(self._block_sets(dealt.select("c").distinct()), "c")
+        return saved(sets.groupBy("task").applyInArrow(self._comparison(), "a long, b long"), "block-links")
+
+    def _block_sets(self, classes: DataFrame) -> DataFrame:
+        """(c, s) for the comparison of blocks."""
+        return self._sets(classes)
+
+    def _comparison(self):
         num, den = self.num, self.den
-
-        def compared(table: pa.Table) -> pa.Table:
-            return _spanning(table, num, den)
-
-        sets = dealt.join(self._sets(groups.select("c").distinct()).withColumn("n", F.size("s").cast("long")), "c")
-        return saved(sets.groupBy("comp", "i", "j").applyInArrow(compared, "a long, b long"), "block-links")
+        return lambda table: _spanning(table, num, den)
 
     @staticmethod
     def _pivots(step: int) -> list:
@@ -345,16 +377,20 @@ class JaccardJoin:
         most = F.greatest(F.col("n1") - F.size(one), F.col("n2") - F.size(two)) + shared
         return (shared > 0) & ((self.num + self.den) * most >= self.num * (F.col("n1") + F.col("n2")))
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that pass the size filter, the other orders' filters and the comparison."""
+    def _passed(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, n1, n2): the pairs that the other orders let pass."""
         f = self.filters
         x = f.select(F.col("c").alias("a"), F.col("n").alias("n1"), F.col("p2").alias("p21"), F.col("p3").alias("p31"))
         y = f.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("p2").alias("p22"), F.col("p3").alias("p32"))
-        sizes = f.select("c", "n")
+        passed = pairs.join(x, "a").join(y, "b").where(self._may_link("p21", "p22") & self._may_link("p31", "p32"))
+        return passed.select("a", "b", "n1", "n2")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the size filter, the filters before whole sets and the comparison."""
+        sizes = self.filters.select("c", "n")
         fit = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("m1")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("m2")), "b")
         fit = fit.where(self.den * F.least("m1", "m2") >= self.num * F.greatest("m1", "m2")).select("a", "b")
-        passed = fit.join(x, "a").join(y, "b").where(self._may_link("p21", "p22") & self._may_link("p31", "p32"))
-        passed = saved(passed.select("a", "b", "n1", "n2"), "passed")
+        passed = saved(self._passed(fit), "passed")
         sets = self._sets(passed.select(F.explode(F.array("a", "b")).alias("c")).distinct())
         both = passed.join(sets.select(F.col("c").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("s2")), "b")
         inter = F.size(F.array_intersect("s1", "s2"))

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm.bpe import public_bpe_report
+from weftwork.llm.collocations import collocation_report
 from weftwork.llm.decontaminate import contamination_report
 from weftwork.llm.html_main import extract_main_text
 from weftwork.llm.jaccard_join import jaccard_report
 from weftwork.llm.langid import language_report
+from weftwork.llm.lexical import lexical_report
 from weftwork.llm.line_dedup import line_dedup_report
 from weftwork.llm.maxent_lm import lm_report
+from weftwork.llm.minhash import minhash_report
 from weftwork.llm.quality import quality_report
 from weftwork.llm.span_dedup import span_report
 from weftwork.llm.toxicity import toxicity_report
@@ -62,6 +65,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_report(_documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_report(_documents(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,5 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_lm_scoring,
         op10_jaccard_join,
+        op11_minhash,
+        op12_lexical_search,
+        op13_collocations,
     )
 }

@@ -77,23 +77,47 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined bytes, each word's start and end in them, and each text's first word."""
+def word_spans(texts: list[bytes], gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes, each word's start and end in them, and each text's first word.
+
+    ``gap`` tells the bytes between words; the space is always one of them.
+    """
     joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = IS_SPACE[joined]
+    space = gap[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
     at = np.cumsum([1, *(len(x) + 1 for x in texts)])
     return joined, starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and the bounds of each text's words."""
-    joined, starts, ends, bounds = word_spans(texts)
+    joined, starts, ends, bounds = word_spans(texts, gap)
+    return span_hashes(joined, starts, ends), bounds
+
+
+def span_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of the joined bytes."""
     power, back = _tables(len(joined) + 1)
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts]), bounds
+    return mix((sums[ends] - sums[starts]) * back[starts])
+
+
+def text_chunks(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch with A-Z lower-cased, by chunks: the first one's row, and the texts."""
+    for low in range(0, batch.num_rows, rows):
+        texts = [x.lower() for x in encoded(batch.column("text").slice(low, rows))]
+        for start, end in chunks(texts):
+            yield low + start, texts[start:end]
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, where each is found first, and the sum of its counts."""
+    kinds, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    out = np.zeros(len(kinds), np.int64)
+    np.add.at(out, inverse, counts)
+    return kinds, at, out
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
