@@ -329,3 +329,27 @@ def test_json_array(spark, tmp_path):
     with pytest.raises(Exception):
         records.read_array(spark, str(tmp_path / "bad.json")).collect()
     assert records.pending(205, 100) == 5
+
+
+def test_robots_groups_without_rules(spark):
+    bodies = {
+        "empty": "User-agent: weft\nDisallow:\n\nUser-agent: *\nDisallow: /",
+        "delay": "User-agent: weft\nCrawl-delay: 3\nUser-agent: *\nDisallow: /",
+        "named": "User-agent: weft\n\nUser-agent: *\nDisallow: /x",
+        "unknown": "User-agent: weft\nSitemap: /m.xml\nHost: a\nUser-agent: other\nDisallow: /y\n\nUser-agent: *\nDisallow: /",
+        "none": "Disallow: /\nfoo\n: bar",
+        "star": "User-agent: *\nDisallow:",
+    }
+    rules = robots.rules_of(spark.createDataFrame([(o, 200, b) for o, b in bodies.items()], "origin string, status int, body string"))
+    urls_ = spark.createDataFrame([(f"{o}{p}", o, p) for o in bodies for p in ("/a", "/x", "/y")], "id string, o string, p string")
+    decide = lambda agent: {r.id: r.allowed for r in robots.allowed(urls_, robots.agent_rules(rules, agent), F.col("o"), F.col("p"), "id").collect()}
+    weft, foo = decide("weft/1.0"), decide("foo")
+    assert [weft[f"{o}/a"] for o in bodies] == [True] * 6 and [foo[f"{o}/a"] for o in bodies] == [False, False, True, False, True, True]
+    assert not weft["unknown/y"] and not weft["named/x"] and weft["empty/x"]
+    assert {r.origin: r.crawl_delay for r in robots.crawl_delays(robots.agent_rules(rules, "weft")).collect()}["delay"] == 3.0
+
+
+def test_robots_loads(spark):
+    rows = [("a", "success", 204, None), ("b", "http_error", 404, None), ("c", "timeout", None, "late"), ("d", "network_error", None, ""), ("e", "success", 301, None)]
+    got = {r.origin: (r.robots_url, r.status, r.available, r.error) for r in robots.loaded(spark.createDataFrame(rows, "origin string, outcome string, status_code int, error string")).collect()}
+    assert got == {"a": ("a/robots.txt", 204, True, None), "b": ("b/robots.txt", 404, False, "HTTP 404"), "c": ("c/robots.txt", None, False, "late"), "d": ("d/robots.txt", None, False, "network_error"), "e": ("e/robots.txt", 301, False, "HTTP 301")}

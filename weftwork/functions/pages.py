@@ -3,7 +3,8 @@
 ``parse_page`` returns one struct for each page from a tolerant tree of the
 whole markup; each part is extracted by itself, so that what fails leaves only
 its own part empty.  The native columns below give title, links, text and
-headings of well-formed pages without Python.
+headings of plain pages without Python; ``page_heads`` takes them where they agree
+with the parser and the parser elsewhere.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: The struct of a page.
 PAGE = (
@@ -58,49 +60,77 @@ class Node:
         return [x for x in self.walk() if x is not self and x.tag in tags]
 
 
-class Tree(HTMLParser):
-    """A tree of elements that forgives missing and stray end tags."""
+class Stream(HTMLParser):
+    """Elements as they open and close, and their texts, in document order; missing and stray end tags are forgiven.
+
+    Comments are texts.  ``entered`` makes what stands for an element (it has a
+    ``tag``), ``left`` and ``read`` are told when it closes and of its own texts.
+    """
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.open = [self.entered("", {}, None)]
         self.feed(page)
         self.close()
 
+    def entered(self, tag: str, attrs: dict[str, str], parent):
+        raise NotImplementedError
+
+    def left(self, element) -> None:
+        pass
+
+    def read(self, element, text: str) -> None:
+        pass
+
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
             self._close({"p"}, {"table", "td", "th", "li"})
         if tag in CLOSED_BY:
             self._close(CLOSED_BY[tag], SCOPE[tag])
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.open[-1].children.append(node)
+        element = self.entered(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1])
         if tag not in VOID:
-            self.open.append(node)
+            self.open.append(element)
+        else:
+            self.left(element)
 
-    def _close(self, tags, scope):
+    def _close(self, tags, scope=()):
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in scope:
                 return
             if self.open[i].tag in tags:
-                del self.open[i:]
+                while len(self.open) > i:
+                    self.left(self.open.pop())
                 return
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        self._close({tag})
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self.read(self.open[-1], data)
 
     handle_comment = handle_data
 
 
+class Tree(Stream):
+    """A tree of elements."""
+
+    def __init__(self, page: str):
+        super().__init__(page)
+        self.root = self.open[0]
+
+    def entered(self, tag, attrs, parent):
+        node = Node(tag, attrs)
+        if parent is not None:
+            parent.children.append(node)
+        return node
+
+    def read(self, element, text):
+        element.children.append(text)
+
+
 def clean(text: str) -> str:
     """White space runs as one space, none at the ends."""
     return " ".join(text.split())
@@ -128,8 +158,8 @@ def _meta(root: Node, name: str) -> str:
 
 def _table(table: Node) -> dict:
     headers, rows = [], []
-    for row in table.all("tr"):
-        cells = [x for x in row.children if isinstance(x, Node) and x.tag in ("td", "th")]
+    for row in table.all("tr"):  # cells and rows of tables inside count for both
+        cells = row.all("td", "th")
         texts = [_text(x) for x in cells]
         if cells and not headers and all(x.tag == "th" for x in cells):
             headers = texts
@@ -192,19 +222,56 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+# The character references that plain pages have, ``&amp;`` last.
+REFERENCES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&"))
+
+_UNSEEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
+_MARKUP = r"""(?i)<!doctype[^<>]*>|<!--[^<>]*-->|</?[a-z][a-z0-9]*+(?=[\s/>])[^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+>"""
+_INLINE = "a|abbr|b|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|u"
+_HEADING = rf"(?is)<(h[123])(?:\s[^<>]*)?>((?:[^<]*(?:<({_INLINE})(?:\s[^<>]*)?>[^<]*</\3>|<br\s*/?>|<!--[^<>]*-->))*[^<]*)</\1>"
+
+
 def unescaped(text: Column) -> Column:
-    """The character references that occur in plain pages, ``&amp;`` last."""
-    for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+    """The references of plain pages as characters."""
+    for name, char in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
+def _bare(page: Column) -> Column:
+    """The page without scripts and styles."""
+    return F.regexp_replace(page, _UNSEEN, " ")
+
+
+def is_plain(page: Column) -> Column:
+    """Whether the native columns read a page as the parser does.
+
+    All its markup is whole tags and comments without ``<`` or ``>`` inside, its
+    references are those of REFERENCES, it has one body, to its end, at most one
+    title, no element whose text is not read or not markup but scripts and
+    styles, and headings with nothing but text and simple inline elements.
+    """
+    bare = _bare(page)
+    count = lambda pattern: F.regexp_count(bare, F.lit(pattern))
+    return (
+        ~F.regexp_replace(bare, _MARKUP, "").contains("<")
+        & ~F.regexp_replace(page, "|".join(name for name, _ in REFERENCES), "").rlike("&[#a-zA-Z]")
+        & (count(r"(?i)<body[\s/>]") == 1)
+        & ~bare.rlike(r"(?i)</body\s*>(?!\s*(?:</html\s*>)?\s*$)|</html\s*>(?!\s*$)")
+        & ~bare.rlike(r"(?is)<body[\s/>].*</head\s*>")
+        & ~bare.rlike(r"(?i)<(?:noscript|template|textarea|iframe|noembed|noframes|xmp|plaintext|script|style)\b")
+        & (count(r"(?i)<title[\s/>]") == count(r"(?is)<title(?:\s[^<>]*)?>[^<]*</title\s*>"))
+        & (count(r"(?i)<title[\s/>]") <= 1)
+        & (count(r"(?i)<h[123][\s/>]") == count(_HEADING))
+    )
+
+
 def native_title(page: Column) -> Column:
-    return collapsed(unescaped(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return collapsed(unescaped(F.regexp_extract(_bare(page), r"(?is)<title(?:\s[^<>]*)?>([^<]*)</title", 1)))
 
 
 def native_text(page: Column) -> Column:
-    body = F.regexp_replace(F.regexp_extract(page, r"(?is)<body[^>]*>(.*)$", 1), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    body = F.regexp_extract(_bare(page), r"(?is)<body[^>]*>(.*)$", 1)
     return collapsed(unescaped(F.regexp_replace(F.regexp_replace(body, r"<!--|-->", " "), r"<[^>]*>", " ")))
 
 
@@ -224,9 +291,36 @@ def native_hrefs(page: Column) -> Column:
 
 def native_description(page: Column) -> Column:
     """The content of the first meta element named description, else empty."""
-    found = F.filter(_tags(page, "meta"), lambda x: F.lower(_attribute(x, "name")) == "description")
+    found = F.filter(_tags(_bare(page), "meta"), lambda x: F.lower(_attribute(x, "name")) == "description")
     return F.coalesce(collapsed(_attribute(F.get(found, F.lit(0)), "content")), F.lit(""))
 
 
 def native_headings(page: Column) -> Column:
-    return F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<h[123][^>]*>(.*?)</h[123]>"), F.lit(1)), lambda x: collapsed(unescaped(F.regexp_replace(x, "<[^>]*>", ""))))
+    """(level, text) of h1 to h3."""
+    whole = F.regexp_extract_all(_bare(page), F.lit(_HEADING), F.lit(0))
+    return F.transform(whole, lambda x: F.struct(F.lower(F.substring(x, 2, 2)).alias("level"), collapsed(unescaped(F.regexp_replace(F.regexp_replace(x, "<!--|-->", " "), "<[^>]*>", " "))).alias("text")))
+
+
+_HEADINGS = ArrayType(StructType().add("level", StringType()).add("text", StringType()))
+
+
+@F.arrow_udf(StructType().add("title", StringType()).add("text", StringType()).add("description", StringType()).add("headings", _HEADINGS))
+def _parsed_heads(page: pa.Array) -> pa.Array:
+    kind = pa.struct([("title", pa.string()), ("text", pa.string()), ("description", pa.string()), ("headings", pa.list_(pa.struct([("level", pa.string()), ("text", pa.string())])))])
+    made = []
+    for x in page.to_pylist():
+        p = None if x is None else parse(x, None)
+        made.append(p and {"title": p["title"], "text": p["text"], "description": p["metadata"]["description"], "headings": p["headings"]})
+    return pa.array(made, kind)
+
+
+def page_heads(page: Column) -> Column:
+    """Title, text, description and headings of a page as the parser gives them.
+
+    Plain pages are read natively; only the others go to Python.  Null is a page
+    without anything.
+    """
+    page = F.coalesce(page, F.lit(""))
+    plain = is_plain(page)
+    native = F.struct(native_title(page).alias("title"), native_text(page).alias("text"), native_description(page).alias("description"), native_headings(page).alias("headings"))
+    return F.coalesce(_parsed_heads(F.when(~plain, page)), F.when(plain, native))

@@ -1,7 +1,8 @@
 """Robots policy: rules as a table, decisions as a best-match join.
 
 The longest matching path wins and a tie allows; the most specific agent group
-holds, ``*`` where none is named.  401 and 403 forbid all; other failures allow.
+holds, also one without rules, and ``*`` where none is named.  401 and 403 forbid
+all; other failures allow.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 def rules_of(docs: DataFrame) -> DataFrame:
     """(origin, agent, allow, path, crawl_delay) from rows (origin, status, body).
 
-    Lines are folded in order; a run of user-agent lines names a group, which
-    ends where user-agent lines follow rules.
+    Lines are folded in order; user-agent lines name a group, which ends where
+    user-agent lines follow rules or delays; other lines change nothing.  Each name
+    gives a row without path and delay, so that a group is known that allows all.
     """
     lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "\r", ""), "#.*$", ""))), lambda x: x.contains(":"))
     parts = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
@@ -22,14 +24,16 @@ def rules_of(docs: DataFrame) -> DataFrame:
 
     def step(acc, x):
         agent = F.lower(x["v"])
+        naming, ruling = x["k"] == "user-agent", x["k"].isin("allow", "disallow", "crawl-delay")
         named = F.when(acc["naming"], F.concat(acc["agents"], F.array(agent))).otherwise(F.array(agent))
         rule = F.struct(acc["agents"].alias("agents"), (x["k"] == "allow").alias("allow"), x["v"].alias("path"), F.lit(None).cast("double").alias("delay"))
         delay = F.struct(acc["agents"].alias("agents"), F.lit(True).alias("allow"), F.lit(None).cast("string").alias("path"), x["v"].try_cast("double").alias("delay"))
-        made = F.when(x["k"].isin("allow", "disallow") & (x["v"] != ""), F.concat(acc["out"], F.array(rule))).when(x["k"] == "crawl-delay", F.concat(acc["out"], F.array(delay))).otherwise(acc["out"])
+        name = F.struct(F.array(agent).alias("agents"), F.lit(True).alias("allow"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("double").alias("delay"))
+        made = F.when(x["k"].isin("allow", "disallow") & (x["v"] != ""), rule).when(x["k"] == "crawl-delay", delay).when(naming, name)
         return F.struct(
-            F.when(x["k"] == "user-agent", named).otherwise(acc["agents"]).alias("agents"),
-            (x["k"] == "user-agent").alias("naming"),
-            made.alias("out"),
+            F.when(naming, named).otherwise(acc["agents"]).alias("agents"),
+            (naming | (acc["naming"] & ~ruling)).alias("naming"),
+            F.when(made.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(made))).alias("out"),
         )
 
     ok = docs.where("status between 200 and 299").select("origin", F.explode(F.aggregate(parts, start, step)["out"]).alias("r"))
@@ -38,6 +42,18 @@ def rules_of(docs: DataFrame) -> DataFrame:
     return rules.unionByName(barred)
 
 
+def loaded(fetches: DataFrame) -> DataFrame:
+    """(origin, robots_url, status, available, error) of the fetches of robots files (origin, outcome, status_code, error).
+
+    Only 2xx makes a file available; a status that is not has the error ``HTTP n``,
+    and a fetch without an answer its own message, else its outcome, and no status.
+    """
+    answered = ~F.col("outcome").isin("network_error", "timeout", "robots_blocked")
+    fine = answered & F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    error = F.when(~answered, F.coalesce(F.nullif("error", F.lit("")), "outcome")).when(~fine, F.concat(F.lit("HTTP "), F.col("status_code").cast("string")))
+    return fetches.select("origin", F.concat("origin", F.lit("/robots.txt")).alias("robots_url"), F.when(answered, F.col("status_code")).alias("status"), fine.alias("available"), error.alias("error"))
+
+
 def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     """The rules of the group that holds for ``agent``, by origin: of the names that are part of it, the longest."""
     token = agent.split("/")[0].strip().lower()

@@ -2,11 +2,14 @@
 
 from weftwork.plans.run_queries import RUN_SQL
 
+_PICKS = ["h1", "div.ad", "nav > ul > li + li > a[href^='/']", "body > footer", "li:nth-child(3)", "html:root > head > title", "article > ul", "#main .lead", "div["]
+
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1))"
 _CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _PLAIN = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
 _TEXT = _CLEAN.format(_PLAIN.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<!--|-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"))
 _TITLE = _CLEAN.format(_PLAIN.format(r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))
+_DESCRIPTION = """regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)"""
 _ROOT = r"regexp_extract(url, '^[a-z]+://[^/?#]*')"
 _HREFS = """regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)"""
 _LINKS = f"l0 AS (SELECT page_id, {_ROOT} AS root, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) - 1 AS pos FROM pages), l AS (SELECT page_id, root || href AS link, CAST(min(pos) AS BIGINT) AS pos FROM l0 GROUP BY ALL)"
@@ -30,10 +33,14 @@ SQL: dict[str, str] = {
     "url_defrag_distinct": "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages",
     "url_filter_https_en": r"SELECT page_id, url FROM pages WHERE (regexp_matches(url, '^https://') OR regexp_matches(url, '/en/')) AND NOT regexp_matches(url, '\?utm_') AND NOT regexp_matches(url, '\.html$')",
     "same_domain_semi": f"SELECT page_id, url FROM pages WHERE {_HOST} IN (SELECT {_HOST} FROM pages WHERE url LIKE '%/de/%')",
-    "page_title_meta": f"SELECT page_id, {_TITLE} AS title, '' AS description FROM pages",
+    "page_title_meta": f"SELECT page_id, {_TITLE} AS title, {_CLEAN.format(_PLAIN.format(_DESCRIPTION))} AS description FROM pages",
     "page_links": f"WITH {_LINKS} SELECT * FROM l",
     "page_text": f"SELECT page_id, {_TEXT} AS text FROM pages",
-    "page_headings": f"SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS pos, {_CLEAN.format(_PLAIN.format('unnest(h)'))} AS text FROM (SELECT page_id, regexp_extract_all(html, '<h[123][^>]*>(.*?)</h[123]>', 1) AS h FROM pages)",
+    "page_headings": f"SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS pos, unnest(l) AS level, {_CLEAN.format(_PLAIN.format('unnest(h)'))} AS text FROM (SELECT page_id, regexp_extract_all(html, '<(h[123])[^>]*>', 1) AS l, regexp_extract_all(html, '<h[123][^>]*>(.*?)</h[123]>', 1) AS h FROM pages)",
+    "page_select": f"""WITH e AS (SELECT html, page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS items FROM pages),
+p AS (SELECT page_id, unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in _PICKS)}]) AS selector, unnest([regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), list_filter(items[2:], lambda x: x LIKE '<li><a href="/%')[1],
+    regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), items[3], regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '', '', '']) AS x FROM e)
+SELECT page_id, selector, coalesce({_CLEAN.format(_PLAIN.format("regexp_replace(x, '<[^>]*>', ' ', 'g')"))}, '') AS text FROM p""",
     "page_lists": f"""SELECT page_id, CAST(0 AS BIGINT) AS pos, 'ul' AS type, CAST(len(i) AS BIGINT) AS n_items, {_PLAIN.format("array_to_string(i, '|')")} AS items FROM (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS i FROM pages)""",
     "page_images_tables": "SELECT page_id, CAST(len(regexp_extract_all(html, '<img')) AS BIGINT) AS n_images, CAST(len(regexp_extract_all(html, '<table')) AS BIGINT) AS n_tables FROM pages",
     "page_summary": f"""WITH {_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM l),
@@ -63,7 +70,7 @@ SELECT * FROM n WHERE seq < 50""",
     "upsert_last_wins": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
     "integrity_except": "SELECT page_id, url, 'first' AS side FROM pages WHERE page_id IN (3, 5) UNION ALL SELECT page_id, url || '#x', 'other' FROM pages WHERE page_id = 5",
     "stats_delta": "SELECT event_type, n FROM (SELECT event_type, count(*) FILTER (WHERE ts >= '2024-01-15') AS n FROM events GROUP BY 1) WHERE n > 0",
-    "robots_decision": r"""SELECT page_id, CASE WHEN host LIKE 'www.%' THEN true WHEN host LIKE 'blog.%' THEN false WHEN url LIKE 'https%' THEN NOT starts_with(p, '/fr/') ELSE starts_with(p, '/en/') END AS allowed
+    "robots_decision": r"""SELECT page_id, CASE WHEN host LIKE 'www.%' THEN true WHEN host LIKE 'blog.%' THEN false WHEN host LIKE '%.org' THEN true WHEN url LIKE 'https%' THEN NOT starts_with(p, '/fr/') ELSE starts_with(p, '/en/') END AS allowed
 FROM (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?#]*', '') AS p FROM pages)""",
     "sitemap_resolve": f"SELECT {_HOST} AS root, row_number() OVER (PARTITION BY {_HOST} ORDER BY replace(url, '&', '&amp;') || '<') - 1 AS pos, url FROM pages",
     "queue_states": f"""WITH {_ATTEMPTS}, l AS (SELECT user_id, arg_max(outcome, request) AS o, arg_max(coalesce(status_code, 0), request) AS s FROM t GROUP BY user_id),

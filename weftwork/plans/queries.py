@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import pages as html
-from weftwork.functions import urls
+from weftwork.functions import selectors, urls
 from weftwork.operators import admission, frontier, outcomes, robots, schedule, statistics
 from weftwork.plans.run_queries import RUN_QUERIES
 from weftwork.sources import records
@@ -69,10 +69,14 @@ def same_domain_semi(spark, sf_dir):
     return admission.same_hosts(pages, pages.where(F.col("url").contains("/de/"))).select("page_id", "url")
 
 
+def _heads(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", html.page_heads(F.col("html")).alias("p"))
+
+
 @query
 def page_title_meta(spark, sf_dir):
     """FN8, FN13."""
-    return _read(spark, sf_dir, "pages").select("page_id", html.native_title(F.col("html")).alias("title"), html.native_description(F.col("html")).alias("description"))
+    return _heads(spark, sf_dir).select("page_id", "p.title", "p.description")
 
 
 @query
@@ -86,13 +90,25 @@ def page_links(spark, sf_dir):
 @query
 def page_text(spark, sf_dir):
     """FN7, FN13, quirk Q5 (comments are text)."""
-    return _read(spark, sf_dir, "pages").select("page_id", html.native_text(F.col("html")).alias("text"))
+    return _heads(spark, sf_dir).select("page_id", "p.text")
 
 
 @query
 def page_headings(spark, sf_dir):
     """FN10."""
-    return _read(spark, sf_dir, "pages").select("page_id", F.posexplode(html.native_headings(F.col("html"))).alias("pos", "text")).select("page_id", F.col("pos").cast("long").alias("pos"), "text")
+    return _heads(spark, sf_dir).select("page_id", F.posexplode("p.headings").alias("pos", "h")).select("page_id", F.col("pos").cast("long").alias("pos"), "h.level", "h.text")
+
+
+#: Selectors of page_select; the last three pick nothing or are not valid.
+PICKS = ["h1", "div.ad", "nav > ul > li + li > a[href^='/']", "body > footer", "li:nth-child(3)", "html:root > head > title", "article > ul", "#main .lead", "div["]
+
+
+@query
+def page_select(spark, sf_dir):
+    """FN7 by CSS selector: the text of the first element that each selector picks."""
+    pages = _read(spark, sf_dir, "pages")
+    picked = pages.select("page_id", F.posexplode(selectors.selected_texts(F.col("html"), PICKS)).alias("at", "text"))
+    return picked.select("page_id", F.element_at(F.array(*map(F.lit, PICKS)), F.col("at") + 1).alias("selector"), "text")
 
 
 @query
@@ -270,13 +286,14 @@ def stats_delta(spark, sf_dir):
 
 @query
 def robots_decision(spark, sf_dir):
-    """JN3, ROB1, ROB6, FLT10: every origin's file, by its host: none for www, barred for blog, rules for the others."""
+    """JN3, ROB1, ROB6, FLT10: every origin's file, by its host: none for www, barred for blog, a group that allows all under org, rules for the others."""
     pages = _read(spark, sf_dir, "pages")
     origin = urls.origin(F.col("url"))
     host = urls.host(F.col("url"))
     files = pages.select(origin.alias("origin"), host.alias("host")).distinct()
     status = F.when(F.col("host").startswith("www."), 404).when(F.col("host").startswith("blog."), 403).otherwise(200)
-    body = F.when(F.col("origin").startswith("https"), "User-agent: *\nDisallow: /fr/").otherwise("User-agent: *\nDisallow: /\nAllow: /en/")
+    body = F.when(F.col("host").endswith(".org"), "User-agent: weft\nSitemap: /map.xml\nDisallow:\n\nUser-agent: *\nDisallow: /")
+    body = body.when(F.col("origin").startswith("https"), "User-agent: *\nDisallow: /fr/").otherwise("User-agent: *\nDisallow: /\nAllow: /en/")
     rules = robots.agent_rules(robots.rules_of(files.select("origin", status.alias("status"), body.alias("body"))), "weft/1.0")
     return robots.allowed(pages, rules, origin, urls.path(F.col("url")), "page_id")
 
