@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import sqlite3
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftwork.sources import sqlite
+
 RECORD = "url string, title string, text string, links array<string>, metadata map<string,string>, crawled_at timestamp, status_code int, content_type string"
 COLUMNS = ["url", "title", "text", "links", "metadata", "crawled_at", "status_code", "content_type"]
 
@@ -25,12 +26,12 @@ def is_valid_record():
     return F.coalesce(ok, F.lit(False))
 
 
-def normalized(records: DataFrame) -> DataFrame:
+def normalized(records: DataFrame, *more: str) -> DataFrame:
     """Valid records with trimmed url and lower-case content type; RecordError before anything is written."""
     bad = records.where(~is_valid_record())
     if not bad.isEmpty():
         raise RecordError("the batch has records that are not valid")
-    return records.select(F.trim("url").alias("url"), "title", "text", "links", "metadata", "crawled_at", "status_code", F.lower(F.trim("content_type")).alias("content_type"))
+    return records.select(F.trim("url").alias("url"), "title", "text", "links", "metadata", "crawled_at", "status_code", F.lower(F.trim("content_type")).alias("content_type"), *more)
 
 
 def from_pages(fetched: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -47,13 +48,13 @@ def _iso(column: str):
     return F.concat(whole, F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
 
 
-def _flat(records: DataFrame) -> DataFrame:
-    return records.select("url", "title", "text", F.to_json("links").alias("links"), F.to_json("metadata").alias("metadata"), _iso("crawled_at").alias("crawled_at"), "status_code", "content_type")
+def _flat(records: DataFrame, *more: str) -> DataFrame:
+    return records.select("url", "title", "text", F.to_json("links").alias("links"), F.to_json("metadata").alias("metadata"), _iso("crawled_at").alias("crawled_at"), "status_code", "content_type", *more)
 
 
-def _nested(rows: DataFrame) -> DataFrame:
+def _nested(rows: DataFrame, *more: str) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return rows.select("url", text("title").alias("title"), text("text").alias("text"), F.from_json("links", "array<string>").alias("links"), F.from_json("metadata", "map<string,string>").alias("metadata"), F.to_timestamp("crawled_at").alias("crawled_at"), F.col("status_code").cast("int").alias("status_code"), "content_type")
+    return rows.select("url", text("title").alias("title"), text("text").alias("text"), F.from_json("links", "array<string>").alias("links"), F.from_json("metadata", "map<string,string>").alias("metadata"), F.to_timestamp("crawled_at").alias("crawled_at"), F.col("status_code").cast("int").alias("status_code"), "content_type", *more)
 
 
 class JsonLines:
@@ -63,10 +64,43 @@ class JsonLines:
         self.path = path
 
     def save(self, records: DataFrame) -> None:
-        normalized(records).withColumn("crawled_at", _iso("crawled_at")).write.mode("append").option("ignoreNullFields", "false").json(self.path)
+        self._lines(records).write.mode("append").option("ignoreNullFields", "false").json(self.path)
+
+    def save_once(self, records: DataFrame, key: str) -> None:
+        """Save under a key; what was saved under it before is replaced."""
+        self._lines(records).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{self.path}/key={key}")
+
+    @staticmethod
+    def _lines(records: DataFrame) -> DataFrame:
+        return normalized(records).withColumn("crawled_at", _iso("crawled_at"))
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(RECORD).option("mode", "FAILFAST").json(self.path)
+        return spark.read.schema(RECORD).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(self.path)
+
+    def bad_lines(self, spark: SparkSession) -> DataFrame:
+        """(file, line, reason): the lines that are no JSON objects, numbered from 1 in their files.
+
+        A file may be read in many splits.  Each task numbers its lines without
+        gaps, so a line's place in its split is its number less the split's first,
+        and the lines before the split are a running sum over the splits of the
+        file, of which there is one row each.  No line is shuffled but the bad ones.
+        """
+        lines = spark.read.option("recursiveFileLookup", True).text(self.path)
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+        splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        value = F.try_parse_json("value")
+        reason = F.when(value.isNull(), "not JSON").when(~F.schema_of_variant(value).startswith("OBJECT"), "not an object")
+        bad = lines.withColumn("reason", reason).where("reason is not null").drop("value")
+        return bad.join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "reason")
+
+    def checked(self, spark: SparkSession) -> DataFrame:
+        """The records, or RecordError with the first line that is no object."""
+        bad = self.bad_lines(spark).orderBy("file", "line").first()
+        if bad is not None:
+            raise RecordError(f"{bad['file']}, line {bad['line']}: {bad['reason']}")
+        return self.read(spark)
 
     def export_pretty(self, spark: SparkSession, target: str, indent: int = 2) -> int:
         """One JSON array in a driver file, row by row; for outputs a person reads."""
@@ -100,57 +134,49 @@ class Csv:
         self.path, self.encoding = path, encoding
 
     def save(self, records: DataFrame) -> None:
-        _flat(normalized(records)).write.mode("append").option("header", True).option("escape", '"').option("encoding", self.encoding).csv(self.path)
+        self._writer(records).mode("append").csv(self.path)
+
+    def save_once(self, records: DataFrame, key: str) -> None:
+        """Save under a key; what was saved under it before is replaced."""
+        self._writer(records).mode("overwrite").csv(f"{self.path}/key={key}")
+
+    def _writer(self, records: DataFrame):
+        return _flat(normalized(records)).write.option("header", True).option("escape", '"').option("encoding", self.encoding)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", self.encoding).option("enforceSchema", False).schema(", ".join(f"{c} string" for c in COLUMNS)).csv(self.path)
+        rows = spark.read.option("recursiveFileLookup", True).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", self.encoding).option("enforceSchema", False).schema(", ".join(f"{c} string" for c in COLUMNS)).csv(self.path)
         return _nested(rows)
 
 
 class Sqlite:
     """A SQLite file with one row for each url: later records replace earlier ones, ids stay.
 
-    One task streams the rows in batches, each a transaction, because SQLite has
-    one writer; it suits outputs of a size that one file holds.
+    Later is by ``order``, columns of the records, or the place in the input.  One
+    transaction writes all or nothing, so a save that is tried again does no harm.
+    The file must be below the shared folder, unless ``shared`` says that all
+    executors see it or the session is local; it suits outputs that one file holds.
     """
 
-    def __init__(self, path: str, batch: int = 100):
+    def __init__(self, path: str, batch: int = 100, order: Sequence[str] = (), shared: bool = False):
         if isinstance(batch, bool) or not isinstance(batch, int) or batch < 1:
             raise ValueError("batch must be a positive integer")
-        self.path, self.batch = path, batch
+        self.path, self.batch, self.order, self.shared = path, batch, list(order), shared
 
-    def save(self, records: DataFrame) -> None:
-        path, batch = self.path, self.batch
-
-        def write(rows) -> None:
-            db = sqlite3.connect(path)
-            marks = ", ".join("?" * len(COLUMNS))
-            updates = ", ".join(f"{c} = excluded.{c}" for c in COLUMNS[1:])
-            with db:
-                db.execute(f"CREATE TABLE IF NOT EXISTS records (id INTEGER PRIMARY KEY AUTOINCREMENT, url TEXT UNIQUE, {', '.join(COLUMNS[1:])})")
-                db.execute("CREATE INDEX IF NOT EXISTS by_status ON records (status_code)")
-                db.execute("CREATE INDEX IF NOT EXISTS by_time ON records (crawled_at)")
-            held: list = []
-            for row in rows:
-                held.append(tuple(row))
-                if len(held) == batch:
-                    _put(db, held, marks, updates)
-            _put(db, held, marks, updates)
-            db.close()
-
-        def _put(db, held, marks, updates) -> None:
-            with db:
-                db.executemany(f"INSERT INTO records ({', '.join(COLUMNS)}) VALUES ({marks}) ON CONFLICT (url) DO UPDATE SET {updates}", held)
-            held.clear()
-
-        _flat(normalized(records)).coalesce(1).foreachPartition(write)
+    def _format(self, spark: SparkSession):
+        spark.dataSource.register(sqlite.SqliteSource)
+        return sqlite.shared_path(spark, self.path, self.shared)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        db = sqlite3.connect(self.path)
-        rows = db.execute(f"SELECT id, {', '.join(COLUMNS)} FROM records ORDER BY id").fetchall()
-        db.close()
-        schema = "id long, " + ", ".join(f"{c} {'int' if c == 'status_code' else 'string'}" for c in COLUMNS)
-        return _nested(spark.createDataFrame(rows, schema))
+    def save(self, records: DataFrame) -> None:
+        path = self._format(records.sparkSession)
+        order = self.order or [F.monotonically_increasing_id()]
+        held = records.select("*", F.struct(*order).alias("_place"))
+        flat = _flat(normalized(held, "_place"), "_place")
+        sqlite.last_of_each(flat, ["_place"]).write.format("weft_sqlite").option("path", path).option("batch", self.batch).mode("append").save()
+
+    def read(self, spark: SparkSession, ids: bool = False) -> DataFrame:
+        """The records, in as many tasks as there are ranges of ids; with ``ids`` also the column id, which tells their order."""
+        path = self._format(spark)
+        return _nested(spark.read.format("weft_sqlite").option("path", path).load(), *(["id"] if ids else []))
 
 
 class SinkFailure(RuntimeError):

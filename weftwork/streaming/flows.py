@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftwork.sources.records import RECORD, Composite
+from weftwork.sources.delivery import Delivery
+from weftwork.sources.records import RECORD, Composite, SinkFailure
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
@@ -73,3 +74,17 @@ def write_all(records: DataFrame, sinks: Composite, checkpoint: str) -> Streamin
         sinks.save(batch)
 
     return records.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def deliver(records: DataFrame, delivery: Delivery, checkpoint: str, strict: bool = False) -> StreamingQuery:
+    """Each micro-batch to every sink of a delivery, once.
+
+    A sink that fails for good does not stop the stream; with ``strict`` it fails
+    the query, and the batch, when it comes again, goes to the sinks that lack it.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        if not delivery.save(batch, number) and strict:
+            raise SinkFailure("save", [name for name, x in delivery.stats().items() if x["failed_saves"]])
+
+    return records.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
