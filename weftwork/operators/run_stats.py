@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,9 +194,164 @@ def key_report(rows: DataFrame, keys: Column, wanted: list[str]) -> DataFrame:
 
 
 def compared(first: DataFrame, other: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Keys on which two sets of records differ: absent from one, duplicated in one, or the fields that are not equal."""
-    sides = [x.groupBy(key).agg(F.count(F.lit(1)).alias(f"{n}_rows"), *[F.min(c).alias(f"{n}_{c}") for c in fields]) for n, x in (("a", first), ("b", other))]
-    both = sides[0].join(sides[1], key, "full_outer")
-    unequal = F.concat_ws(",", *[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in fields])
-    verdict = F.when(F.col("a_rows").isNull(), "absent from the first").when(F.col("b_rows").isNull(), "absent from the other").when((F.col("a_rows") > 1) | (F.col("b_rows") > 1), "duplicated").when(unequal != "", unequal)
-    return both.select(key, verdict.alias("difference")).where("difference is not null")
+    """Keys on which two sets of records differ: absent from one, duplicated in one, or the fields that are not equal; a null key is a key."""
+    rows = integrity({"first": first, "other": other}, key, fields)
+    names = {"absent": F.concat(F.lit("absent from the "), "backend"), "duplicated": F.lit("duplicated")}
+    said = F.when(F.col("difference") == "absent", names["absent"]).when(F.col("difference") == "duplicated", names["duplicated"]).otherwise(F.col("difference"))
+    rank = F.when(F.col("difference") == "absent", 0).when(F.col("difference") == "duplicated", 1).otherwise(2)
+    return rows.groupBy(key).agg(F.min_by(said, rank).alias("difference"))
+
+
+def _of_backend(name: str):
+    return lambda x: F.struct(F.lit(name).alias("backend"), x.alias("difference"))
+
+
+def integrity(backends: Mapping[str, DataFrame], key: str, fields: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """(key, backend, difference): what is wrong with records that several backends hold.
+
+    One pass over all backends: each key's rows are counted by backend and their
+    fields known by 64-bit hashes, so rows of a key are summed where they are read.
+    A backend may lack a key of ``expected`` (key), or without that of another backend
+    (absent), have one that is not expected (unexpected), have it more than once (duplicated),
+    or differ from the first backend in some fields (their names, by commas); rows of
+    duplicates that differ count as differing.  Null keys and fields equal themselves.
+    """
+    named = list(backends)
+    hashed = lambda name, rows: rows.select(F.col(key).alias("key"), F.lit(name).alias("b"), *[F.xxhash64(F.col(c).isNull(), F.to_json(F.struct(c)), F.lit(i)).alias(f"f{i}") for i, c in enumerate(fields)])
+    rows = reduce(DataFrame.unionByName, [hashed(name, x) for name, x in backends.items()])
+    if expected is not None:
+        rows = rows.unionByName(expected.select(F.col(key).alias("key"), F.lit("").alias("b"), *[F.lit(None).cast("long").alias(f"f{i}") for i in range(len(fields))]))
+    own = lambda name, c: F.when(F.col("b") == name, F.col(c))
+    out = [F.count_if(F.col("b") == "").alias("wanted")]
+    for n, name in enumerate(named):
+        out.append(F.count_if(F.col("b") == name).alias(f"n{n}"))
+        out += [f(own(name, f"f{i}")).alias(f"{x}{n}_{i}") for i in range(len(fields)) for x, f in (("lo", F.min), ("hi", F.max))]
+    seen = rows.groupBy("key").agg(*out)
+    found = []
+    for n, name in enumerate(named):
+        differs = [F.when(~(F.col(f"lo{n}_{i}").eqNullSafe(F.col(f"lo0_{i}")) & F.col(f"hi{n}_{i}").eqNullSafe(F.col(f"hi0_{i}"))), F.lit(c)) for i, c in enumerate(fields)]
+        unequal = F.nullif(F.concat_ws(",", *differs), F.lit("")) if n else F.lit(None).cast("string")
+        has, lacking = F.col(f"n{n}") > 0, F.lit(expected is None) | (F.col("wanted") > 0)
+        said = F.array(
+            F.when(~has & lacking, F.lit("absent")),
+            F.when(has & F.lit(expected is not None) & (F.col("wanted") == 0), F.lit("unexpected")),
+            F.when(F.col(f"n{n}") > 1, F.lit("duplicated")),
+            F.when(has & (F.col("n0") > 0), unequal),
+        )
+        found.append(F.transform(F.array_compact(said), _of_backend(name)))
+    return seen.select(F.col("key").alias(key), F.explode(F.concat(*found)).alias("x")).select(key, "x.*")
+
+
+# The figures of a crawler's requests, and which are counts, sums and means of others.
+REQUEST_COUNTS = (
+    "total_requests successful_requests failed_requests http_errors network_errors timeouts rate_limited_requests delayed_requests "
+    "scheduled_retries successful_retries robots_network_fetches robots_cache_hits robots_allowed robots_blocked"
+).split()
+REQUEST_SUMS = "total_rate_limit_wait total_backoff_time".split()
+REQUEST_RATIOS = {"average_rate_limit_wait": ("total_rate_limit_wait", "rate_limited_requests"), "average_retry_wait": ("total_backoff_time", "scheduled_retries")}
+REQUEST_KEYS = [*REQUEST_COUNTS, *REQUEST_SUMS, *REQUEST_RATIOS, "current_requests_per_second", "average_request_time", "errors_by_type", "permanent_error_urls"]
+
+
+def _ratio(total: Column, count: Column) -> Column:
+    return F.coalesce(F.try_divide(total, count), F.lit(0.0))
+
+
+def request_snapshot(made: DataFrame, rate: DataFrame | None = None, slots: DataFrame | None = None, checks: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """One row with the 22 figures of a crawler's requests, of four parts of one row each.
+
+    ``made`` has the attempts that ``with_budgets`` leaves, ``rate`` the one column
+    current_requests_per_second, ``slots`` the requests of the limiter (wait),
+    ``checks`` those of robots rules (origin, allowed), ``errors`` the final errors by
+    url.  A part that is off (None) has zeros.  The URLs of permanent errors are
+    ordered; their number is that of the failed pages.
+    """
+    requests = request_statistics(made)
+    retries = made.agg(F.count_if("retried").alias("scheduled_retries"), F.coalesce(F.sum("backoff"), F.lit(0.0)).alias("total_backoff_time"), F.count_if(F.col("final") & (F.col("outcome") == "success") & (F.col("attempt") > 1)).alias("successful_retries"))
+    kinds = made.where("error_type is not null").groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_type", "n")))).alias("errors_by_type"))  # a few classes
+    zero = lambda n: F.lit(n)
+    spark = made.sparkSession
+    one = spark.range(1)
+    speed = one.select(zero(0.0).alias("current_requests_per_second")) if rate is None else rate.agg(F.coalesce(F.max("current_requests_per_second"), F.lit(0.0)).cast("double").alias("current_requests_per_second"))
+    if slots is None:
+        waits = one.select(zero(0).cast("long").alias("rate_limited_requests"), zero(0).cast("long").alias("delayed_requests"), zero(0.0).alias("total_rate_limit_wait"))
+    else:
+        waits = slots.agg(F.count(F.lit(1)).alias("rate_limited_requests"), F.count_if(F.col("wait") > 1e-6).alias("delayed_requests"), F.coalesce(F.sum("wait"), F.lit(0.0)).alias("total_rate_limit_wait"))
+    if checks is None:
+        robots = one.select(*[zero(0).cast("long").alias(f"robots_{x}") for x in ("network_fetches", "cache_hits", "allowed", "blocked")])
+    else:
+        robots = robots_statistics(checks).select(*[F.col(x).alias(f"robots_{x}") for x in ("network_fetches", "cache_hits", "allowed", "blocked")])
+    if errors is None:
+        lasting = one.select(F.array().cast("array<string>").alias("permanent_error_urls"))
+    else:
+        lasting = permanent_urls(errors).agg(F.array_sort(F.collect_set("url")).alias("permanent_error_urls"))
+    row = reduce(DataFrame.crossJoin, [requests, retries, kinds, speed, waits, robots, lasting])  # one row each
+    return row.withColumns({x: _ratio(F.col(total), F.col(count)) for x, (total, count) in REQUEST_RATIOS.items()}).select(*REQUEST_KEYS)
+
+
+def request_growth(current: DataFrame, baseline: DataFrame | None, final_errors: DataFrame | None = None) -> DataFrame:
+    """What one run adds to a snapshot of 22 figures: differences not below 0, and every mean again from what it is over.
+
+    Errors are those of types that grew.  Permanent URLs are the ones the baseline
+    lacks and those of ``final_errors`` (url, error_type).  Without a baseline nothing
+    has grown and no request is current.
+    """
+    before = (current if baseline is None else baseline).select([F.col(x).alias(f"__{x}") for x in REQUEST_KEYS])
+    row = current.select(*REQUEST_KEYS).crossJoin(before)  # one row each
+    if final_errors is not None:
+        row = row.crossJoin(permanent_urls(final_errors).agg(F.collect_set("url").alias("__own")))
+    less = {x: F.greatest(F.lit(0), F.col(x) - F.col(f"__{x}")) for x in REQUEST_COUNTS} | {x: F.greatest(F.lit(0.0), F.col(x) - F.col(f"__{x}")) for x in REQUEST_SUMS}
+    done = lambda p: F.col(f"{p}successful_requests") + F.col(f"{p}failed_requests")
+    seconds = F.greatest(F.lit(0.0), F.col("average_request_time") * done("") - F.col("__average_request_time") * done("__"))
+    errors = F.map_filter(F.transform_values("errors_by_type", lambda k, v: F.greatest(F.lit(0), v - F.coalesce(F.element_at("__errors_by_type", k), F.lit(0)))), lambda _, v: v > 0)
+    lasting = F.array_except("permanent_error_urls", "__permanent_error_urls")
+    if final_errors is not None:
+        lasting = F.array_union(lasting, "__own")
+    out = {
+        **less,
+        **{x: _ratio(less[total], less[count]) for x, (total, count) in REQUEST_RATIOS.items()},
+        "current_requests_per_second": F.col("current_requests_per_second") if baseline is not None else F.lit(0.0),
+        "average_request_time": _ratio(seconds, less["successful_requests"] + less["failed_requests"]),
+        "errors_by_type": errors,
+        "permanent_error_urls": F.array_sort(lasting),
+    }
+    return row.select(*[out[x].alias(x) for x in REQUEST_KEYS])
+
+
+def whole_snapshot(run: DataFrame, requests: DataFrame, storage: DataFrame | None = None, active_requests: Column | int = 0) -> DataFrame:
+    """The 19 fields of a run: those of ``run_snapshot``, the requests in flight, and what requests and storage grew by."""
+    row = run.crossJoin(requests.select(F.struct(*requests.columns).alias("request_stats")))
+    row = row.crossJoin(storage.select(F.first(storage.columns[0]).alias("storage_stats")) if storage is not None else run.sparkSession.range(1).select(F.lit(None).cast("string").alias("storage_stats")))
+    names = [x for x in run.columns if x not in ("elapsed_seconds", "pages_per_second")]
+    at = names.index("active_tasks") + 1
+    flight = (F.lit(active_requests) if isinstance(active_requests, int) else active_requests).cast("long").alias("active_requests")
+    return row.select(*names[:at], flight, *names[at:], "elapsed_seconds", "pages_per_second", "request_stats", "storage_stats")
+
+
+#: What ends the visit of a page, and the state it ends in.
+ENDS = {"blocked": "blocked", "fetch_error": "failed", "parse_error": "failed", "exception": "failed", "cancelled": "failed", "done": "processed"}
+
+
+def visited_states(tasks: DataFrame, steps: DataFrame) -> DataFrame:
+    """(url, state, reason) of tasks (url) after steps (url, visit, seq, kind, error_type, message).
+
+    A page's last visit counts.  The first of its steps that ends it (ENDS) gives the
+    state: what comes after, such as the ``done`` of a visit that was cancelled, no
+    longer does.  A visit without an end is active, a task without a visit queued.
+    An exception's reason is ``Type: message``; a cancelled visit's is fixed, a
+    block's is its message or the fixed one.  Both choices are aggregates that
+    combine where the steps are read, so no page's steps are sorted or met in one task.
+    """
+    ends = F.col("kind").isin(*ENDS)
+    reason = (
+        F.when(F.col("kind") == "exception", F.concat("error_type", F.lit(": "), F.coalesce("message", F.lit(""))))
+        .when(F.col("kind") == "cancelled", F.lit("Cancelled while processing"))
+        .when(F.col("kind") == "blocked", F.coalesce(F.nullif("message", F.lit("")), F.lit("Blocked by robots.txt")))
+        .when(F.col("kind") != "done", F.col("message"))
+    )
+    state = F.create_map(*[F.lit(x) for pair in ENDS.items() for x in pair])[F.col("kind")]
+    visits = steps.groupBy("url", "visit").agg(F.min_by(F.struct(state.alias("state"), reason.alias("reason")), F.when(ends, F.col("seq"))).alias("end"))
+    last = visits.groupBy("url").agg(F.max_by(F.struct("end"), "visit").alias("v"))
+    known = tasks.select("url").distinct().join(last.withColumn("met", F.lit(True)), "url", "left")
+    state = F.when(F.col("met").isNull(), "queued").otherwise(F.coalesce("v.end.state", F.lit("active")))
+    return known.select("url", state.alias("state"), F.col("v.end.reason").alias("reason"))

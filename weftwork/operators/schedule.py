@@ -5,19 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.storage import saved
+
+
+#: Chunks that the rows of a limiter are dealt to, if the session's shuffle partitions are fewer.
+CHUNKS = 8
+
+
+def in_chunks(rows: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:
+    """``rows`` with ``_chunk``: ranges of (keys, order), so that a key with many rows is many chunks, each after the ones before it."""
+    parts = max(CHUNKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return saved(rows.repartitionByRange(parts, *keys, *order).withColumn("_chunk", F.spark_partition_id()), label)
+
 
 def rate_slots(requests: DataFrame, key: str, arrival: Column, interval: Column, order: list[str]) -> DataFrame:
     """``requests`` with arrival, slot and wait in seconds of a limiter by key.
 
     Slots follow s = max(a, previous s + d).  With D the running sum of d (its
-    first d is 0) that is s = D + running max of (a - D): two running windows.
+    first d is 0) that is s = D + running max of (a - D).  Both run over chunks of a
+    key: a chunk is known by its sum of d and its running max from D = 0, which
+    compose, so its rows need only what the chunks before it come to, and one key
+    with all rows is many tasks.
     """
-    own = Window.partitionBy(key).orderBy(*order)
-    running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = requests.withColumn("arrival", arrival).withColumn("_d", F.when(F.row_number().over(own) == 1, F.lit(0.0)).otherwise(interval))
+    rows = in_chunks(requests.withColumn("arrival", arrival).withColumn("_d", interval.cast("double")), [key], order, "slots")
+    running = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_sum", F.sum("_d").over(running))
-    rows = rows.withColumn("slot", F.col("_sum") + F.max(F.col("arrival") - F.col("_sum")).over(running))
-    return rows.withColumn("wait", F.col("slot") - F.col("arrival")).drop("_d", "_sum")
+    rows = rows.withColumn("_most", F.max(F.col("arrival") - F.col("_sum")).over(running))
+    chunks = rows.groupBy(key, "_chunk").agg(F.max("_most").alias("_most"), F.sum("_d").alias("_total"), F.min_by("_d", F.struct(*order)).alias("_head"))
+    by_chunk = Window.partitionBy(key).orderBy("_chunk")  # a row for each chunk
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0.0)) - F.first("_head").over(by_chunk))
+    chunks = chunks.withColumn("_past", F.max(F.col("_most") - F.col("_base")).over(before))
+    chunks = chunks.select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), "_base", "_past")
+    met = rows.join(F.broadcast(chunks) if _few(chunks) else chunks, rows[key].eqNullSafe(F.col("_key")) & (rows["_chunk"] == F.col("_of")))
+    met = met.withColumn("slot", F.col("_base") + F.col("_sum") + F.greatest("_past", F.col("_most") - F.col("_base")))
+    return met.withColumn("wait", F.col("slot") - F.col("arrival")).drop("_d", "_sum", "_most", "_chunk", "_key", "_of", "_base", "_past")
+
+
+def _few(rows: DataFrame, most: int = 100_000) -> bool:
+    return rows.limit(most + 1).count() <= most
 
 
 def rate_stats(slots: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """DuckDB SQL with the same results as the queries, where SQL can say it."""
 
+from weftwork.plans import crawl_queries  # noqa: F401  (registers its queries)
 from weftwork.plans.run_queries import RUN_SQL
 
 _PICKS = ["h1", "div.ad", "nav > ul > li + li > a[href^='/']", "body > footer", "li:nth-child(3)", "html:root > head > title", "article > ul", "#main .lead", "div["]

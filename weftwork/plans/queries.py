@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.functions import pages as html
 from weftwork.functions import selectors, urls
 from weftwork.operators import admission, frontier, outcomes, robots, schedule, statistics
+from weftwork.plans import crawl_queries  # noqa: F401  (registers its queries)
 from weftwork.plans.run_queries import RUN_QUERIES
 from weftwork.sources import records
 from weftwork.storage import saved
