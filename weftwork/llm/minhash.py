@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import join_counts, near, saved, text_key
+from weftwork.llm.common import Bits, near, saved, text_key
 from weftwork.llm.jaccard_join import JaccardJoin, _each_set, _spanning
 from weftwork.llm.text import digest, lean, mix
 
@@ -122,6 +122,16 @@ def _band_rows(rows: int):
     return run
 
 
+def _in_buckets(known):
+    """The rows whose band hash the bitmap has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.value.has(batch.column("t").to_numpy().view(np.uint64))))
+
+    return run
+
+
 def survivors(one: np.ndarray, two: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
     """The places of the pairs of signatures (rows of both) that no batch gives up."""
     alive, matches, low = np.arange(len(one)), np.zeros(len(one), np.int64), 0
@@ -159,9 +169,11 @@ class MinHashJoin(JaccardJoin):
     def _lists(self) -> DataFrame:
         signed = self.survey.where("sig is not null").select("c", "sig")
         postings = saved(signed.mapInArrow(lean(_band_rows(self.per_band)), "t long, c long"), "postings")
-        buckets = postings.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        buckets = saved(buckets.where("lo < hi").select("t", "m"), "buckets")
-        return join_counts(postings, buckets, ["t"], "m", postings.count()).select("t", "c").distinct()
+        buckets = postings.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        buckets = saved(buckets.where("lo < hi").select("t"), "buckets")
+        known = self.spark.sparkContext.broadcast(Bits(buckets, "t"))
+        # few rows pass the bitmap; the join drops those that pass by chance, and Spark splits a bucket that is too large for a task
+        return postings.mapInArrow(_in_buckets(known), "t long, c long").join(buckets.hint("shuffle_merge"), "t").select("t", "c")
 
     def _filters(self) -> DataFrame:
         signed = self.survey.where("sig is not null").join(near(self.chosen.select("c")), "c", "left_semi")
