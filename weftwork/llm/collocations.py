@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import HOT_SHARE, Bits, saved
+from weftwork.llm.common import HOT_SHARE, Bits, near, saved
 from weftwork.llm.text import lean, mix, span_hashes, summed, text_chunks, word_spans
 
 #: Occurrences and words of a phrase, and how much of a phrase's occurrences a longer one must have to stand for it.
 MIN, LONGEST, INSIDE = 30, 4, 80
 #: Phrases of a language that are reported.
 TOP = 2000
+#: Steps of a doubled score, by which the first phrases are told from the rest.
+STEPS = 64
 #: Rows of counts that a task holds before it ships them, and sorted rows that are grown at once.
 HELD, BLOCK = 1 << 21, 1 << 20
 
@@ -317,8 +319,14 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN) -> DataFrame
     spelled = kept.select("*", F.posexplode("ws").alias("at", "h")).join(phrases.words.select("h", "lang", "word"), "h")
     spelled = spelled.groupBy("ws", "a", "l", "r", "score").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
     spelled = spelled.withColumn("phrase", F.array_join(F.transform("words", lambda x: x["word"]), " "))
+    spelled = saved(spelled.select("lang", "phrase", "a", "l", "r", "score", F.floor(F.log2(F.col("score") + 1) * STEPS).cast("int").alias("step")), "spelled")
+    # only steps of score that begin within the first ``top`` are ranked: about ``top`` rows a language go to one task
+    falling = Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = spelled.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(falling), F.lit(0)))
+    cuts = saved(steps.where(F.col("before") < top).groupBy("lang").agg(F.min("step").alias("cut")), "cuts")
+    high = spelled.join(near(cuts), "lang").where("step >= cut")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = spelled.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    first = high.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return first.join(phrases.totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
