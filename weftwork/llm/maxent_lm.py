@@ -6,8 +6,9 @@ it, down to the word.  The tree has WAYS branches and is built by falling count
 dictionary, the end of a text and, for words outside the dictionary, SHAPES
 classes by shape (last byte, bytes beyond ASCII), in each of which a word's
 chance is its smoothed count.  Each branching is a softmax over features: a
-constant, the previous word, the word before it (a skip) and the pair of both,
-whichever words these are.  A feature and a branching together are hashed to a
+constant, the previous word, its last three letters, those of the word before it
+(a skip), and those of the TIED words before these, which share one feature each
+wherever they stand.  Endings are known of words that training never met.  A feature and a branching together are hashed to a
 row of weights; there are PER_ROOT rows for each of the root of the counted
 number of different word pairs, so rows grow with the corpus, but slower than
 its pairs, and features share rows.  The constants are the log frequencies.  The
@@ -16,8 +17,9 @@ the training tokens are four times as many, beyond a million; each takes the doc
 hash slice, so all training documents are used once.  A gradient is, for each
 weight, how often its branch was taken where the model expected it: the numbers
 that were taken less those of one draw from the model at each branching, whose
-mean is the expectation.  Tasks count both in sparse numpy batches; a shuffle adds
-them up.
+mean is the expectation.  Tasks count both in sparse numpy batches and send them as
+half floats (a task that counts over four million of one branch says four million); a
+shuffle adds them up.
 
 Word counts are exact.  The DICTIONARY most frequent words are broadcast at
 most; the counts of rarer words are joined by a shuffle.
@@ -48,12 +50,14 @@ PER_ROOT, PAIR_SAMPLE = 32, 64
 BLOCK = 64
 #: Words whose counts are broadcast at most, about 25 bytes each.
 DICTIONARY = 1_000_000
-STEPS, RATE = 4, 0.6
+STEPS, RATE = 4, 0.25
+#: Words before the two last ones whose endings are features.
+TIED = 6
 #: What a weight's spread is raised by in a step, so that rarely met weights move little,
 #: times the root of 1 + the features that a row is met by in a step: the more share it, the less each is told.
 PRIOR = 6.0
 
-# The context before a text, and odd factors that tell the features of one word apart.
+# What stands for the words before a text, and odd factors that tell the features of one word apart.
 _START = np.uint64(0x5107_5107_5107_5107)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: A row of WAYS numbers times this gives its running sums; the product is several times as fast as cumsum.
@@ -87,6 +91,20 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * back[starts]), shape.astype(np.int64), bounds
 
 
+def endings_of(texts: list[bytes]) -> np.ndarray:
+    """Hashes of the last three bytes of all words, without up to two signs at the end."""
+    joined, starts, ends, _ = word_spans(texts)
+    last = ends - 1
+    for _ in range(2):
+        byte = joined[last]
+        last = last - (((byte < 48) | ((byte > 57) & (byte < 97))) & (last > starts))
+    out = np.full(len(last), 1, np.uint64)
+    for i in range(3):
+        byte = np.where(last - i >= starts, joined[np.maximum(last - i, 0)], 0).astype(np.uint64)
+        out = out << np.uint64(8) | byte
+    return mix(out)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (word, shape, number), counted over about two million words; sampled pairs have the shape -1."""
     block: list[tuple[np.ndarray, np.ndarray]] = []
@@ -228,13 +246,18 @@ class MaxEnt:
         self.weights = _unpacked(packed, WAYS << self.bits).reshape(-1, WAYS)
 
     @staticmethod
-    def contexts(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Hashes of the previous word, the one before, and their pair; ``first`` marks a text's first token."""
-        previous = np.concatenate([[_START], words[:-1]])
-        previous[first] = _START
-        before = np.concatenate([[_START], previous[:-1]])
-        before[first] = _START
-        return [previous, before * _FACTORS[1], mix(previous + before * _FACTORS[2])]
+    def contexts(words: np.ndarray, endings: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the features of each token's context; ``first`` are the places of the texts' first tokens."""
+        place = np.arange(len(words))
+        begin = np.zeros(len(words), np.int64)
+        begin[first] = first
+        begin = np.maximum.accumulate(begin)
+
+        def back(x: np.ndarray, k: int) -> np.ndarray:
+            return np.where(place - k >= begin, x[np.maximum(place - k, 0)], _START)
+
+        near = [back(words, 1), *(mix(back(endings, k) + np.uint64(k)) for k in (1, 2))]
+        return near + [mix(back(endings, k) + np.uint64(3)) for k in range(3, 3 + TIED)]
 
     def levels(self, v: Vocabulary, leaves: np.ndarray, contexts: list[np.ndarray]):
         """From the leaves up: which tokens, their branches, rows of weights, and logits of all branches."""
@@ -287,7 +310,7 @@ def _gradient(vocabulary, model):
             texts = [x.lower() for x in encoded(batch.column("text"))]
             for start, end in chunks(texts, 1 << 17):
                 leaves, first, tokens, _ = _with_ends(v, texts[start:end])
-                for _, branch, rows, logits in m.levels(v, leaves, m.contexts(tokens, first)):
+                for _, branch, rows, logits in m.levels(v, leaves, m.contexts(*tokens, first)):
                     below = np.exp(logits, out=logits) @ _UP_TO  # the sums of the first chances
                     draw = rng.random(len(branch), np.float32) * below[:, -1]
                     drawn = np.minimum(_trues(below < draw[:, None]), WAYS - 1)
@@ -322,11 +345,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "sums"])
 
 
-def _with_ends(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Leaves of all tokens with each text's end, where texts begin, the tokens' hashes, and the words behind them."""
+def _with_ends(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], tuple]:
+    """Leaves of all tokens with each text's end, where texts begin, the tokens' hashes and endings, and the words behind them."""
     words, shapes, bounds = tokens_of(texts)
     leaves = np.insert(v.leaves(words, shapes), bounds[1:], v.end)
-    return leaves, bounds[:-1] + np.arange(len(texts)), np.insert(words, bounds[1:], _START), (words, shapes, bounds)
+    return leaves, bounds[:-1] + np.arange(len(texts)), (np.insert(words, bounds[1:], _START), np.insert(endings_of(texts), bounds[1:], _START)), (words, shapes, bounds)
 
 
 def train_model(train: DataFrame, vocabulary, model: MaxEnt) -> None:
@@ -356,7 +379,7 @@ def _scored(vocabulary, model):
             parts = []
             for start, end in chunks(texts, 1 << 17):
                 leaves, first, tokens, (words, shapes, bounds) = _with_ends(v, texts[start:end])
-                log = model.value.logs(v, leaves, MaxEnt.contexts(tokens, first)) / np.log(10)
+                log = model.value.logs(v, leaves, MaxEnt.contexts(*tokens, first)) / np.log(10)
                 count = np.diff(bounds)
                 own_leaf = np.delete(leaves, bounds[1:] + np.arange(len(count)))
                 known = own_leaf < v.end

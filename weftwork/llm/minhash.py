@@ -47,9 +47,7 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def _binomial_tail(most: int, n: int, p: float) -> float:
-    """The chance of at most ``most`` successes of ``n``."""
-    if p >= 1.0:
-        return float(most >= n)
+    """The chance of at most ``most`` successes of ``n``, each with a chance of ``p`` below 1."""
     terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(most + 1)]
     return float(np.exp(np.array(terms)).sum())
 
