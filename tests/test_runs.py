@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.operators import nested, run_stats, schedule
+from weftwork.operators import nested, outcomes, run_stats, schedule
 from weftwork.sources import reports
 
 
@@ -121,3 +121,25 @@ def test_reports(spark, tmp_path):
     reports.save_crawl_results(f"{tmp_path}/crawl.json", results.where("false"), spark.createDataFrame([("v", "HTTP 404"), ("w", None)], "url string, reason string"), {"n": 2})
     assert json.loads((tmp_path / "crawl.json").read_text()) == {"results": {}, "failed_urls": {"v": "HTTP 404", "w": None}, "statistics": {"n": 2}}
     assert sorted(p.name for p in tmp_path.glob("*") if not p.name.startswith(".")) == ["crawl.json", "errors.json"]
+
+
+def test_fetch_results_have_the_defaults_of_their_outcome(spark):
+    u, none = F.lit("http://x/"), F.lit(None).cast("string")
+    make = outcomes.fetch_result
+    built = [
+        make("success", u, content=F.lit("")), make("success", u, content=F.lit("c"), status_code=F.lit(301), content_type=F.lit("text/html"), attempts=2, elapsed_seconds=0.5), make("http_error", u, status_code=F.lit(404)), make("http_error", u, status_code=F.lit(500), error=F.lit("gone"), content=F.lit("c")),
+        make("network_error", u, error=F.lit("ClientError: x")), make("timeout", u), make("timeout", u, error=none), make("robots_blocked", u), make("success", u), make("success", u, content=F.lit("c"), status_code=F.lit(404)), make("network_error", u), make("http_error", u), make("success", F.lit(" "), content=F.lit("c")),
+        make("timeout", u, elapsed_seconds=float("inf")), make("timeout", u, attempts=0),
+    ]
+    r = F.col("r")
+    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x.alias("r")) for i, x in enumerate(built)])).alias("x")).select("x.*").select("i", "r", outcomes.is_valid_fetch(r).alias("ok"), outcomes.legacy_value(r).alias("old")).orderBy("i").collect()
+    assert [x.ok for x in rows] == [True] * 8 + [False] * 7
+    assert [(x.r.status_code, x.r.error) for x in rows[:8]] == [(200, None), (301, None), (404, "HTTP 404"), (500, "gone"), (None, "ClientError: x"), (None, "Request timed out"), (None, "Request timed out"), (None, "Blocked by robots.txt")]
+    assert [x.old for x in rows[:8]] == ["", "c", "Error: HTTP 404", "Error: HTTP 500", "Error: ClientError ClientError", "Error: Timeout for http://x/", "Error: Timeout for http://x/", "Error: Blocked by robots.txt for http://x/"]
+
+
+def test_loads_at_a_moment(spark):
+    rows = [("a", 0.0, 1.0, 5.0), ("a", 0.0, 3.0, 9.0), ("a", 3.5, 4.0, 6.0), ("b", 1.0, 7.0, 8.0), ("b", 2.0, None, None), ("c", 0.0, 0.0, 3.0), ("d", 1.0, 2.0, None), ("e", 5.0, 6.0, 7.0)]
+    loads = schedule.loads_at(spark.createDataFrame(rows, "domain string, q double, s double, e double"), "domain", "q", "s", "e", F.lit(3.0))
+    assert {(r.domain, r.active, r.waiting) for r in loads.collect()} == {("a", 2, 0), ("b", 0, 2), ("d", 1, 0)}
+    assert tuple(schedule.load_totals(loads, 10, None).first()) == (10, None, 3, 2) and tuple(schedule.load_totals(loads.where("false"), 10, 2).first()) == (10, 2, 0, 0)

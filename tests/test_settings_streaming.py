@@ -24,6 +24,31 @@ def test_settings(tmp_path):
     assert settings.storage[0]["path"] == str(tmp_path / "out") and settings.to_dict()["crawl"]["max_depth"] == 2
 
 
+def test_sections_of_settings(tmp_path):
+    plain = config.from_dict({})
+    assert plain.reporting == config.Reporting(False, 1.0, None, None) and plain.logging == config.Logging("INFO", None, 10_485_760, 3)
+    with pytest.raises(config.ConfigError):
+        plain.check_sources()
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"start_urls": ["http://a/x", " http://a/x ", "https://b"], "sitemap_urls": ["http://a/s.xml"], "reporting": {"show_progress": True, "json_report": "r.json", "html_report": "~/r.html"}, "logging": {"level": "ERROR", "file": "/var/x.log"}}))
+    settings = config.from_json(str(path))
+    settings.check_sources()
+    assert settings.start_urls == settings.seeds == ("http://a/x", "https://b") and settings.reporting.json_report == str(tmp_path / "r.json") and settings.reporting.html_report == str(tmp_path / "~/r.html") and settings.logging.file == "/var/x.log"
+    assert settings.to_dict()["reporting"]["show_progress"] is True and config.from_dict(settings.to_dict()) == settings
+    for bad in (
+        {"start_urls": "http://a"}, {"start_urls": ["ftp://a"]}, {"start_urls": ["/x"]}, {"sitemap_urls": [7]}, {"start_urls": ["http://a:x/"]}, {"reporting": []}, {"reporting": {"x": 1}}, {"reporting": {"progress_interval": 0}}, {"reporting": {"show_progress": 1}}, {"reporting": {"json_report": " "}},
+        {"reporting": {"json_report": "a", "html_report": "a"}}, {"logging": {"level": "LOUD"}}, {"logging": {"max_bytes": 0}}, {"logging": {"backup_count": 1.5}}, {"logging": None},
+    ):
+        with pytest.raises(config.ConfigError):
+            config.from_dict(bad)
+    for content in (b"{", b"\xff", b'{"crawl": {"jitter": Infinity}}'):
+        path.write_bytes(content)
+        with pytest.raises(config.ConfigError):
+            config.from_json(str(path))
+    with pytest.raises(config.ConfigError):
+        config.from_json(str(tmp_path / "none.json"))
+
+
 def test_stream_to_all_sinks(spark, tmp_path):
     row = {"url": "http://x/a", "title": "A", "text": "t", "links": [], "metadata": {}, "crawled_at": "2024-01-01T00:00:00+00:00", "status_code": 200, "content_type": "text/html"}
     (tmp_path / "in").mkdir()

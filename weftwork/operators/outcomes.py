@@ -26,7 +26,40 @@ def is_valid_fetch(r) -> Column:
     failed = F.coalesce(F.trim(r["error"]) != "", F.lit(False))
     http = (r["outcome"] == "http_error") & r["status_code"].between(400, 599) & failed
     other = r["outcome"].isin("network_error", "timeout", "robots_blocked") & r["status_code"].isNull() & r["content_type"].isNull() & failed
-    return F.coalesce((ok | http | other) & (r["attempts"] >= 1) & (r["elapsed_seconds"] >= 0) & ~F.isnan("elapsed_seconds"), F.lit(False))
+    return F.coalesce((ok | http | other) & (r["attempts"] >= 1) & (r["elapsed_seconds"] >= 0) & ~F.isnan(r["elapsed_seconds"]) & (r["elapsed_seconds"] < float("inf")) & (F.trim(r["url"]) != "") & F.coalesce(F.trim(r["content_type"]) != "", F.lit(True)), F.lit(False))
+
+
+# What a failure says that brings no message of its own.
+MESSAGES = {"timeout": "Request timed out", "robots_blocked": "Blocked by robots.txt"}
+
+
+def fetch_result(
+    outcome: str, url: Column, *, content: Column | None = None, status_code: Column | None = None, content_type: Column | None = None, error: Column | None = None, attempts: Column | int = 1, elapsed_seconds: Column | float = 0.0
+) -> Column:
+    """A struct of a fetch's result, with the defaults of its outcome.
+
+    A success without a status has 200; an HTTP error without a message says
+    ``HTTP n``, a timeout and a block have messages of their own.  A block has no
+    status, content or time.  Whether the parts fit is told by ``is_valid_fetch``.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    own = F.lit(MESSAGES.get(outcome)).cast("string")
+    if outcome == "success" and status_code is None:
+        status_code = F.lit(200)
+    if outcome == "http_error" and status_code is not None:
+        own = F.concat(F.lit("HTTP "), status_code.cast("string"))
+    has_status, blocked = outcome in ("success", "http_error"), outcome == "robots_blocked"
+    message = own if error is None else F.coalesce(F.nullif(error, F.lit("")), own)
+    return F.struct(
+        url.alias("url"),
+        F.lit(outcome).alias("outcome"),
+        (none("string") if content is None or not has_status else content).alias("content"),
+        (none("int") if status_code is None or not has_status else status_code.cast("int")).alias("status_code"),
+        (none("string") if content_type is None or not has_status else content_type).alias("content_type"),
+        (none("string") if outcome == "success" and error is None else message).alias("error"),
+        (F.lit(attempts) if isinstance(attempts, int) else attempts).cast("int").alias("attempts"),
+        (F.lit(0.0) if blocked else F.lit(elapsed_seconds) if isinstance(elapsed_seconds, float) else elapsed_seconds).cast("double").alias("elapsed_seconds"),
+    )
 
 
 def legacy_value(r) -> Column:

@@ -81,6 +81,24 @@ def concurrency(intervals: DataFrame, start: str, end: str, key: str, width: int
     return met.groupBy(key).agg(F.max(F.col("most") + F.col("begin")).alias("peak"))
 
 
+def loads_at(intervals: DataFrame, domain: str, queued: str, start: str, end: str, at: Column) -> DataFrame:
+    """(domain, active, waiting): requests of each domain that run, or wait for a slot, at a moment; domains with neither are left out.
+
+    A request waits in [queued, start) and runs in [start, end); one without a start
+    still waits, one without an end still runs.
+    """
+    begun = F.coalesce(F.col(start) <= at, F.lit(False))
+    waits = (F.col(queued) <= at) & ~begun
+    runs = begun & F.coalesce(F.col(end) > at, F.lit(True))
+    return intervals.groupBy(domain).agg(F.count_if(runs).alias("active"), F.count_if(waits).alias("waiting")).where("active > 0 or waiting > 0")
+
+
+def load_totals(loads: DataFrame, total_limit: int, domain_limit: int | None) -> DataFrame:
+    """One row: the limits, and all that runs and waits."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return loads.agg(F.lit(total_limit).alias("global_limit"), F.lit(domain_limit).cast("int").alias("per_domain_limit"), zero("active").alias("active_total"), zero("waiting").alias("waiting_global"))
+
+
 def upsert(rows: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
     """One row for each key: the place of its first row, the payload of its last."""
     at = F.struct(*order)

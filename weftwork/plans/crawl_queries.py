@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import pages as html
 from weftwork.functions import urls
-from weftwork.operators import nested, run_stats, schedule, statistics
+from weftwork.operators import nested, outcomes, run_stats, schedule, statistics
 from weftwork.plans.run_queries import _NOW, _RESULTS, _THEN, BASELINE, _made, _read, _results, query
 
 _STATES = """s0 AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
@@ -163,3 +163,34 @@ def integrity_backends(spark, sf_dir):
     sqlite = pages.withColumns({"html": F.when(has("fr"), -F.col("html")).otherwise(F.col("html")), "size": F.when(has("fr"), F.col("size") + 1).otherwise(F.col("size"))})
     backends = {"json": pages, "csv": csv, "sqlite": sqlite.unionByName(sqlite.where(has("en")))}
     return run_stats.integrity(backends, "url", ["html", "size"], pages.where(~has("es")).select("url"))
+
+
+@query(
+    f"""WITH {_NOW}, r AS (SELECT outcome, status_code, user_id % 3 AS site, value FROM m),
+x AS (SELECT outcome, CASE outcome WHEN 'http_error' THEN 'HTTP ' || status_code WHEN 'timeout' THEN 'Request timed out' END AS error, status_code,
+    CASE outcome WHEN 'success' THEN 'page' WHEN 'http_error' THEN 'Error: HTTP ' || status_code ELSE 'Error: Timeout for http://s' || site || '.example/' END AS value, NOT (outcome = 'success' AND site = 0) AS valid FROM r)
+SELECT outcome, error, status_code, value, valid, count(*) AS n FROM x GROUP BY ALL"""
+)
+def fetch_results(spark, sf_dir):
+    """FN14, FN17, SRC3: results built of attempts with their default messages, as the old values, and whether they are valid; successes of one site have a blank content type."""
+    made = _made(spark, sf_dir).withColumn("site", F.col("user_id") % 3)
+    url = F.concat(F.lit("http://s"), "site", F.lit(".example/"))
+    common = {"attempts": F.col("attempt"), "elapsed_seconds": F.col("elapsed_seconds")}
+    good = outcomes.fetch_result("success", url, content=F.lit("page"), status_code=F.col("status_code"), content_type=F.when(F.col("site") == 0, " ").otherwise("text/html"), **common)
+    result = F.when(F.col("outcome") == "success", good).when(F.col("outcome") == "http_error", outcomes.fetch_result("http_error", url, status_code=F.col("status_code"), **common)).otherwise(outcomes.fetch_result("timeout", url, **common))
+    r = F.col("r")
+    built = made.select(result.alias("r")).select(r["outcome"].alias("outcome"), r["error"].alias("error"), r["status_code"].alias("status_code"), outcomes.legacy_value(r).alias("value"), outcomes.is_valid_fetch(r).alias("valid"))
+    return built.groupBy("outcome", "error", "status_code", "value", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH s0 AS (SELECT user_id, event_id, value, ts, epoch_us(ts) / 1e6 AS arrival, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 0.0 ELSE 21600.0 END AS d FROM events),
+s1 AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM s0),
+s AS (SELECT user_id, arrival, total + max(arrival - total) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS slot, value FROM s1), t AS (SELECT epoch_us(TIMESTAMP '{BASELINE}') / 1e6 AS moment)
+SELECT user_id, count(*) FILTER (WHERE slot <= moment AND slot + value * 60 > moment) AS active, count(*) FILTER (WHERE arrival <= moment AND slot > moment) AS waiting FROM s, t GROUP BY user_id HAVING active > 0 OR waiting > 0"""
+)
+def limiter_loads(spark, sf_dir):
+    """AGG13: what runs and what waits for its slot, by user, at one moment of a slow limiter."""
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    slots = schedule.rate_slots(_read(spark, sf_dir, "events"), "user_id", arrival, F.lit(21600.0), ["ts", "event_id"]).withColumn("end", F.col("slot") + F.col("value") * 60)
+    return schedule.loads_at(slots, "user_id", "arrival", "slot", "end", F.unix_micros(F.lit(BASELINE).cast("timestamp")) / 1e6)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
+from urllib.parse import urlsplit
 
 from weftwork.operators.admission import java_pattern
 
@@ -49,22 +50,53 @@ class Crawl:
         return self.requests_per_second if self.requests_per_second is not None else 1.0 if polite else None
 
 
+@dataclass(frozen=True)
+class Reporting:
+    show_progress: bool = False
+    progress_interval: float = 1.0
+    json_report: str | None = None
+    html_report: str | None = None
+
+
+@dataclass(frozen=True)
+class Logging:
+    level: str = "INFO"
+    file: str | None = None
+    max_bytes: int = 10_485_760
+    backup_count: int = 3
+
+
 @dataclass(frozen=True)
 class Settings:
+    start_urls: tuple[str, ...] = ()
+    sitemap_urls: tuple[str, ...] = ()
     crawl: Crawl = field(default_factory=Crawl)
     storage: tuple[dict, ...] = ()
+    reporting: Reporting = field(default_factory=Reporting)
+    logging: Logging = field(default_factory=Logging)
 
     def to_dict(self) -> dict[str, Any]:
         return json.loads(json.dumps(asdict(self)))
 
+    @property
+    def seeds(self) -> tuple[str, ...]:
+        """The first pages, those named at the top before those of the crawl."""
+        return tuple(dict.fromkeys((*self.start_urls, *self.crawl.start_urls)))
+
+    def check_sources(self) -> None:
+        """ConfigError if there is nothing to begin with, after all settings have been put together."""
+        if not self.seeds and not self.sitemap_urls and not self.crawl.sitemap_urls:
+            raise ConfigError("start_urls or sitemap_urls must name at least one URL")
+
 
 #: Lowest value by field; what is listed as POSITIVE must be above it.
-LEAST = {"max_concurrent": 1, "limit_per_host": 1, "max_pages": 1, "max_depth": 0, "max_attempts": 1, "timeout_multiplier": 1, "min_delay": 0, "jitter": 0, "retry_base_delay": 0, "retry_max_delay": 0}
-POSITIVE = {"connect_timeout", "read_timeout", "total_timeout", "max_timeout", "requests_per_second"}
+LEAST = {"max_concurrent": 1, "limit_per_host": 1, "max_pages": 1, "max_depth": 0, "max_attempts": 1, "timeout_multiplier": 1, "min_delay": 0, "jitter": 0, "retry_base_delay": 0, "retry_max_delay": 0, "max_bytes": 1, "backup_count": 0}
+POSITIVE = {"connect_timeout", "read_timeout", "total_timeout", "max_timeout", "requests_per_second", "progress_interval"}
+LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
-def _checked(name: str, kind: str, value: Any) -> Any:
-    at = f"crawl.{name}"
+def _checked(name: str, kind: str, value: Any, section: str = "crawl") -> Any:
+    at = f"{section}.{name}"
     if value is None and "None" in kind:
         return None
     if "tuple" in kind:
@@ -80,7 +112,7 @@ def _checked(name: str, kind: str, value: Any) -> Any:
         if not isinstance(value, bool):
             raise ConfigError(f"{at} must be true or false")
         return value
-    if kind == "str":
+    if kind.startswith("str"):
         if not isinstance(value, str) or not value.strip():
             raise ConfigError(f"{at} must be a non-blank string")
         return value
@@ -92,17 +124,43 @@ def _checked(name: str, kind: str, value: Any) -> Any:
     return value if kind.startswith("int") else float(value)
 
 
-def from_dict(value: dict[str, Any]) -> Settings:
-    """Settings from plain JSON values; unknown keys are refused at each level."""
+def _section(kind: type, name: str, given: Any):
+    kinds = {f.name: str(f.type) for f in fields(kind)}
+    if not isinstance(given, dict):
+        raise ConfigError(f"{name} must be an object: {given!r}")
+    if unknown := sorted(set(given) - set(kinds)):
+        raise ConfigError(f"{name} has unknown keys: {', '.join(map(str, unknown))}")
+    return kind(**{k: _checked(k, kinds[k], v, name) for k, v in given.items()})
+
+
+def _urls(name: str, value: Any) -> tuple[str, ...]:
+    """Absolute http and https URLs, each once, in order."""
+    if not isinstance(value, (list, tuple)):
+        raise ConfigError(f"{name} must be a list")
+    out: dict[str, None] = {}
+    for i, x in enumerate(value):
+        try:
+            parts = urlsplit(x.strip()) if isinstance(x, str) else None
+            fine = parts is not None and parts.scheme in ("http", "https") and bool(parts.hostname) and (parts.port or 1) > 0
+        except ValueError:
+            fine = False
+        if not fine:
+            raise ConfigError(f"{name}[{i}] must be an absolute http or https URL")
+        out.setdefault(x.strip())
+    return tuple(out)
+
+
+def from_dict(value: dict[str, Any], base: str | Path | None = None) -> Settings:
+    """Settings from plain JSON values; unknown keys are refused at each level.
+
+    With ``base`` the paths of storage, reports and the log begin there, unless they
+    are absolute; a ``~`` stays as it is.
+    """
     if not isinstance(value, dict):
         raise ConfigError("the settings must be an object")
-    if unknown := sorted(set(value) - {"crawl", "storage"}):
+    if unknown := sorted(set(value) - {f.name for f in fields(Settings)}):
         raise ConfigError(f"unknown settings: {', '.join(unknown)}")
-    given = value.get("crawl", {})
-    kinds = {f.name: str(f.type) for f in fields(Crawl)}
-    if not isinstance(given, dict) or (unknown := sorted(set(given) - set(kinds))):
-        raise ConfigError(f"crawl must be an object without unknown keys: {unknown if isinstance(given, dict) else given!r}")
-    crawl = Crawl(**{k: _checked(k, kinds[k], v) for k, v in given.items()})
+    crawl = _section(Crawl, "crawl", value.get("crawl", {}))
     if crawl.max_timeout < max(crawl.connect_timeout, crawl.read_timeout, crawl.total_timeout):
         raise ConfigError("crawl.max_timeout must not be below the first timeouts")
     if crawl.retry_max_delay < crawl.retry_base_delay:
@@ -110,7 +168,20 @@ def from_dict(value: dict[str, Any]) -> Settings:
     storage = value.get("storage", [])
     if not isinstance(storage, list) or not all(isinstance(x, dict) and x.get("type") in ("json", "csv", "sqlite") and isinstance(x.get("path"), str) and x["path"].strip() for x in storage):
         raise ConfigError("storage must be a list of objects with type (json, csv, sqlite) and path")
-    return Settings(crawl, tuple(storage))
+    reporting, logging = _section(Reporting, "reporting", value.get("reporting", {})), _section(Logging, "logging", value.get("logging", {}))
+    if logging.level not in LEVELS:
+        raise ConfigError(f"logging.level must be one of {', '.join(LEVELS)}")
+    if reporting.json_report is not None and reporting.json_report == reporting.html_report:
+        raise ConfigError("reporting.json_report and reporting.html_report must differ")
+    at = lambda path: path if path is None or base is None else str(Path(base) / path)
+    return Settings(
+        _urls("start_urls", value.get("start_urls", [])),
+        _urls("sitemap_urls", value.get("sitemap_urls", [])),
+        crawl,
+        tuple({**x, "path": at(x["path"])} for x in storage),
+        replace(reporting, json_report=at(reporting.json_report), html_report=at(reporting.html_report)),
+        replace(logging, file=at(logging.file)),
+    )
 
 
 def from_json(path: str) -> Settings:
@@ -119,7 +190,8 @@ def from_json(path: str) -> Settings:
     def refuse(name: str) -> None:
         raise ConfigError(f"{name} is not a JSON number")
 
-    value = json.loads(Path(path).read_bytes().decode("utf-8"), parse_constant=refuse)
-    settings = from_dict(value)
-    base = Path(path).absolute().parent
-    return Settings(settings.crawl, tuple({**x, "path": str(base / x["path"])} for x in settings.storage))
+    try:
+        value = json.loads(Path(path).read_bytes().decode("utf-8"), parse_constant=refuse)
+    except (OSError, UnicodeError, json.JSONDecodeError) as error:
+        raise ConfigError(f"{path} cannot be read: {error}") from error
+    return from_dict(value, Path(path).absolute().parent)
