@@ -15,7 +15,7 @@ from weftwork.storage import fresh_path, saved, shared_folder  # noqa: F401
 #: principle there are at most HOT_SHARE such keys, however large the input,
 #: which is the bound that lets them be broadcast.
 HOT_SHARE = 10_000
-#: Rows of long keys that are broadcast at most.
+#: Numbers (rows of long keys, or elements of their arrays) that are broadcast at most.
 SMALL = 500_000
 
 
@@ -52,9 +52,10 @@ def columns_of(df: DataFrame, names: list[str]) -> list[Column]:
     return [df[f"`{x.replace('`', '``')}`"] for x in names]
 
 
-def near(keys: DataFrame) -> DataFrame:
-    """``keys``, marked for broadcast if their number is within SMALL."""
-    return F.broadcast(keys) if keys.count() <= SMALL else keys
+def near(keys: DataFrame, size: Column | None = None) -> DataFrame:
+    """``keys``, marked for broadcast if they, or the numbers that ``size`` counts in each row, are within SMALL."""
+    held = keys.count() if size is None else keys.agg(F.sum(size + 1)).first()[0] or 0
+    return F.broadcast(keys) if held <= SMALL else keys
 
 
 def join_counts(rows: DataFrame, counts: DataFrame, keys: list[str], size: str, all_rows: int, how: str = "inner") -> DataFrame:

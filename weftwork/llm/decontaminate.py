@@ -196,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = saved(join_counts(hits, saved(found, "met"), ["key"], "m", hits.count()).select("doc_id", "h", "c").distinct(), "candidates")
     wanted = near(saved(pairs.select("doc_id", "h").distinct(), "candidate-documents")).alias("w")
     texts = thin.alias("d").join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h")), "left_semi")
-    sets = pairs.join(near(classes.select("c", "tokens")), "c")
+    sets = pairs.join(near(classes.select("c", "tokens"), F.size("tokens")), "c")
     both = texts.groupBy("doc_id", "h").cogroup(sets.groupBy("doc_id", "h")).applyInArrow(_contained, "doc_id long, h long, c long, n_shared long, n_item long")
     return both.join(near(items.select("item_id", "c")), "c").select("doc_id", "h", "item_id", "n_shared", "n_item")
 
