@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.operators import nested, outcomes, run_stats, schedule
+from weftwork.functions import urls
+from weftwork.operators import nested, outcomes, run_stats, schedule, statistics
 from weftwork.sources import reports
+from weftwork.streaming import flows
 
 
 @pytest.mark.parametrize("hot", [1.0, 0.5])
@@ -143,3 +145,22 @@ def test_loads_at_a_moment(spark):
     loads = schedule.loads_at(spark.createDataFrame(rows, "domain string, q double, s double, e double"), "domain", "q", "s", "e", F.lit(3.0))
     assert {(r.domain, r.active, r.waiting) for r in loads.collect()} == {("a", 2, 0), ("b", 0, 2), ("d", 1, 0)}
     assert tuple(schedule.load_totals(loads, 10, None).first()) == (10, None, 3, 2) and tuple(schedule.load_totals(loads.where("false"), 10, 2).first()) == (10, 2, 0, 0)
+
+
+def test_last_failures(spark):
+    rows = [("a", "timeout", None, 1), ("a", "success", 200, 2), ("b", "http_error", 404, 1), ("b", "robots_blocked", None, 2), ("c", "success", 200, 1), ("c", "network_error", None, 2), ("d", "robots_blocked", None, 1)]
+    results = spark.createDataFrame(rows, "url string, outcome string, status_code int, n int").select("*", F.lit("e").alias("error"), F.lit(1).alias("attempts"), F.lit(0.5).alias("elapsed_seconds"))
+    assert {(r.url, r.outcome, r.status_code) for r in statistics.final_errors(results, "n").collect()} == {("b", "http_error", 404), ("c", "network_error", None)}
+
+
+def test_progress_keys_and_windowed_hosts(spark, tmp_path):
+    row = spark.range(1).select(*[x for d, s in ((3, 4), (0, 0)) for x in statistics.progress(F.lit(d), F.lit(s), F.lit(6), F.lit(float(d)))], statistics.pages_per_second(F.lit(5), F.lit(0.0)), statistics.pages_per_second(F.lit(5), F.lit(2.0))).first()
+    assert tuple(row) == (75.0, 2.0, 0.0, None, 0.0, 2.5)
+    keys = spark.createDataFrame([(" Example.COM.. ",), ("a.b",), (None,)], "d string").select(urls.limiter_key(F.col("d")).alias("k"))
+    assert [r.k for r in keys.collect()] == ["example.com", "a.b", None]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("".join(json.dumps({"host": h, "at": f"2024-01-01T00:00:{s:02}Z"}) + "\n" for h, s in (("a", 1), ("a", 59), ("b", 5))) + json.dumps({"host": "z", "at": "2024-01-01T01:00:00Z"}) + "\n")
+    counts = flows.host_counts(spark.readStream.schema("host string, at timestamp").json(str(tmp_path / "in")), "host", "at")
+    query = counts.writeStream.format("memory").queryName("hosts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.host, r.n) for r in spark.table("hosts").collect()} == {("a", 2), ("b", 1)}

@@ -69,10 +69,3 @@ def same_hosts(rows: DataFrame, seeds: DataFrame, url: str = "url") -> DataFrame
     """``rows`` whose host is a host of ``seeds``: a semi-join, so seeds may be many."""
     hosts = seeds.select(urls.host(F.col(url)).alias("_host")).where("_host is not null").distinct()
     return rows.withColumn("_host", urls.host(F.col(url))).join(hosts, "_host", "left_semi").drop("_host")
-
-
-def is_sitemap_location(url: Column) -> Column:
-    """Absolute http or https without white space in its authority and a port of 1 to 65535."""
-    authority = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    given = urls.port(url)
-    return urls.is_valid(url) & ~authority.rlike(r"\s") & (given.isNull() | given.between(1, 65535))

@@ -62,7 +62,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_pages: int | None = 100, max_
 
 
 def _is_location(url: str) -> bool:
-    """As ``admission.is_sitemap_location``: absolute http or https, a host, no white space in the authority, a port of 1 to 65535."""
+    """Absolute http or https, a host, no white space in the authority, a port of 1 to 65535."""
     try:
         parts = urlsplit(url)
         return parts.scheme in ("http", "https") and bool(parts.hostname) and not re.search(r"\s", parts.netloc) and (parts.port is None or parts.port > 0)

@@ -32,11 +32,6 @@ def queue_states(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count(F.lit(1)).alias("scheduled"), *[count(x).alias(x) for x in ("queued", "active", "processed", "failed", "blocked")], count("processed", "failed", "blocked").alias("completed"))
 
 
-def terminal_outcomes(tasks: DataFrame, results: DataFrame) -> DataFrame:
-    """Each finished task with its fetch result, null if there is none."""
-    return tasks.where(F.col("state").isin("processed", "failed", "blocked")).join(results, "url", "left")
-
-
 def counter_delta(current: DataFrame, baseline: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Counters less their baseline, not below 0; keys without growth are left out."""
     old = baseline.select(*keys, F.col(value).alias("_old"))
@@ -44,11 +39,6 @@ def counter_delta(current: DataFrame, baseline: DataFrame, keys: list[str], valu
     return out.where(F.col(value) > 0).select(*keys, value)
 
 
-def mean_delta(mean: Column, n: Column, mean0: Column, n0: Column) -> Column:
-    """The mean of what came after the baseline."""
-    return F.coalesce(F.try_divide(mean * n - F.coalesce(mean0, F.lit(0.0)) * F.coalesce(n0, F.lit(0)), n - F.coalesce(n0, F.lit(0))), F.lit(0.0))
-
-
 def final_errors(results: DataFrame, order: str) -> DataFrame:
     """The last result of each URL if it is a failure; success clears, a block is ignored."""
     rows = results.where("outcome <> 'robots_blocked'")

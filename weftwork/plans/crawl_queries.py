@@ -194,3 +194,16 @@ def limiter_loads(spark, sf_dir):
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     slots = schedule.rate_slots(_read(spark, sf_dir, "events"), "user_id", arrival, F.lit(21600.0), ["ts", "event_id"]).withColumn("end", F.col("slot") + F.col("value") * 60)
     return schedule.loads_at(slots, "user_id", "arrival", "slot", "end", F.unix_micros(F.lit(BASELINE).cast("timestamp")) / 1e6)
+
+
+@query(
+    f"""WITH {_NOW}, r AS (SELECT user_id, CASE WHEN outcome = 'success' AND value > 100 THEN 'robots_blocked' ELSE outcome END AS outcome, status_code, attempt, value, request * 10 + attempt AS place FROM m WHERE final),
+l AS (SELECT user_id, arg_max(outcome, place) AS outcome, arg_max(coalesce(status_code, 0), place) AS status_code, arg_max(attempt, place) AS attempts, arg_max(value, place) AS elapsed_seconds FROM r WHERE outcome <> 'robots_blocked' GROUP BY user_id)
+SELECT 'http://u' || user_id AS url, outcome, CASE WHEN outcome = 'http_error' THEN CAST(status_code AS INT) END AS status_code, attempts, round(elapsed_seconds, 3) AS elapsed_seconds FROM l WHERE outcome <> 'success'"""
+)
+def last_failures(spark, sf_dir):
+    """CTL7: the last result of each page if it is a failure; a success clears it, a block leaves it as it was."""
+    rows = _made(spark, sf_dir).where("final").withColumn("place", F.col("request") * 10 + F.col("attempt"))
+    blocked = (F.col("outcome") == "success") & (F.col("elapsed_seconds") > 100)
+    results = rows.select(F.concat(F.lit("http://u"), "user_id").alias("url"), F.when(blocked, "robots_blocked").otherwise(F.col("outcome")).alias("outcome"), "status_code", F.lit("").alias("error"), F.col("attempt").alias("attempts"), "elapsed_seconds", "place")
+    return statistics.final_errors(results, "place").select("url", "outcome", "status_code", F.col("attempts").cast("long").alias("attempts"), F.round("elapsed_seconds", 3).alias("elapsed_seconds"))
