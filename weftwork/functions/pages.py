@@ -9,6 +9,7 @@ with the parser and the parser elsewhere.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
@@ -168,8 +169,8 @@ def _table(table: Node) -> dict:
     return {"headers": headers, "rows": rows}
 
 
-def parse(page: str | None, url: str | None, same_host: bool = False) -> dict:
-    """The ten fields of a page."""
+def parse(page: str | None, url: str | None, same_host: bool = False, wanted: Collection[str] | None = None) -> dict:
+    """The ten fields of a page; those that are not ``wanted`` stay empty (the title comes with the metadata)."""
     empty = {"title": "", "description": "", "keywords": ""}
     out = {"url": url or "", "title": "", "text": "", "links": [], "metadata": empty, "images": [], "headings": [], "tables": [], "lists": [], "error": None}
     root = Tree(page or "").root
@@ -185,6 +186,8 @@ def parse(page: str | None, url: str | None, same_host: bool = False) -> dict:
         "lists": lambda: [{"type": x.tag, "items": [_text(y) for y in x.children if isinstance(y, Node) and y.tag == "li"]} for x in root.all("ul", "ol")],
     }
     for name, make in parts.items():
+        if wanted is not None and name not in wanted:
+            continue
         try:
             out[name] = make()
         except ValueError:  # a part that cannot be read stays empty
@@ -193,9 +196,8 @@ def parse(page: str | None, url: str | None, same_host: bool = False) -> dict:
     return out
 
 
-def parse_page(same_host: bool = False):
-    """An Arrow UDF (html, url) -> PAGE."""
-
+def parse_page(same_host: bool = False, wanted: Collection[str] | None = None):
+    """An Arrow UDF (html, url) -> PAGE, of which only the ``wanted`` fields are made if some are named."""
     texts = pa.list_(pa.string())
     pair = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
     kind = pa.struct(
@@ -213,7 +215,7 @@ def parse_page(same_host: bool = False):
 
     @F.arrow_udf(f"struct<{PAGE.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>")
     def run(page: pa.Array, url: pa.Array) -> pa.Array:
-        return pa.array([parse(p, u, same_host) for p, u in zip(page.to_pylist(), url.to_pylist())], kind)
+        return pa.array([parse(p, u, same_host, wanted) for p, u in zip(page.to_pylist(), url.to_pylist())], kind)
 
     return run
 
@@ -309,7 +311,7 @@ def _parsed_heads(page: pa.Array) -> pa.Array:
     kind = pa.struct([("title", pa.string()), ("text", pa.string()), ("description", pa.string()), ("headings", pa.list_(pa.struct([("level", pa.string()), ("text", pa.string())])))])
     made = []
     for x in page.to_pylist():
-        p = None if x is None else parse(x, None)
+        p = None if x is None else parse(x, None, wanted=("text", "metadata", "headings"))
         made.append(p and {"title": p["title"], "text": p["text"], "description": p["metadata"]["description"], "headings": p["headings"]})
     return pa.array(made, kind)
 

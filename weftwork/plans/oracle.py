@@ -47,7 +47,7 @@ SELECT page_id, selector, coalesce({_CLEAN.format(_PLAIN.format("regexp_replace(
     "page_summary": f"""WITH {_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM l),
 f AS (SELECT page_id, count(*) AS n_links, string_agg(link, '|' ORDER BY pos) FILTER (WHERE rn <= 5) AS first_links FROM r GROUP BY page_id)
 SELECT page_id, {_TITLE} AS title, length({_TEXT}) AS text_length, coalesce(n_links, 0) AS n_links, {_CLEAN.format(_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))} AS headings, coalesce(first_links, '') AS first_links FROM pages LEFT JOIN f USING (page_id)""",
-    "crawl_content_totals": f"WITH {_LINKS} SELECT count(*) AS total_pages, 0 AS max_depth, CAST(sum(length({_TEXT})) AS BIGINT) AS total_text_length, (SELECT count(*) FROM l) AS total_links, CAST(0 AS BIGINT) AS total_images FROM pages",
+    "crawl_content_totals": f"WITH {_LINKS} SELECT count(*) AS total_pages, CAST(max(len(regexp_extract_all(regexp_replace(url, '[?#].*$', ''), '/')) - 2) AS INT) AS max_depth, CAST(sum(length({_TEXT})) AS BIGINT) AS total_text_length, (SELECT count(*) FROM l) AS total_links, CAST(sum(len(regexp_extract_all(html, '<img'))) AS BIGINT) AS total_images FROM pages",
     "crawl_records_build": f"WITH {_LINKS}, n AS (SELECT page_id, count(*) AS n FROM l GROUP BY page_id) SELECT url, {_TITLE} AS title, length({_TEXT}) AS text_length, coalesce(n, 0) AS n_links, 200 AS status_code, CASE WHEN url LIKE 'https:%' THEN 'text/html' ELSE 'application/octet-stream' END AS content_type FROM pages LEFT JOIN n USING (page_id)",
     "attempt_outcomes": f"WITH {_ATTEMPTS} SELECT outcome, CASE WHEN again THEN 'TransientError' WHEN outcome = 'http_error' THEN 'PermanentError' ELSE 'none' END AS error_type, again AS retryable, count(*) AS n FROM a GROUP BY ALL",
     "status_code_distribution": f"WITH {_ATTEMPTS} SELECT CAST(status_code AS VARCHAR) AS status, count(*) AS n FROM t WHERE status_code IS NOT NULL GROUP BY 1",

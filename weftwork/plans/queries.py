@@ -115,38 +115,39 @@ def page_select(spark, sf_dir):
 @query
 def page_lists(spark, sf_dir):
     """FN12, by the full parser."""
-    parsed = _parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir, "lists")
     return parsed.select("page_id", F.posexplode("page.lists").alias("pos", "l")).select("page_id", F.col("pos").cast("long").alias("pos"), F.col("l.type").alias("type"), F.size("l.items").cast("long").alias("n_items"), F.array_join("l.items", "|").alias("items"))
 
 
-def _parsed(spark, sf_dir) -> DataFrame:
-    """FN13b: every page through the full parser."""
-    return _read(spark, sf_dir, "pages").select("page_id", "url", html.parse_page()(F.col("html"), F.col("url")).alias("page"))
+def _parsed(spark, sf_dir, *wanted: str) -> DataFrame:
+    """FN13b: the wanted fields of every page by the full parser."""
+    return _read(spark, sf_dir, "pages").select("page_id", "url", html.parse_page(wanted=wanted)(F.col("html"), F.col("url")).alias("page"))
 
 
 @query
 def page_images_tables(spark, sf_dir):
     """FN9, FN11, by the full parser."""
-    return _parsed(spark, sf_dir).select("page_id", F.size("page.images").cast("long").alias("n_images"), F.size("page.tables").cast("long").alias("n_tables"))
+    return _parsed(spark, sf_dir, "images", "tables").select("page_id", F.size("page.images").cast("long").alias("n_images"), F.size("page.tables").cast("long").alias("n_tables"))
 
 
 @query
 def page_summary(spark, sf_dir):
     """PRJ1, SRT6."""
     p = F.col("page")
-    return _parsed(spark, sf_dir).select("page_id", p["title"].alias("title"), F.length(p["text"]).cast("long").alias("text_length"), F.size(p["links"]).cast("long").alias("n_links"), F.array_join(F.transform(F.slice(p["headings"], 1, 5), lambda h: h["text"]), "|").alias("headings"), F.array_join(F.slice(p["links"], 1, 5), "|").alias("first_links"))
+    return _parsed(spark, sf_dir, "metadata", "text", "links", "headings").select("page_id", p["title"].alias("title"), F.length(p["text"]).cast("long").alias("text_length"), F.size(p["links"]).cast("long").alias("n_links"), F.array_join(F.transform(F.slice(p["headings"], 1, 5), lambda h: h["text"]), "|").alias("headings"), F.array_join(F.slice(p["links"], 1, 5), "|").alias("first_links"))
 
 
 @query
 def crawl_content_totals(spark, sf_dir):
-    """AGG3, AGG17."""
-    return statistics.crawl_totals(_parsed(spark, sf_dir).select("page.*", F.lit(0).alias("depth")))
+    """AGG3, AGG17; a page's depth is that of its path."""
+    depth = F.regexp_count(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/")) - 2
+    return statistics.crawl_totals(_parsed(spark, sf_dir, "text", "links", "images").select(depth.alias("depth"), "page.text", "page.links", "page.images"))
 
 
 @query
 def crawl_records_build(spark, sf_dir):
     """PRJ2, D4, D5, JN5, FLT12: records of all pages; those of http have no content type."""
-    parsed = _parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir, "metadata", "text", "links")
     fetched = parsed.select("url", F.lit("success").alias("outcome"), F.lit(200).alias("status_code"), F.when(F.col("url").startswith("https:"), "Text/HTML; charset=utf-8").otherwise("").alias("content_type"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("crawled_at"))
     made = records.from_pages(fetched, parsed.select("page.*"))
     return made.select("url", "title", F.length("text").cast("long").alias("text_length"), F.size("links").cast("long").alias("n_links"), "status_code", "content_type")
