@@ -3,9 +3,9 @@
 The next token's chance is factored along a tree: a class first, then a class in
 it, down to the word.  The tree has WAYS branches and is built by falling count
 (Huffman), so it grows with the vocabulary.  Its leaves are all words of the
-dictionary, the end of a text and, for words outside the dictionary, SHAPES
-classes by shape (last byte, bytes beyond ASCII), in each of which a word's
-chance is its smoothed count.  Each branching is a softmax over features: a
+dictionary (those that training has OWN times or more), the end of a text and, for
+all other words, met or not, SHAPES classes by shape (last byte, bytes beyond
+ASCII), in each of which a word's chance is its smoothed count.  Each branching is a softmax over features: a
 constant, the previous word, its last three letters, those of the word before it
 (a skip), and those of the TIED words before these, which share one feature each
 wherever they stand.  Endings are known of words that training never met.  A feature and a branching together are hashed to a
@@ -50,7 +50,10 @@ PER_ROOT, PAIR_SAMPLE = 32, 64
 BLOCK = 64
 #: Words whose counts are broadcast at most, about 25 bytes each.
 DICTIONARY = 1_000_000
-STEPS, RATE = 4, 0.25
+STEPS, RATE = 4, 0.18
+#: Occurrences from which a word is a leaf of its own: of rarer ones training learns
+#: little, and their classes stand for words that it has not met at all.
+OWN = 8
 #: Words before the two last ones whose endings are features.
 TIED = 6
 #: What a weight's spread is raised by in a step, so that rarely met weights move little,
@@ -218,7 +221,8 @@ def count_words(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
         if room < 0:
             break
         least = x
-    known = counts.where(level >= least).select("w", "s", "n").toArrow()  # DICTIONARY rows at most
+    own = (level >= least) & (F.col("n") >= OWN)
+    known = counts.where(own).select("w", "s", "n").toArrow()  # DICTIONARY rows at most
     words, number, shape = known["w"].to_numpy().view(np.uint64), known["n"].to_numpy(), known["s"].to_numpy()
     total, distinct = np.zeros(SHAPES), np.zeros(SHAPES)
     for s, (n, v) in shapes.items():
@@ -227,7 +231,7 @@ def count_words(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
     np.subtract.at(distinct, shape, 1)
     order = np.argsort(words)
     vocabulary = Vocabulary(int(sum(n for n, _ in shapes.values())) + ends, sum(v for _, v in shapes.values()) + (ends > 0), ends, pairs, words[order], number[order], total, distinct)
-    return vocabulary, counts.where(level < least).select("w", "n")
+    return vocabulary, counts.where(~own).select("w", "n")
 
 
 class MaxEnt:
