@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import pages as html
 from weftwork.functions import urls
 from weftwork.operators import nested, outcomes, run_stats, schedule, statistics
-from weftwork.plans.run_queries import _NOW, _RESULTS, _THEN, BASELINE, _made, _read, _results, query
+from weftwork.plans.run_queries import _NOW, _THEN, BASELINE, _made, _read, _results, query
 
 _STATES = """s0 AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
 s1 AS (SELECT user_id, n, n // 4 AS visit, CASE event_type WHEN 'view' THEN 'processed' WHEN 'purchase' THEN 'blocked' WHEN 'click' THEN NULL ELSE 'failed' END AS state,
@@ -19,7 +20,7 @@ x AS (SELECT page_id, url, html, coalesce(state, 'queued') AS state, nullif(reas
 
 def _steps(spark, sf_dir):
     """A user's events as steps of the page of its number, four to a visit; a click only begins one."""
-    n = F.row_number().over(schedule.Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     rows = _read(spark, sf_dir, "events").select("user_id", "event_type", "value", n.alias("n"))
     kind = F.when(F.col("event_type") == "view", "done").when(F.col("event_type") == "purchase", "blocked").when(F.col("event_type") == "signup", "fetch_error").when(F.col("event_type") == "click", "begun").when(F.col("value") > 100, "cancelled").otherwise("exception")
     steps = rows.select("user_id", F.floor(F.col("n") / 4).alias("visit"), (F.col("n") % 4).alias("seq"), kind.alias("kind"), F.lit("ValueError").alias("error_type"), F.when(F.col("event_type") == "signup", "HTTP 404").when(F.col("event_type") == "error", "bad value").alias("message"))
