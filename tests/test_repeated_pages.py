@@ -15,6 +15,7 @@ from weftwork.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "crawl_content_totals", "page_headings", "page_select", "page_summary", "page_text", "page_title_meta",
+    "crawl_records_build",
 ]
 
 

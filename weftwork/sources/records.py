@@ -34,9 +34,10 @@ def normalized(records: DataFrame, *more: str) -> DataFrame:
     return records.select(F.trim("url").alias("url"), "title", "text", "links", "metadata", "crawled_at", "status_code", F.lower(F.trim("content_type")).alias("content_type"), *more)
 
 
-def from_pages(fetched: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Records of successful fetches whose page was parsed without error."""
-    ok = fetched.where("outcome = 'success'").join(parsed.where("error is null").drop("error"), "url")
+def from_pages(fetched: DataFrame, parsed: DataFrame, key: str = "url") -> DataFrame:
+    """Records of successful fetches whose page was parsed without error; ``key`` names a page in both, for tables with several of one url."""
+    own = parsed.where("error is null").drop("error", *({"url"} - {key}))
+    ok = fetched.where("outcome = 'success'").join(own, key)
     meta = F.create_map(*[y for x in ("title", "description", "keywords") for y in (F.lit(x), F.col(f"metadata.{x}"))])
     return ok.select("url", "title", "text", "links", meta.alias("metadata"), "crawled_at", "status_code", F.coalesce(F.nullif(F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1)))), F.lit("")), F.lit("application/octet-stream")).alias("content_type"))
 
