@@ -17,6 +17,7 @@ NAMES = [
     "crawl_content_totals", "page_headings", "page_select", "page_summary", "page_text", "page_title_meta",
     "crawl_records_build",
     "integrity_backends",
+    "page_visits",
 ]
 
 

@@ -332,9 +332,10 @@ def whole_snapshot(run: DataFrame, requests: DataFrame, storage: DataFrame | Non
 ENDS = {"blocked": "blocked", "fetch_error": "failed", "parse_error": "failed", "exception": "failed", "cancelled": "failed", "done": "processed"}
 
 
-def visited_states(tasks: DataFrame, steps: DataFrame) -> DataFrame:
+def visited_states(tasks: DataFrame, steps: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
     """(url, state, reason) of tasks (url) after steps (url, visit, seq, kind, error_type, message).
 
+    ``keys`` name a page in both, for tables with several pages of one url.
     A page's last visit counts.  The first of its steps that ends it (ENDS) gives the
     state: what comes after, such as the ``done`` of a visit that was cancelled, no
     longer does.  A visit without an end is active, a task without a visit queued.
@@ -350,8 +351,8 @@ def visited_states(tasks: DataFrame, steps: DataFrame) -> DataFrame:
         .when(F.col("kind") != "done", F.col("message"))
     )
     state = F.create_map(*[F.lit(x) for pair in ENDS.items() for x in pair])[F.col("kind")]
-    visits = steps.groupBy("url", "visit").agg(F.min_by(F.struct(state.alias("state"), reason.alias("reason")), F.when(ends, F.col("seq"))).alias("end"))
-    last = visits.groupBy("url").agg(F.max_by(F.struct("end"), "visit").alias("v"))
-    known = tasks.select("url").distinct().join(last.withColumn("met", F.lit(True)), "url", "left")
+    visits = steps.groupBy(*keys, "visit").agg(F.min_by(F.struct(state.alias("state"), reason.alias("reason")), F.when(ends, F.col("seq"))).alias("end"))
+    last = visits.groupBy(*keys).agg(F.max_by(F.struct("end"), "visit").alias("v"))
+    known = tasks.select(*keys).distinct().join(last.withColumn("met", F.lit(True)), list(keys), "left")
     state = F.when(F.col("met").isNull(), "queued").otherwise(F.coalesce("v.end.state", F.lit("active")))
-    return known.select("url", state.alias("state"), F.col("v.end.reason").alias("reason"))
+    return known.select(*keys, state.alias("state"), F.col("v.end.reason").alias("reason"))
