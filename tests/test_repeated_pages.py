@@ -19,6 +19,7 @@ NAMES = [
     "integrity_backends",
     "page_visits",
     "run_figures",
+    "sitemap_resolve",
 ]
 
 
