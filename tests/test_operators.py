@@ -353,3 +353,16 @@ def test_robots_loads(spark):
     rows = [("a", "success", 204, None), ("b", "http_error", 404, None), ("c", "timeout", None, "late"), ("d", "network_error", None, ""), ("e", "success", 301, None)]
     got = {r.origin: (r.robots_url, r.status, r.available, r.error) for r in robots.loaded(spark.createDataFrame(rows, "origin string, outcome string, status_code int, error string")).collect()}
     assert got == {"a": ("a/robots.txt", 204, True, None), "b": ("b/robots.txt", 404, False, "HTTP 404"), "c": ("c/robots.txt", None, False, "late"), "d": ("d/robots.txt", None, False, "network_error"), "e": ("e/robots.txt", 301, False, "HTTP 301")}
+
+
+def test_trailing_count_slides_no_frame(spark):
+    """A sliding frame is added up anew at every row; rows without a moment count among themselves."""
+    rng = random.Random(12)
+    times = [rng.choice([None, *range(0, 9_000_000, 250_000)]) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, rng.choice("ab")) for i, t in enumerate(times)], "id int, t long, k string")
+    counted = schedule.trailing_count(df, F.col("t"), 2, key="k")
+    assert "-1999999" not in counted._jdf.queryExecution().toString()
+    rows = counted.collect()
+    assert len(rows) == 400 and counted.columns == ["id", "t", "k", "recent"]
+    for r in rows:
+        assert r.recent == sum(x.k == r.k and (x.t is None if r.t is None else x.t is not None and r.t - 2_000_000 < x.t <= r.t) for x in rows)

@@ -55,13 +55,20 @@ def trailing_count(rows: DataFrame, micros: Column, seconds: int, key: str | Non
     """``rows`` with the number of rows in (t - seconds, t], per key if given.
 
     Without a key Spark would sort all rows in one task, so rows are dealt to
-    spans of ``seconds`` and each is counted with its predecessor's rows.
+    spans of ``seconds``.  A span begins with all rows of the one before it, each of
+    which leaves ``seconds`` after it came, so the number is a running sum: a frame
+    that slides would be added up anew at every row, with the square of a span's
+    rows.  Rows that leave are one for each moment.
     """
     width = seconds * 1_000_000
     rows = rows.withColumn("_t", micros).withColumn("_k", F.lit(0) if key is None else F.col(key)).withColumn("_span", F.floor(F.col("_t") / width))
-    both = rows.withColumn("_own", F.lit(True)).unionByName(rows.withColumn("_span", F.col("_span") + 1).withColumn("_own", F.lit(False)))
-    span = Window.partitionBy("_k", "_span").orderBy("_t").rangeBetween(-(width - 1), 0)
-    return both.withColumn("recent", F.count(F.lit(1)).over(span)).where("_own").drop("_t", "_k", "_span", "_own")
+    left = rows.groupBy("_k", "_t", "_span").agg(F.count(F.lit(1)).alias("_n")).select("_k", (F.col("_t") + width).alias("_t"), (F.col("_span") + 1).alias("_span"), (-F.col("_n")).alias("_step"))
+    both = rows.withColumn("_step", F.lit(1).cast("long")).unionByName(left, allowMissingColumns=True)
+    span = Window.partitionBy("_k", "_span")
+    so_far = F.sum("_step").over(span.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    begin = F.sum(F.when(F.col("_step") < 0, -F.col("_step"))).over(span)
+    recent = (so_far + F.coalesce(begin, F.lit(0))).alias("recent")
+    return both.select("*", recent).where("_step = 1").drop("_t", "_k", "_span", "_step")
 
 
 def concurrency(intervals: DataFrame, start: str, end: str, key: str, width: int = 3_600_000_000) -> DataFrame:
