@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,17 @@ def test_selectors_of_all_kinds():
 def test_selected_texts_of_a_table(spark):
     rows = spark.createDataFrame([(1, "<p>a</p>"), (2, None), (3, "")], "id int, html string").select("id", selectors.selected_texts(F.col("html"), ["p", "div[", "b"]).alias("t"))
     assert {r.id: r.t for r in rows.collect()} == {1: ["a", "", ""], 2: ["", "", ""], 3: ["", "", ""]}
+
+
+def test_pages_of_a_batch_are_parsed_some_at_a_time():
+    lengths = []
+
+    def make(values, more):
+        lengths.append(len(values))
+        return [f"{a}{b}" for a, b in zip(values, more)]
+
+    columns = [pa.array([str(i) for i in range(1000)]), pa.array([None, "x"] * 500)]
+    whole = pages.in_slices(make, pa.string(), *columns)
+    assert whole.to_pylist() == [f"{a}{b}" for a, b in zip(*(c.to_pylist() for c in columns))]
+    assert max(lengths) == pages.TOGETHER and sum(lengths) == 1000
+    assert pages.in_slices(make, pa.string(), *(c.slice(0, 0) for c in columns)).to_pylist() == []
