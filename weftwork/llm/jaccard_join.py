@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import HOT_SHARE, columns_of, free_names, join_counts, near, saved, text_key
+from weftwork.llm.common import HOT_SHARE, columns_of, free_names, fresh_path, join_counts, near, passing, saved, text_key, written
 from weftwork.llm.text import chunks, digest, encoded, lean, mix, shingles, word_hashes
 
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
@@ -432,7 +432,9 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, all columns kept, whatever their names."""
-    kept = saved(JaccardJoin(docs, k, num, den).representatives(), "kept")
+    path = fresh_path(docs.sparkSession, "kept")
+    with passing(docs.sparkSession):
+        kept = written(JaccardJoin(docs, k, num, den).representatives(), path)
     d, h, copies, g = free_names(docs.columns, "__d", "__h", "__copies", "__g")
     kept = kept.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("copies").alias(copies))
     met = docs.withColumn(g, text_key(F.col("text")))
