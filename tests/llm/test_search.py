@@ -288,3 +288,19 @@ def test_language_models_of_tiny_tables(spark):
     for rows in ([(0, "a", "en", "a", 1)], [(i, "a a a", "en", "a", 1) for i in range(40)], [(i, None, None, None, None) for i in range(10)], [(4, "only held out", "en", "a", 1)]):
         for r in maxent_lm.lm_report(spark.createDataFrame(rows, SCHEMA)).collect():
             assert math.isfinite(r.score) and math.isfinite(r.base_score) and r.score <= 0
+
+
+def test_rare_words_of_documents_are_counted_together():
+    import numpy as np
+
+    from weftwork.llm.maxent_lm import _rare
+
+    rng = np.random.default_rng(2)
+    for size, documents in ((500, 40), (1, 3), (0, 2), (0, 0)):
+        document = np.sort(rng.integers(0, max(1, documents), size))
+        words = rng.integers(0, 9, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        n, kinds, times = _rare(words, document, documents)
+        want = [np.unique(words[document == i], return_counts=True) for i in range(documents)]
+        assert n.tolist() == [len(x) for x, _ in want]
+        assert kinds.tolist() == [y for x, _ in want for y in x.view(np.int64).tolist()]
+        assert times.tolist() == [y for _, x in want for y in x.tolist()]

@@ -322,7 +322,7 @@ def _gradient(vocabulary, model):
                         taken_keys.append(row * WAYS + branch)
                         drawn_keys.append(row * WAYS + drawn)
                     held_keys += len(rows) * len(branch)
-                if held_keys > max(1_000_000, size // 4):
+                if held_keys > max(4_000_000, size // 4):
                     count()
                     held_keys = 0
         count()
@@ -371,6 +371,15 @@ def train_model(train: DataFrame, vocabulary, model: MaxEnt) -> None:
         sent.destroy()  # the step's sums are here, so no task can ask for it again
 
 
+def _rare(words: np.ndarray, document: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many different words each document has, these document by document, and how often each occurs there."""
+    order = np.lexsort((words, document))
+    words, document = words[order], document[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), (words[1:] != words[:-1]) | (document[1:] != document[:-1])]))
+    times = np.diff(np.append(first, len(words)))
+    return np.bincount(document[first], minlength=documents), words[first].view(np.int64), times.astype(np.int32)
+
+
 def _scored(vocabulary, model):
     names = ["doc_id", "h", "held_out", "n_tokens", "known", "base", "score", "cold", "cold_n"]
 
@@ -394,20 +403,14 @@ def _scored(vocabulary, model):
                 sums = lambda x: np.bincount(document, weights=x, minlength=len(count))  # noqa: B023, E731
                 base = sums(value) + np.log10(v.ends + 0.5) - (count + 1) * base_least
                 score = np.add.reduceat(log, first) + sums(own)
-                cold, cold_n = [], []
-                rare = ~known
-                for i in range(len(count)):
-                    mine = words[bounds[i] : bounds[i + 1]][rare[bounds[i] : bounds[i + 1]]]
-                    kinds, times = np.unique(mine, return_counts=True)
-                    cold.append(kinds.view(np.int64))
-                    cold_n.append(times.astype(np.int32))
-                parts.append((count + 1, sums(known) + (v.ends > 0), base, score, cold, cold_n))
+                parts.append((count + 1, sums(known) + (v.ends > 0), base, score, *_rare(words[~known], document[~known], len(count))))
             if not parts:
                 continue
-            whole = [np.concatenate([x[i] for x in parts]) for i in range(4)]
-            lists = [[y for x in parts for y in x[i]] for i in (4, 5)]
+            whole = [np.concatenate([x[i] for x in parts]) for i in range(7)]
+            at = pa.array(np.concatenate([[0], np.cumsum(whole[4])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in whole[5:]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), batch.column("held_out"), pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2]), pa.array(whole[3]), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int32()))],
+                [batch.column("doc_id"), batch.column("h"), batch.column("held_out"), pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2]), pa.array(whole[3]), *lists],
                 names,
             )
 
