@@ -500,6 +500,39 @@ def test_components(spark):
     assert {tuple(r) for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
+@pytest.mark.parametrize("edges_at_once", [250_000, 40, 3])
+def test_components_of_long_paths(spark, monkeypatch, edges_at_once):
+    """Paths, cycles, stars and copies of edges, in one block or many."""
+    monkeypatch.setattr(jaccard_join, "EDGES", edges_at_once)
+    rng = random.Random(3)
+    names = rng.sample(range(-(10**12), 10**12), 400)
+    path, star, cycle = names[:150], names[150:300], names[300:]
+    edges = [*zip(path, path[1:]), *((star[0], x) for x in star[1:]), *zip(cycle, cycle[1:] + cycle[:1])]
+    edges += edges[::3] + [(b, a) for a, b in edges[::4]] + [(path[0], path[0])]
+    rng.shuffle(edges)
+    want = {(x, min(part)) for part in (path, star, cycle) for x in part}
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_contraction_in_blocks(monkeypatch):
+    """Blocks of batches and parts of batches keep every edge's ends joined."""
+    monkeypatch.setattr(jaccard_join, "EDGES", 7)
+    u, v = np.arange(1, 51), np.arange(50)
+    batches = [jaccard_join.pa.RecordBatch.from_arrays([jaccard_join.pa.array(x[i : i + 10]) for x in (u, v)], ["u", "v"]) for i in range(0, 50, 10)]
+    blocks = [list(zip(*(c.to_pylist() for c in b.columns))) for b in jaccard_join._contracted(iter(batches))]
+    assert all(len({y for _, y in b}) == 1 and len(b) <= 7 for b in blocks)
+    assert sorted(x for b in blocks for x, _ in b) == list(range(1, 51))
+
+
+def test_components_write_few_tables(spark, monkeypatch):
+    """Edges of one block are contracted without rounds, which fill the driver."""
+    made = []
+    monkeypatch.setattr(jaccard_join, "saved", lambda df, label, f=jaccard_join.saved: made.append(label) or f(df, label))
+    assert jaccard_join.components(spark.range(300).selectExpr("id a", "id + 1 b")).agg(F.max("comp"), F.count("c")).first() == (0, 301)
+    assert made == ["edges", "components"]
+
+
 def test_empty_tables(spark):
     nothing, pages = empty(spark), spark.createDataFrame([], "page_id long, url string, html string")
     benchmark, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -36,6 +36,8 @@ from weftwork.llm.text import chunks, digest, encoded, lean, mix, shingles, word
 FREQUENT = 500_000
 #: A shingle counts as frequent from so many documents of a block of BLOCK shingles.
 LOCAL, BLOCK = 2, 2_000_000
+#: Edges that a task contracts to stars at once (two numbers each).
+EDGES = 250_000
 #: Pivot rounds before the remaining pairs are compared one by one.
 ROUNDS = 1
 #: Lists of at most so many members are then compared pair by pair; in longer ones,
@@ -166,26 +168,68 @@ def _whole(k: int):
     return run
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges but the smallest of each component, and that smallest one."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        for end in (x, y):
+            np.minimum.at(root, root[end], low)
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v), EDGES of them at a time, as stars around the smallest nodes."""
+    block: list[pa.RecordBatch] = []
+
+    def told() -> pa.RecordBatch:
+        table = pa.Table.from_batches(block)
+        u, v = _roots(table["u"].to_numpy(), table["v"].to_numpy())
+        block.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    size = 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, EDGES):
+            part = batch.slice(low, EDGES)
+            if block and size + part.num_rows > EDGES:
+                yield told()
+                size = 0
+            block.append(part)
+            size += part.num_rows
+    if block:
+        yield told()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(c, comp): every node of ``links`` (a, b) with the smallest node it reaches.
 
-    Large-star and small-star steps alternate until nothing changes; each step is
-    written to the shared folder.
+    In each round tasks contract blocks of EDGES edges to stars.  One block's stars
+    are the components; with more blocks a large-star and a small-star step follow,
+    until nothing changes.  Each round is written to the shared folder.
     """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(lean(_contracted), "u long, v long"), "edges")
     before = None
     while True:
+        now = edges.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
+        if now == before:
+            break
+        before = now
+        if now[0] <= EDGES:
+            edges = edges.coalesce(1).mapInArrow(lean(_contracted), "u long, v long")  # one block
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = saved(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        now = small.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
-        edges = small
-        if now == before:
-            break
-        before = now
+        small = small.select("e.u", "e.v").where("u <> v").distinct()
+        edges = saved(small.mapInArrow(lean(_contracted), "u long, v long"), "edges")
     pairs = edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "c")
     return saved(pairs.unionByName(pairs.select(F.col("comp").alias("c"), "comp").distinct()), "components")
 
