@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -219,6 +220,26 @@ def test_bpe_is_what_tiktoken_makes():
         assert encoder.decode(packed) == text.encode()
 
 
+def test_bpe_looks_up_merges_only():
+    """Bytes that pair with nothing cost no call each."""
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        encoder = bpe.Encoder(file.read(), public.PATTERN)
+    alone = [bytes([a, b]) for a in range(1, 9) for b in range(1, 9)]
+    assert not any(x in encoder.ranks for x in alone)
+    rng = random.Random(2)
+    tokens = [b"ab", b"xq", *(bytes(rng.choices(range(1, 9), k=50)) for _ in range(400))]
+    want = [[encoder.ranks[bytes([x])] for x in t] for t in tokens[2:]]
+    assert encoder.merge(tokens)[2:] == want and encoder.merge([]) == []
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        encoder.merge(tokens)
+    finally:
+        sys.setprofile(None)
+    assert calls["c_call"] < 10 * len(tokens) < sum(map(len, tokens))
+
+
 def test_rank_queue():
     rng, queue, want = random.Random(0), bpe.RankQueue(), defaultdict(list)
     for _ in range(500):

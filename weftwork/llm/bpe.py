@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -135,52 +134,68 @@ class Encoder:
         return self.finders[text.isascii()](text)
 
     @cached_property
-    def pairs(self) -> dict[int, int]:
-        """The rank that two adjacent parts merge to, by ``left << 18 | right``."""
-        out = {}
+    def pairs(self) -> tuple[dict[int, dict[int, int]], dict[int, dict[int, int]]]:
+        """The ranks that parts merge to: of each left part by the right one, and of each right part by the left one."""
+        rights: dict[int, dict[int, int]] = {}
+        lefts: dict[int, dict[int, int]] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    out[left << 18 | right] = rank
-        return out
+                    rights.setdefault(left, {})[right] = rank
+                    lefts.setdefault(right, {})[left] = rank
+        return rights, lefts
 
     @cached_property
     def byte_ids(self) -> list[int]:
         return [self.ranks[bytes([i])] for i in range(256)]
 
+    @cached_property
+    def first_pairs(self) -> np.ndarray:
+        """The rank that two adjacent bytes merge to, -1 if none."""
+        out = np.full((256, 256), -1, np.int64)
+        for a, left in enumerate(self.byte_ids):
+            ranks = self.pairs[0].get(left, {})
+            out[a] = [ranks.get(right, -1) for right in self.byte_ids]
+        return out
+
     def merge(self, tokens: list[bytes]) -> list[list[int]]:
-        """The ids of pre-tokens: in each, merges by rising rank, the leftmost first.
+        """The ids of pre-tokens; see ``packed``."""
+        return [memoryview(x).cast("I").tolist() for x in self.packed(tokens)]
 
-        All lie in one linked list, with a part that pairs with nothing after
-        each, so each is merged as if it were alone.
+    def packed(self, tokens: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens: those that are tokens, and others by merges."""
+        known = list(map(self.ranks.get, tokens))
+        merged = iter(self._merged([x for x, rank in zip(tokens, known) if rank is None]))
+        return [next(merged) if rank is None else rank.to_bytes(4, "little") for rank in known]
+
+    def _merged(self, tokens: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens: in each, merges by rising rank, the leftmost first.
+
+        All lie in one linked list, with a part that pairs with nothing before and
+        after each, so each is merged as if it were alone.
         """
-        pairs, none, wall = self.pairs.get, -1, (1 << 18) - 1
-        whole, byte_id = self.ranks.get, self.byte_ids.__getitem__
-        parts: list[int] = [wall]
-        starts: list[int] = []
-        for token in tokens:
-            starts.append(len(parts))
-            known = whole(token)
-            if known is None:
-                parts.extend(map(byte_id, token))
-            else:
-                parts.append(known)
-            parts.append(wall)
-        n = len(parts)
+        (rights, lefts), gone, wall, nothing = self.pairs, -1, (1 << 18) - 1, {}
+        text = np.frombuffer(b" " + b" ".join(tokens) + b" ", np.uint8)
+        walls = np.cumsum([0, *(len(x) + 1 for x in tokens)])
+        first = np.array(self.byte_ids)[text]
+        first[walls] = wall
+        ranks = np.append(self.first_pairs[text[:-1], text[1:]], gone)
+        ranks[walls] = gone
+        ranks[walls[1:] - 1] = gone
+        parts, pair, n = first.tolist(), ranks.tolist(), len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [pairs(a << 18 | b, none) for a, b in zip(parts, parts[1:])]
-        pair.append(none)
         queue = RankQueue()
         push, buckets = queue.push, queue.buckets
-        for i, rank in enumerate(pair):
-            if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    push(rank, i)
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        kinds, starts = np.unique(ranks[places], return_index=True)
+        for rank, bucket in zip(kinds.tolist(), np.split(places, starts[1:])):
+            push(rank, 0)
+            buckets[rank] = bucket.tolist()
         while queue.top:
             rank, bucket = queue.pop()
+            on_right, on_left = rights.get(rank, nothing).get, lefts.get(rank, nothing).get
             for k, i in enumerate(bucket):
                 if pair[i] != rank:
                     continue  # stale
@@ -188,11 +203,11 @@ class Encoder:
                 right = after[j]
                 left = before[i]
                 parts[i] = rank
+                parts[j] = pair[j] = gone
                 after[i] = right
                 before[right] = i
-                pair[j] = none
-                pair[i] = found = pairs(rank << 18 | parts[right], none)
-                pair[left] = other = pairs(parts[left] << 18 | rank, none)
+                pair[i] = found = on_right(parts[right], gone)
+                pair[left] = other = on_left(parts[left], gone)
                 if found >= 0:
                     if found in buckets:
                         buckets[found].append(i)
@@ -207,14 +222,11 @@ class Encoder:
                     for x in bucket[k + 1 :]:
                         push(rank, x)
                     break
-        out = []
-        for i in starts:
-            ids = []
-            while (part := parts[i]) != wall:
-                ids.append(part)
-                i = after[i]
-            out.append(ids)
-        return out
+        final = np.array(parts)
+        left = (final != gone) & (final != wall)
+        ids = final[left].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(left)[walls]).tolist()
+        return [ids[x:y] for x, y in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -248,8 +260,7 @@ class Encoder:
         return out
 
     def _learn(self, tokens: list[str]) -> None:
-        for token, ids in zip(tokens, self.merge([x.encode() for x in tokens])):
-            self.young[token] = array("I", ids).tobytes()
+        self.young.update(zip(tokens, self.packed([x.encode() for x in tokens])))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
