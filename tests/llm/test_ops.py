@@ -448,6 +448,29 @@ def test_language_model(spark, docs, corpus):
     assert real[1] > real[0]
 
 
+def test_gradients_do_not_depend_on_when_keys_are_counted(monkeypatch):
+    pa, rng = maxent_lm.pa, random.Random(8)
+    vocabulary = ["".join(rng.choices("abcde", k=3)) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (40_000, 0, 3, 9_000)]
+    words, shapes, _ = maxent_lm.tokens_of([x.encode() for x in texts])
+    kinds, counts = np.unique(words, return_counts=True)
+    v = maxent_lm.Vocabulary(len(words) + 4, len(kinds) + 1, 4, 3000, kinds, counts, np.zeros(8), np.zeros(8))
+    model = maxent_lm.MaxEnt(100)
+    model.weights[:] = np.random.default_rng(1).normal(0, 0.1, model.weights.shape)
+    sent = lambda x: type("Sent", (), {"value": x})
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def made(keys):
+        monkeypatch.setattr(maxent_lm, "KEYS", keys)
+        return [r.to_pydict() for r in maxent_lm._gradient(sent(v), sent(model))(iter([batch]))]
+
+    assert len(words) > model.weights.size // 4 and made(1) == made(4_000_000) != []
+    leaves, first, tokens, _ = maxent_lm._with_ends(v, [x.encode() for x in texts])
+    found = sum(len(rows) * len(at) for at, _, rows, _ in model.levels(v, leaves, model.contexts(*tokens, first)))
+    expected = sum(maxent_lm._unpacked(x, 2 * maxent_lm.BLOCK * maxent_lm.WAYS).reshape(2, -1)[1].sum() for d in made(1) for x in d["sums"])
+    assert abs(64 * expected / found - 1) < 1e-2  # each key is counted once
+
+
 def test_language_model_uses_rare_words(spark):
     """2,000 words, each always followed by one other: what follows is known for all of them, not for the most frequent 255."""
     rng = random.Random(3)

@@ -46,6 +46,8 @@ from weftwork.llm.text import _tables, chunks, encoded, mix, word_spans
 WAYS, SHAPES = 16, 8
 #: Rows of weights for each of the root of the number of word pairs; of pairs, one in PAIR_SAMPLE is counted.
 PER_ROOT, PAIR_SAMPLE = 32, 64
+#: Keys of weights that a task holds, at least, before it counts them.
+KEYS = 4_000_000
 #: Rows of weights that are added up together.
 BLOCK = 64
 #: Words whose counts are broadcast at most, about 25 bytes each.
@@ -271,9 +273,10 @@ class MaxEnt:
             node = v.parent[child]
             own = (node - inner).astype(np.uint64) * _FACTORS[3]
             logits, rows = v.log.take(node - inner, axis=0), []
+            met = np.empty_like(logits)
             for x in mixed:
-                rows.append(((x.take(at) + own) * _FACTORS[0] >> np.uint64(64 - self.bits)).astype(np.int32))
-                logits += self.weights.take(rows[-1], axis=0)
+                rows.append(((x.take(at) + own) * _FACTORS[0] >> np.uint64(64 - self.bits)).view(np.int64))  # as numpy's indices are, so none is converted
+                logits += self.weights.take(rows[-1], axis=0, out=met, mode="clip")
             yield at, v.branch[child], rows, logits
             on = node != root
             at, child = at[on], node[on]
@@ -300,16 +303,28 @@ def _gradient(vocabulary, model):
         v, m = vocabulary.value, model.value
         size, rng = m.weights.size, np.random.default_rng(7)  # the same draws if the task runs again
         expected, found = np.zeros(size, np.float32), np.zeros(size, np.float32)
-        taken_keys: list[np.ndarray] = []
-        drawn_keys: list[np.ndarray] = []
+        most = max(KEYS, size // 4)
+        taken_keys, drawn_keys = np.empty(most, np.int64), np.empty(most, np.int64)
+        held_keys = 0
 
         def count() -> None:
-            for keys, table in ((taken_keys, found), (drawn_keys, expected)):
-                if keys:
-                    table += np.bincount(np.concatenate(keys), minlength=size)
-                keys.clear()
+            nonlocal found, expected, held_keys
+            found += np.bincount(taken_keys[:held_keys], minlength=size)
+            expected += np.bincount(drawn_keys[:held_keys], minlength=size)
+            held_keys = 0
+
+        def hold(keys: np.ndarray, branch: np.ndarray, drawn: np.ndarray) -> None:
+            nonlocal held_keys
+            for low in range(0, len(keys), most):
+                part = slice(low, low + most)
+                end = held_keys + len(keys[part])
+                if end > most:
+                    count()
+                    end = len(keys[part])
+                np.add(keys[part], branch[part], out=taken_keys[held_keys:end])
+                np.add(keys[part], drawn[part], out=drawn_keys[held_keys:end])
+                held_keys = end
 
-        held_keys = 0
         for batch in batches:
             texts = [x.lower() for x in encoded(batch.column("text"))]
             for start, end in chunks(texts, 1 << 17):
@@ -318,14 +333,12 @@ def _gradient(vocabulary, model):
                     below = np.exp(logits, out=logits) @ _UP_TO  # the sums of the first chances
                     draw = rng.random(len(branch), np.float32) * below[:, -1]
                     drawn = np.minimum(_trues(below < draw[:, None]), WAYS - 1)
+                    branch, drawn = branch.astype(np.int64), drawn.astype(np.int64)
                     for row in rows:
-                        taken_keys.append(row * WAYS + branch)
-                        drawn_keys.append(row * WAYS + drawn)
-                    held_keys += len(rows) * len(branch)
-                if held_keys > max(4_000_000, size // 4):
-                    count()
-                    held_keys = 0
+                        row *= WAYS
+                        hold(row, branch, drawn)
         count()
+        taken_keys = drawn_keys = None
         expected, found = expected.reshape(m.weights.shape), found.reshape(m.weights.shape)
         both = np.stack([x.reshape(-1, BLOCK, WAYS) for x in (expected - found, expected)], axis=1)
         del expected, found
