@@ -1,6 +1,7 @@
 """MinHash near-dedup, lexical search, collocations and the language model's chances against brute force."""
 
 import math
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
@@ -278,6 +279,45 @@ def test_language_model_against_brute_force():
         assert abs(sum(math.exp(chance(leaf, i)) for leaf in range(n)) - 1) < 1e-6
 
 
+def test_tasks_score_by_weights_of_two_bytes(monkeypatch):
+    """What tasks get takes half the memory of floats, never overflows, and gives the same scores; texts are split once."""
+    rng, split = np.random.default_rng(6), []
+    words, shapes, _ = maxent_lm.tokens_of([b"the cat sat on the mat.", b"a dog, a cat"])
+    kinds, counts = np.unique(words, return_counts=True)
+    v = maxent_lm.Vocabulary(len(words) + 2, len(kinds) + 1, 2, 8, kinds, counts, np.full(8, 3.0), np.full(8, 2.0))
+    monkeypatch.setattr(maxent_lm, "word_spans", lambda texts, f=maxent_lm.word_spans: split.append(1) or f(texts))
+    leaves, first, tokens, _ = maxent_lm._with_ends(v, [b"the cat sat on a mat. the dog, the cat", b"", b"new words"])
+    assert len(split) == 1
+    contexts = maxent_lm.MaxEnt.contexts(*tokens, first)
+    model = maxent_lm.MaxEnt(8)
+    for spread in (0, 1e-3, 0.3, 1, 7):  # updates move a weight by 1 at most
+        model.weights[:] = np.clip(rng.normal(0, spread, model.weights.shape), -7, 7)
+        sent = pickle.loads(pickle.dumps(model))
+        assert sent.weights.itemsize == 2 and np.abs(sent.weights * sent.unit - model.weights).max() <= sent.unit / 2
+        assert np.abs(sent.logs(v, leaves, contexts) - model.logs(v, leaves, contexts)).max() < 0.1 * max(spread, 1e-3)
+        sent.weights = np.full_like(sent.weights, np.abs(sent.weights).max())  # all features of a context at their largest
+        assert all((logits >= v.log.min() - 1e-3).all() for *_, logits in sent.levels(v, leaves, contexts))
+
+
+def test_leaves_of_words():
+    rng = np.random.default_rng(7)
+    near = np.uint64(5) << np.uint64(60) | np.arange(0, 40, 2, dtype=np.uint64)  # all with the same first bits
+    known = np.unique(np.concatenate([rng.integers(0, 2**64, 500, np.uint64), near]))
+    words = np.concatenate([known, known + np.uint64(1), near, np.array([0, 2**64 - 1], np.uint64)])
+    shapes = (words % np.uint64(8)).astype(np.int64)
+    for own in (known, known[:1], known[:0]):
+        v = maxent_lm.Vocabulary(1000, 600, 2, 8, own, np.full(len(own), 9), np.full(8, 3.0), np.full(8, 2.0))
+        place = {int(w): i for i, w in enumerate(own)}
+        assert v.leaves(words, shapes).tolist() == [place.get(int(w), len(own) + 1 + int(s)) for w, s in zip(words, shapes)]
+
+
+def test_words_are_counted_with_their_shapes():
+    texts = ["the cat. sat, the B\u00e9 the cat.", None, "", "Z9 the \u00e9, 9"]
+    got = [r for b in maxent_lm._word_counts(iter([maxent_lm.pa.RecordBatch.from_arrays([maxent_lm.pa.array(texts)], ["text"])])) for r in b.to_pylist() if r["s"] >= 0]
+    words, shapes, _ = maxent_lm.tokens_of([(x or "").encode().lower() for x in texts])
+    assert {(r["w"], r["s"]): r["n"] for r in got} == dict(Counter(zip(words.view(np.int64).tolist(), shapes.tolist()))) and len({r["w"] for r in got}) == len(got)
+
+
 def test_endings():
     same = maxent_lm.endings_of([b"walking talking, x", b"king.", b"\xc3\xa9 a."])
     assert same[0] == same[1] == same[3] != same[2] and len(same) == 6

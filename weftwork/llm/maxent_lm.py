@@ -46,8 +46,8 @@ from weftwork.llm.text import _tables, chunks, encoded, mix, word_spans
 WAYS, SHAPES = 16, 8
 #: Rows of weights for each of the root of the number of word pairs; of pairs, one in PAIR_SAMPLE is counted.
 PER_ROOT, PAIR_SAMPLE = 32, 64
-#: Keys of weights that a task holds, at least, before it counts them.
-KEYS = 4_000_000
+#: Keys of weights that a task counts at once: few enough for what they touch to stay in a core's own cache.
+KEYS = 4096
 #: Rows of weights that are added up together.
 BLOCK = 64
 #: Words whose counts are broadcast at most, about 25 bytes each.
@@ -65,6 +65,8 @@ PRIOR = 6.0
 # What stands for the words before a text, and odd factors that tell the features of one word apart.
 _START = np.uint64(0x5107_5107_5107_5107)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: The factors of a context and of a node in the key of a row.
+_OF_CONTEXT, _OF_NODE = (np.uint64(int(_FACTORS[i]) * int(_FACTORS[0]) % 2**64) for i in (1, 3))
 #: A row of WAYS numbers times this gives its running sums; the product is several times as fast as cumsum.
 _UP_TO = np.triu(np.ones((WAYS, WAYS), np.float32))
 
@@ -85,7 +87,10 @@ def _trues(rows: np.ndarray) -> np.ndarray:
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and shapes of all words, and the bounds of each text's words."""
-    joined, starts, ends, bounds = word_spans(texts)
+    return _tokens(*word_spans(texts))
+
+
+def _tokens(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     power, back = _tables(len(joined) + 1)
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)], out=sums[1:])
@@ -98,7 +103,10 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def endings_of(texts: list[bytes]) -> np.ndarray:
     """Hashes of the last three bytes of all words, without up to two signs at the end."""
-    joined, starts, ends, _ = word_spans(texts)
+    return _endings(*word_spans(texts)[:3])
+
+
+def _endings(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     last = ends - 1
     for _ in range(2):
         byte = joined[last]
@@ -116,11 +124,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block_pairs: list[np.ndarray] = []
 
     def told() -> pa.RecordBatch:
-        words, at, counts = np.unique(np.concatenate([w for w, _ in block]), return_index=True, return_counts=True)
-        shapes = np.concatenate([s for _, s in block])[at]
+        words, shapes = (np.concatenate(x) for x in zip(*block))
+        # a word has one shape; without places to keep, sorting is several times as fast
+        kinds = [np.unique(words[shapes == s], return_counts=True) for s in range(SHAPES)]
         pairs = np.unique(np.concatenate(block_pairs))
-        words, shapes = np.concatenate([words, pairs]), np.concatenate([shapes, np.full(len(pairs), -1)])
-        counts = np.concatenate([counts, np.ones(len(pairs), counts.dtype)])
+        shapes = np.repeat([*range(SHAPES), -1], [*(len(w) for w, _ in kinds), len(pairs)])
+        words = np.concatenate([*(w for w, _ in kinds), pairs])
+        counts = np.concatenate([*(n for _, n in kinds), np.ones(len(pairs), np.int64)])
         block.clear()
         block_pairs.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(shapes.astype(np.int32)), pa.array(counts)], ["w", "s", "n"])
@@ -128,7 +138,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         texts = [x.lower() for x in encoded(batch.column("text"))]
-        for start, end in chunks(texts):
+        for start, end in chunks(texts, 1 << 17):
             words, shapes, bounds = tokens_of(texts[start:end])
             block.append((words, shapes))
             if len(words):
@@ -188,8 +198,12 @@ class Vocabulary:
     parent: np.ndarray = field(init=False)
     branch: np.ndarray = field(init=False)
     log: np.ndarray = field(init=False)
+    bits: int = field(init=False)
+    places: np.ndarray = field(init=False)  # of the first word whose first bits are not less than each
 
     def __post_init__(self) -> None:
+        self.bits = 1 + ceil(log2(len(self.words) + 1))
+        self.places = np.searchsorted(self.words, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
         tails = self.shape_total + 0.5 * (self.shape_distinct + 1)
         self.parent, self.branch, self.log = _tree(np.concatenate([self.counts + 0.5, [self.ends + 0.5], tails]))
 
@@ -202,9 +216,13 @@ class Vocabulary:
         """The word's own leaf, or that of its shape if it is not in the dictionary."""
         if not len(self.words):
             return self.end + 1 + shapes
-        unique, first, back = np.unique(words, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, unique), len(self.words) - 1)
-        return np.where(self.words[at] == unique, at, self.end + 1 + shapes[first])[back]
+        at = self.places.take((words >> np.uint64(64 - self.bits)).view(np.int64)).astype(np.int64)
+        on = np.arange(len(words))
+        while len(on):  # hashes are spread evenly, so few words share their first bits
+            on = on[self.words.take(at[on], mode="clip") < words[on]]
+            at[on] += 1
+            on = on[at[on] < len(self.words)]
+        return np.where(self.words.take(at, mode="clip") == words, at, self.end + 1 + shapes)
 
 
 def count_words(train: DataFrame) -> tuple[Vocabulary, DataFrame]:
@@ -242,14 +260,20 @@ class MaxEnt:
     def __init__(self, pairs: int):
         self.bits = max(12, ceil(log2(PER_ROOT * sqrt(pairs + 1))))
         self.weights = np.zeros((1 << self.bits, WAYS), np.float32)
+        self.unit = np.float32(1)
+
+    def __getstate__(self) -> tuple[int, np.float32, bytes]:
+        """Tasks get the weights as 16-bit multiples of the least power of 2 by which no sum of a context's weights overflows.
 
-    def __getstate__(self) -> tuple[int, bytes]:
-        """Tasks get the weights as half floats, packed."""
-        return self.bits, _packed(self.weights)
+        That is about as exact as half floats; such rows are half as long as those of
+        floats, and a task's time goes into fetching rows that are in no cache.
+        """
+        unit = np.float32(2.0 ** ceil(log2(max(1e-3, (3 + TIED) * float(np.abs(self.weights).max())) / 32_000)))
+        return self.bits, unit, pa.compress(np.rint(self.weights / unit).astype(np.int16).tobytes(), "zstd", asbytes=True)
 
-    def __setstate__(self, state: tuple[int, bytes]) -> None:
-        self.bits, packed = state
-        self.weights = _unpacked(packed, WAYS << self.bits).reshape(-1, WAYS)
+    def __setstate__(self, state: tuple[int, np.float32, bytes]) -> None:
+        self.bits, self.unit, packed = state
+        self.weights = np.frombuffer(pa.decompress(packed, 2 * WAYS << self.bits, "zstd", asbytes=True), np.int16).reshape(-1, WAYS)
 
     @staticmethod
     def contexts(words: np.ndarray, endings: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -260,23 +284,32 @@ class MaxEnt:
         begin = np.maximum.accumulate(begin)
 
         def back(x: np.ndarray, k: int) -> np.ndarray:
-            return np.where(place - k >= begin, x[np.maximum(place - k, 0)], _START)
+            """What is k places before, or beyond the text's begin the last value."""
+            return np.where(place - k >= begin, x[np.maximum(place - k, 0)], x[-1])
 
-        near = [back(words, 1), *(mix(back(endings, k) + np.uint64(k)) for k in (1, 2))]
-        return near + [mix(back(endings, k) + np.uint64(3)) for k in range(3, 3 + TIED)]
+        endings = np.append(endings, _START)
+        near = [back(np.append(words, _START), 1), *(back(mix(endings + np.uint64(k)), k) for k in (1, 2))]
+        tied = mix(endings + np.uint64(3))
+        return near + [back(tied, k) for k in range(3, 3 + TIED)]
 
     def levels(self, v: Vocabulary, leaves: np.ndarray, contexts: list[np.ndarray]):
         """From the leaves up: which tokens, their branches, rows of weights, and logits of all branches."""
         at, child, inner, root = np.arange(len(leaves)), leaves, len(v.parent) - len(v.log), len(v.parent) - 1
-        mixed = [(x ^ x >> np.uint64(29)) * _FACTORS[1] for x in contexts]
+        mixed = [(x ^ x >> np.uint64(29)) * _OF_CONTEXT for x in contexts]
+        shift = np.uint64(64 - self.bits)
         while len(at):
             node = v.parent[child]
-            own = (node - inner).astype(np.uint64) * _FACTORS[3]
+            own = (node - inner).astype(np.uint64) * _OF_NODE
             logits, rows = v.log.take(node - inner, axis=0), []
-            met = np.empty_like(logits)
+            sums = np.zeros(logits.shape, self.weights.dtype)
+            met = np.empty_like(sums)
             for x in mixed:
-                rows.append(((x.take(at) + own) * _FACTORS[0] >> np.uint64(64 - self.bits)).view(np.int64))  # as numpy's indices are, so none is converted
-                logits += self.weights.take(rows[-1], axis=0, out=met, mode="clip")
+                row = x.take(at)
+                row += own
+                row >>= shift
+                rows.append(row.view(np.int64))  # as numpy's indices are, so none is converted
+                sums += self.weights.take(rows[-1], axis=0, out=met, mode="clip")
+            logits += sums * self.unit
             yield at, v.branch[child], rows, logits
             on = node != root
             at, child = at[on], node[on]
@@ -302,28 +335,14 @@ def _gradient(vocabulary, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = vocabulary.value, model.value
         size, rng = m.weights.size, np.random.default_rng(7)  # the same draws if the task runs again
-        expected, found = np.zeros(size, np.float32), np.zeros(size, np.float32)
-        most = max(KEYS, size // 4)
-        taken_keys, drawn_keys = np.empty(most, np.int64), np.empty(most, np.int64)
-        held_keys = 0
-
-        def count() -> None:
-            nonlocal found, expected, held_keys
-            found += np.bincount(taken_keys[:held_keys], minlength=size)
-            expected += np.bincount(drawn_keys[:held_keys], minlength=size)
-            held_keys = 0
-
-        def hold(keys: np.ndarray, branch: np.ndarray, drawn: np.ndarray) -> None:
-            nonlocal held_keys
-            for low in range(0, len(keys), most):
-                part = slice(low, low + most)
-                end = held_keys + len(keys[part])
-                if end > most:
-                    count()
-                    end = len(keys[part])
-                np.add(keys[part], branch[part], out=taken_keys[held_keys:end])
-                np.add(keys[part], drawn[part], out=drawn_keys[held_keys:end])
-                held_keys = end
+        counts = np.zeros(2 * size, np.float32)  # of each weight, taken and drawn side by side, as both are counted in turn
+        one = np.float32(1)
+
+        def count(keys: np.ndarray, branch: np.ndarray, drawn: np.ndarray) -> None:
+            for low in range(0, len(keys), KEYS):
+                part = slice(low, low + KEYS)
+                np.add.at(counts, keys[part] + branch[part], one)
+                np.add.at(counts, keys[part] + drawn[part], one)
 
         for batch in batches:
             texts = [x.lower() for x in encoded(batch.column("text"))]
@@ -333,15 +352,13 @@ def _gradient(vocabulary, model):
                     below = np.exp(logits, out=logits) @ _UP_TO  # the sums of the first chances
                     draw = rng.random(len(branch), np.float32) * below[:, -1]
                     drawn = np.minimum(_trues(below < draw[:, None]), WAYS - 1)
-                    branch, drawn = branch.astype(np.int64), drawn.astype(np.int64)
+                    branch, drawn = 2 * branch.astype(np.int64), 2 * drawn.astype(np.int64) + 1
                     for row in rows:
-                        row *= WAYS
-                        hold(row, branch, drawn)
-        count()
-        taken_keys = drawn_keys = None
-        expected, found = expected.reshape(m.weights.shape), found.reshape(m.weights.shape)
-        both = np.stack([x.reshape(-1, BLOCK, WAYS) for x in (expected - found, expected)], axis=1)
-        del expected, found
+                        row *= 2 * WAYS
+                        count(row, branch, drawn)
+        found, expected = (counts[i::2].reshape(-1, BLOCK, WAYS) for i in (0, 1))
+        both = np.stack([expected - found, expected], axis=1)
+        del counts, found, expected
         used = np.flatnonzero(both.any(axis=(1, 2, 3)))
         for i in range(0, len(used), 256):
             some = used[i : i + 256]
@@ -364,9 +381,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_ends(v: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], tuple]:
     """Leaves of all tokens with each text's end, where texts begin, the tokens' hashes and endings, and the words behind them."""
-    words, shapes, bounds = tokens_of(texts)
+    spans = word_spans(texts)
+    words, shapes, bounds = _tokens(*spans)
     leaves = np.insert(v.leaves(words, shapes), bounds[1:], v.end)
-    return leaves, bounds[:-1] + np.arange(len(texts)), (np.insert(words, bounds[1:], _START), np.insert(endings_of(texts), bounds[1:], _START)), (words, shapes, bounds)
+    return leaves, bounds[:-1] + np.arange(len(texts)), (np.insert(words, bounds[1:], _START), np.insert(_endings(*spans[:3]), bounds[1:], _START)), (words, shapes, bounds)
 
 
 def train_model(train: DataFrame, vocabulary, model: MaxEnt) -> None:
