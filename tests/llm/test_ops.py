@@ -514,6 +514,51 @@ def test_jaccard_join(docs, corpus, short, monkeypatch):
     assert as_counter(jaccard_join.jaccard_report(docs).collect()) == Counter(_components(corpus, 4, 85, 100))
 
 
+def test_no_text_is_shuffled_for_many_classes(spark, docs, corpus, monkeypatch):
+    """Classes beyond what is broadcast are made from texts where these lie, told by a bitmap."""
+    for module in (jaccard_join, sys.modules["weftwork.llm.common"]):
+        monkeypatch.setattr(module, "SMALL", -1, raising=False)
+    plans = []
+
+    def seen(df, label, f=jaccard_join.saved):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return f(df, label)
+
+    monkeypatch.setattr(jaccard_join, "saved", seen)
+    got = jaccard_join.jaccard_report(docs)
+    assert as_counter(got.collect()) == Counter(_components(corpus, 4, 85, 100))
+    joins = [p.split("\n") for p in plans if "Join" in p and "text#" in p]
+    assert all(min(i for i, x in enumerate(p) if "text#" in x) >= min(i for i, x in enumerate(p) if "MapInArrow" in x) > min(i for i, x in enumerate(p) if "Join" in x) for p in joins)
+
+
+def test_posting_lists_stay_short(spark, monkeypatch):
+    """Shingles of many documents are in no list, also those that the table of frequent ones has no room for."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{i}{c}" for c in "abcd") for i in range(40)]
+    rows = []
+    for n in range(60):
+        parts = [f"w{n}x{i}" for i in range(400)] + phrases
+        rng.shuffle(parts)
+        rows.append((n, " ".join(parts)))
+    join = jaccard_join.JaccardJoin(spark.createDataFrame(rows + [(99, rows[0][1] + " more")], "doc_id long, text string"))
+    most = join.shared.groupBy("t").count().agg(F.max("count")).first()[0]
+    assert most < 4
+    assert {r.doc_id: r.component_id for r in join.result().collect()} == {n: 0 if n == 99 else n for n in [*range(60), 99]}
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_common_shingles_by_pieces(monkeypatch, share):
+    """Those with as many places as wanted come out, but for their last bits; no others do."""
+    rng = np.random.default_rng(2)
+    tokens = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    times = rng.integers(1, 3 + share, len(tokens))
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
+    pieces, rest = jaccard_join._pieces(np.repeat(tokens, times))
+    found = [jaccard_join._common(jaccard_join.pa.table({"c": pieces[i : i + 1], "b": rest.slice(i, 1)}))["t"].to_numpy().view(np.uint64) for i in range(len(pieces))]
+    assert np.array_equal(np.concatenate(found) >> np.uint64(22), tokens[times >= 3] >> np.uint64(22))
+
+
 def test_one_of_each(docs, corpus):
     got = jaccard_join.one_of_each(docs)
     assert got.columns == docs.columns

@@ -2,9 +2,11 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from weftwork.llm.jaccard_join import one_of_each
+from weftwork.llm.jaccard_join import jaccard_report, one_of_each
+from weftwork.llm.minhash import minhash_report
 from weftwork.storage import fresh_path, passing, saved, shared_folder, written
 
 
@@ -43,3 +45,12 @@ def test_one_of_each_leaves_what_it_kept(spark):
     out = one_of_each(docs)
     assert [x.rsplit("-", 1)[0] for x in _folders(spark) - before] == ["kept"]
     assert sorted(r.doc_id for r in out.collect()) == [r for r in range(0, 30, 3)]
+
+
+@pytest.mark.parametrize("report", [jaccard_report, minhash_report])
+def test_reports_leave_only_themselves(spark, report):
+    texts = [f"a b c d e f g h i j k l {i // 3} x y z {i // 3}" for i in range(30)]
+    before = _folders(spark)
+    out = report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [x.rsplit("-", 1)[0] for x in _folders(spark) - before] == ["report"]
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i - i % 3 for i in range(30)}

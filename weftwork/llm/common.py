@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.storage import fresh_path, passing, saved, shared_folder, written  # noqa: F401
+from weftwork.storage import fresh_path, kept, passing, saved, shared_folder, written  # noqa: F401
 
 #: A key that holds more than one row in HOT_SHARE is hot.  By the pigeonhole
 #: principle there are at most HOT_SHARE such keys, however large the input,

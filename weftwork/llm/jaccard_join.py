@@ -8,6 +8,12 @@ shuffle the rest by different hashes.  The first order gives posting lists; a
 candidate pair must also share a prefix token under the other two, and enough of
 them, before its whole sets are compared.
 
+The table is of one size, so the larger the input, the more shingles that it does
+not hold come again and again.  Of the shingles that the first order's hash puts
+first, more than prefixes need, all that COMMON documents or more have are found;
+the first order puts them (by a bitmap) behind those that fewer have, so that
+posting lists stay short.
+
 Documents with equal sets form a class and are joined as one.  Posting lists are
 not expanded into pairs.  In rounds, each member of a list meets two pivots of
 its list; links are merged into components; a list whose members are all in one
@@ -29,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import HOT_SHARE, columns_of, free_names, fresh_path, join_counts, near, passing, saved, text_key, written
+from weftwork.llm.common import HOT_SHARE, SMALL, Bits, columns_of, free_names, fresh_path, join_counts, kept, near, passing, saved, text_key, written
 from weftwork.llm.text import chunks, digest, encoded, lean, mix, shingles, word_hashes
 
 #: Shingles in the table of frequent ones, at most; it guides the orders only.
 FREQUENT = 500_000
 #: A shingle counts as frequent from so many documents of a block of BLOCK shingles.
 LOCAL, BLOCK = 2, 2_000_000
+#: A shingle is put back from so many documents on; looked at are TESTED times the share of a set that its prefix is,
+#: in PIECES groups by hash.
+COMMON, TESTED, PIECES = 4, 1.75, 1024
 #: Edges that a task contracts to stars at once (two numbers each).
 EDGES = 250_000
 #: Pivot rounds before the remaining pairs are compared one by one.
@@ -60,23 +69,53 @@ def _each_set(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]
             yield from enumerate(_sets(texts[start:end], k), low + start)
 
 
-def _frequent(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    tokens, counts = np.unique(np.concatenate(block), return_counts=True)
-    return tokens[counts >= LOCAL].view(np.int64), counts[counts >= LOCAL]
+def _first(tokens: np.ndarray) -> np.ndarray:
+    """The 58-bit hashes by which the first order shuffles shingles."""
+    return mix(tokens ^ np.uint64(0x1F3D5B79)) >> np.uint64(6)
+
+
+def _below(num: int, den: int) -> int:
+    """Shingles whose first hash is below it are looked at: are they common?"""
+    return int(min(1, TESTED * (den - num) / den) * (1 << 58))
+
+
+def _pieces(tokens: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Sorted shingles by their first bits: the pieces that have some, and the next 32 bits of each one's."""
+    piece = (tokens // np.uint64(2**64 // PIECES)).astype(np.int64)
+    kinds, at = np.unique(piece, return_index=True)
+    rest = (tokens * np.uint64(PIECES) >> np.uint64(32)).astype(np.uint32)
+    bounds = np.append(at, len(tokens)).astype(np.int32) * 4
+    return kinds, pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(rest)])
 
 
-def _survey(k: int):
-    """Rows of documents (kind 0: doc_id, text key, class, size) and of locally frequent shingles (kind 1)."""
+def _common(table: pa.Table) -> pa.Table:
+    """The shingles of a piece (all bits but the last) that come COMMON times or more."""
+    rest, counts = np.unique(np.frombuffer(b"".join(table["b"].to_pylist()), np.uint32), return_counts=True)
+    rest = rest[counts >= COMMON].astype(np.uint64)
+    tokens = np.uint64(table["c"][0].as_py() * (2**64 // PIECES)) + (rest << np.uint64(32)) // np.uint64(PIECES)
+    return pa.table({"t": pa.array(tokens.view(np.int64))})
+
+
+def _survey(k: int, below: int):
+    """Rows of documents (kind 0: doc_id, text key, class, size), of locally frequent shingles (kind 1) and of the pieces of those below ``below`` (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "h", "c", "n"]
+        names = ["kind", "doc_id", "h", "c", "n", "b"]
         block: list[np.ndarray] = []
         size = 0
 
-        def told() -> pa.RecordBatch:
-            tokens, counts = _frequent(block)
-            none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), none, none, pa.array(tokens), pa.array(counts.astype(np.int64))], names)
+        def row(kind: int, c: np.ndarray, n: pa.Array, b: pa.Array) -> pa.RecordBatch:
+            none = pa.nulls(len(c), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), none, none, pa.array(c), n, b], names)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            tokens, counts = np.unique(np.concatenate(block), return_counts=True)
+            block.clear()
+            often = counts >= LOCAL
+            yield row(1, tokens[often].view(np.int64), pa.array(counts[often].astype(np.int64)), pa.nulls(int(often.sum()), pa.binary()))
+            tested = _first(tokens) < np.uint64(below)
+            pieces, b = _pieces(np.repeat(tokens[tested], np.minimum(counts[tested], COMMON)))
+            yield row(2, pieces, pa.nulls(len(pieces), pa.int64()), b)
 
         for batch in batches:
             classes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -85,26 +124,30 @@ def _survey(k: int):
                 block.append(tokens)
                 size += len(tokens)
                 if size >= BLOCK:
-                    yield told()
-                    block.clear()
+                    yield from told()
                     size = 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), batch.column("h"), pa.array(classes), pa.array(sizes)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), batch.column("h"), pa.array(classes), pa.array(sizes), pa.nulls(batch.num_rows, pa.binary())], names)
         if block:
-            yield told()
+            yield from told()
 
     return run
 
 
 class Orders:
-    """Global orders of shingles: rarer levels first, then by hash."""
+    """Global orders of shingles: rarer levels first, then by hash.
+
+    In the first order the lowest level is of shingles found not to be common,
+    the next of those not looked at, then of common ones, then those of the table.
+    """
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int, common: Bits):
         by = np.argsort(tokens)
         self.tokens = tokens[by]
         self.levels = (np.log2(counts[by]).astype(np.uint64)) if len(tokens) else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.num, self.den = num, den
+        self.common, self.below = common, np.uint64(_below(num, den))
 
     def prefixes(self, tokens: np.ndarray, orders: range) -> list[np.ndarray]:
         """The prefix of a set under each order."""
@@ -118,7 +161,14 @@ class Orders:
             level[maybe[known]] = self.levels[at[known]]
         out = []
         for order in orders:
-            rank = level << np.uint64(58) | mix(tokens ^ np.uint64(0x1F3D5B79 * (order + 1))) >> np.uint64(6)
+            if order:
+                rank = level << np.uint64(58) | mix(tokens ^ np.uint64(0x1F3D5B79 * (order + 1))) >> np.uint64(6)
+            else:
+                rank = _first(tokens)
+                place = np.ones(n, np.uint64)
+                tested = np.flatnonzero(rank < self.below)
+                place[tested] = self.common.has(tokens[tested]) * np.uint64(2)
+                rank |= np.where(level > 0, level + np.uint64(2), place) << np.uint64(58)
             out.append(tokens[np.argpartition(rank, length - 1)[:length]] if length < n else tokens)
         return out
 
@@ -168,6 +218,20 @@ def _whole(k: int):
     return run
 
 
+def _told(known, make: Callable):
+    """What ``make`` gives for the documents whose key x the bitmap has, a row each, with doc_id and h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(known.value.has(batch.column("x").to_numpy().view(np.uint64))))
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                for made in make(iter([part])):
+                    yield pa.RecordBatch.from_arrays([*made.columns, part.column("doc_id"), part.column("h")], [*made.schema.names, "doc_id", "h"])
+
+    return run
+
+
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every node of the edges but the smallest of each component, and that smallest one."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -289,13 +353,16 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.k, self.num, self.den = k, num, den
         self.docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("h"))
-        schema = "kind int, doc_id long, h long, c long, n long"
-        survey = saved(self.docs.mapInArrow(lean(_survey(k)), schema), "survey")
-        self.rows = survey.where("kind = 0").drop("kind")
-        top = survey.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(FREQUENT)
-        self.frequent = saved(top, "frequent")
+        rows, frequent = fresh_path(self.spark, "rows"), fresh_path(self.spark, "frequent")
+        with passing(self.spark):
+            schema = "kind int, doc_id long, h long, c long, n long, b binary"
+            survey = saved(self.docs.mapInArrow(lean(_survey(k, _below(num, den))), schema), "survey")
+            self.rows = written(survey.where("kind = 0").drop("kind", "b"), rows)
+            top = survey.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(FREQUENT)
+            self.frequent = written(top, frequent)
+            common = Bits(saved(survey.where("kind = 2").select("c", "b").groupBy("c").applyInArrow(_common, "t long"), "common"), "t", each=8)
         top = self.frequent.toArrow()  # FREQUENT rows at most
-        orders = Orders(top["c"].to_numpy().view(np.uint64), top["n"].to_numpy(), num, den)
+        orders = Orders(top["c"].to_numpy().view(np.uint64), top["n"].to_numpy(), num, den, common)
         self.orders = self.spark.sparkContext.broadcast(orders)
         self.links = self._linked()
 
@@ -313,11 +380,10 @@ class JaccardJoin:
 
     def _filters(self) -> DataFrame:
         """What is known of each class in a list before whole sets are compared."""
-        schema = "c long, n long, p2 array<smallint>, p3 array<smallint>"
-        return self._texts(self.chosen).mapInArrow(lean(_filters(self.orders, self.k)), schema)
+        return self._of_classes(_filters(self.orders, self.k), self.chosen, "c long, n long, p2 array<smallint>, p3 array<smallint>")
 
     def _linked(self) -> DataFrame:
-        self.shared = saved(self._lists(), "shared")
+        self.shared = kept(self.spark, self._lists, "shared")
         wanted = saved(self.shared.select("c").distinct(), "wanted")
         chosen = self.rows.join(near(wanted), "c", "left_semi").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("x"))
         #: One document of each class in a posting list of two or more.
@@ -340,7 +406,7 @@ class JaccardJoin:
                 pairs = met.select("c", "comp", F.explode(F.array("p", "q")).alias("z")).select("c", "comp", F.col("z.c").alias("d"), F.col("z.comp").alias("dcomp"))
             else:
                 met = saved(met.select("t", "c", "comp", "m", "lo"), "residual")
-                long = self._compared_in_blocks(met.where(F.col("m") > SHORT))
+                long = kept(self.spark, lambda rows=met.where(F.col("m") > SHORT): self._compared_in_blocks(rows), "block-links")
                 links = long if links is None else links.unionByName(long)
                 short = met.where(F.col("m") <= SHORT).groupBy("t").agg(F.collect_list(F.struct("c", "comp")).alias("all"))
                 pairs = short.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("z")).where("x.c < z.c").select(F.col("x.c").alias("c"), F.col("x.comp").alias("comp"), F.col("z.c").alias("d"), F.col("z.comp").alias("dcomp"))
@@ -348,7 +414,7 @@ class JaccardJoin:
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = saved(pairs, "pairs")
-            found = saved(self._verified(pairs), "links")
+            found = kept(self.spark, lambda: self._verified(pairs), "links")  # noqa: B023
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = found if links is None else links.unionByName(found)
             labels = components(links)
@@ -384,7 +450,7 @@ class JaccardJoin:
         pairs = saved(pairs.select("task", "bg", "b", (F.col("b") > F.col("x")).alias("right")), "block-pairs")
         met = dealt.join(pairs, (F.col("g") == F.col("bg")) & F.col("of").eqNullSafe(F.col("b.of")) & (F.col("i") == F.col("b.i")))
         sets = met.select("task", "right", "c", "n").join(self._block_sets(dealt.select("c").distinct()), "c")
-        return saved(sets.groupBy("task").applyInArrow(self._comparison(), "a long, b long"), "block-links")
+        return sets.groupBy("task").applyInArrow(self._comparison(), "a long, b long")
 
     def _block_sets(self, classes: DataFrame) -> DataFrame:
         """(c, s) for the comparison of blocks."""
@@ -400,15 +466,24 @@ class JaccardJoin:
         one = F.struct(by.alias("o"), "c", "comp")
         return [F.min(one).alias("p"), F.max(one).alias("q")]
 
-    def _texts(self, chosen: DataFrame) -> DataFrame:
-        """The documents that stand for classes."""
-        picked = near(chosen).alias("k")
-        return self.docs.alias("d").join(picked, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h")), "left_semi")
+    def _of_classes(self, make: Callable, chosen: DataFrame, schema: str) -> DataFrame:
+        """What ``make`` gives for the documents that stand for classes; no text is shuffled.
+
+        Where the keys of ``chosen`` are too many for a broadcast a bitmap tells the
+        documents, and what it says yes to by chance goes once it is made.
+        """
+        same_row = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h"))
+        if chosen.count() <= SMALL:
+            return self.docs.alias("d").join(F.broadcast(chosen).alias("k"), same_row, "left_semi").mapInArrow(lean(make), schema)
+        key = F.xxhash64("doc_id", "h").alias("x")
+        known = self.spark.sparkContext.broadcast(Bits(chosen.select(key), "x"))
+        made = self.docs.select("*", key).mapInArrow(lean(_told(known, make)), f"{schema}, doc_id long, h long")
+        return made.alias("d").join(chosen.alias("k").hint("shuffle_hash"), same_row & (F.col("d.c") == F.col("k.c")), "left_semi").drop("doc_id", "h")
 
     def _sets(self, classes: DataFrame) -> DataFrame:
         """The whole sets of classes, from the documents that stand for them."""
         chosen = self.chosen.join(near(saved(classes, "classes")), "c", "left_semi")
-        return saved(self._texts(saved(chosen, "chosen")).mapInArrow(lean(_whole(self.k)), "c long, s array<long>"), "sets")
+        return saved(self._of_classes(_whole(self.k), saved(chosen, "chosen"), "c long, s array<long>"), "sets")
 
     def _may_link(self, one: str, two: str) -> Column:
         """Whether two prefixes of one order share enough.
@@ -471,18 +546,17 @@ class JaccardJoin:
 
 def jaccard_report(docs: DataFrame) -> DataFrame:
     """Per document: size of its shingle set and its component."""
-    return JaccardJoin(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    report = lambda: JaccardJoin(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return kept(docs.sparkSession, report, "report")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, all columns kept, whatever their names."""
-    path = fresh_path(docs.sparkSession, "kept")
-    with passing(docs.sparkSession):
-        kept = written(JaccardJoin(docs, k, num, den).representatives(), path)
+    stay = kept(docs.sparkSession, lambda: JaccardJoin(docs, k, num, den).representatives(), "kept")
     d, h, copies, g = free_names(docs.columns, "__d", "__h", "__copies", "__g")
-    kept = kept.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("copies").alias(copies))
+    stay = stay.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("copies").alias(copies))
     met = docs.withColumn(g, text_key(F.col("text")))
-    met = met.join(kept.hint("shuffle_hash"), met["doc_id"].eqNullSafe(kept[d]) & (met[g] == kept[h]))
-    if not kept.where(F.col(copies) > 1).isEmpty():
+    met = met.join(stay.hint("shuffle_hash"), met["doc_id"].eqNullSafe(stay[d]) & (met[g] == stay[h]))
+    if not stay.where(F.col(copies) > 1).isEmpty():
         met = met.where(F.col(copies) == 1).unionByName(met.where(F.col(copies) > 1).dropDuplicates(["doc_id", g]))
     return met.select(*columns_of(met, docs.columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import Bits, near, saved, text_key
+from weftwork.llm.common import Bits, kept, near, saved, text_key
 from weftwork.llm.jaccard_join import JaccardJoin, _each_set, _spanning
 from weftwork.llm.text import digest, lean, mix
 
@@ -205,5 +205,6 @@ class MinHashJoin(JaccardJoin):
 
 def minhash_report(docs: DataFrame) -> DataFrame:
     """Per document: size of its shingle set, its component, and whether it stays."""
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return MinHashJoin(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    report = lambda: MinHashJoin(docs).result().select("doc_id", F.col("n").alias("n_shingles"), "component_id", stays.alias("kept"))
+    return kept(docs.sparkSession, report, "report")
