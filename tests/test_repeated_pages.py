@@ -11,6 +11,7 @@ from weftwork.functions import selectors
 from weftwork.functions.pages import parse
 from weftwork.plans.oracle import SQL
 from weftwork.plans.queries import QUERIES
+from weftwork.sources import records
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -61,3 +62,17 @@ def test_names_are_references_only_with_their_semicolon():
     assert want["text"] == "x &amp y &amp; t&lt"
     assert want["links"] == ["http://h/q?a=1&copy=2&b"]
     assert selectors.Picked(page, selectors.compiled(["title", "a[href*='&copy=2']"])).texts == [want["title"], "t&lt"]
+
+
+def test_records_of_pages_are_built_where_pages_lie(spark, tables):
+    """No page goes to the driver for a broadcast, nor is it parsed twice."""
+    plan = QUERIES["crawl_records_build"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_from_pages_broadcasts_no_page(spark):
+    fetched = spark.createDataFrame([("u", "success", 200, "Text/HTML; x", None), ("v", "timeout", 0, "", None)], "url string, outcome string, status_code int, content_type string, crawled_at timestamp")
+    parsed = spark.createDataFrame([("u", "t", "x", ["l"], ("t", "d", "k"), None), ("v", "t", "y", [], ("", "", ""), None)], "url string, title string, text string, links array<string>, metadata struct<title:string,description:string,keywords:string>, error string")
+    out = records.from_pages(fetched, parsed)
+    assert [(r.url, r.text, r.metadata["keywords"], r.content_type) for r in out.collect()] == [("u", "x", "k", "text/html")]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

@@ -35,9 +35,17 @@ def normalized(records: DataFrame, *more: str) -> DataFrame:
 
 
 def from_pages(fetched: DataFrame, parsed: DataFrame, key: str = "url") -> DataFrame:
-    """Records of successful fetches whose page was parsed without error; ``key`` names a page in both, for tables with several of one url."""
-    own = parsed.where("error is null").drop("error", *({"url"} - {key}))
-    ok = fetched.where("outcome = 'success'").join(own, key)
+    """Records of successful fetches whose page was parsed without error; ``key`` names a page in both, for tables with several of one url.
+
+    The join is by sorting: sizes of parsed pages are estimated far too low for a choice.
+    """
+    own = parsed.where("error is null").drop(*({"url"} - {key}))
+    return of_pages(fetched.where("outcome = 'success'").join(own.hint("merge"), key))
+
+
+def of_pages(pages: DataFrame) -> DataFrame:
+    """Records of pages, each a row of its fetch and of what was parsed: those that were fetched with success and parsed without error."""
+    ok = pages.where("outcome = 'success' and error is null")
     meta = F.create_map(*[y for x in ("title", "description", "keywords") for y in (F.lit(x), F.col(f"metadata.{x}"))])
     return ok.select("url", "title", "text", "links", meta.alias("metadata"), "crawled_at", "status_code", F.coalesce(F.nullif(F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1)))), F.lit("")), F.lit("application/octet-stream")).alias("content_type"))
 
